@@ -7,84 +7,21 @@ singletons where they stand.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lamina.llm.bloom import filter_bits, flag_held, merged_filter
 from lamina.operators.skew import join_groups
 from lamina.session import ship_package
 
-#: Bits of a filter per row, and the most bits of all: the merged filter that is broadcast has at most
-#: 32 MB. Beyond about 30 million distinct keys more rows are shuffled than need be; the result is the same.
-BITS_PER_ROW = 12
-MAX_BITS = 1 << 28
-HASHES = 3
-#: Bytes of a segment, the unit in which filters are merged, and partitions that build filters at most.
-SEGMENT = 1 << 16
-BUILDERS = 512
-
-
 def canonical_name(name: str) -> Column:
     """``name`` in lower case without all characters other than letters and digits; null as empty."""
     return F.regexp_replace(F.lower(F.coalesce(F.col(name), F.lit(""))), r"[^\p{L}\p{N}]", "")
 
 
-def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Bit positions of each hash, one row a hash."""
-    h = hashes.astype(np.int64).view(np.uint64)
-    second = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(17) | np.uint64(1)
-    return ((h + np.arange(HASHES, dtype=np.uint64)[:, None] * second) % np.uint64(bits)).astype(np.int64).T
-
-
-def _holds(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1)
-
-
-def _add(bitmap: np.ndarray, at: np.ndarray) -> None:
-    np.bitwise_or.at(bitmap, at.ravel() >> 3, (1 << (at.ravel() & 7)).astype(np.uint8))
-
-
-def repeat_filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Merged filter of the hashes (one long column) that occur more than once; no false negatives."""
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            values, counts = np.unique(batch.iloc[:, 0].to_numpy(), return_counts=True)
-            at = _positions(values, bits)
-            _add(again, at[(counts > 1) | _holds(once, at)])
-            _add(once, at)
-        for s in range(0, bits // 8, SEGMENT):
-            if once[s : s + SEGMENT].any():
-                yield pd.DataFrame({"segment": [s], "once": [once[s : s + SEGMENT].tobytes()], "again": [again[s : s + SEGMENT].tobytes()]})
-
-    def merge(batch: pd.DataFrame) -> pd.DataFrame:
-        once = again = None
-        for a, b in zip(batch["once"], batch["again"]):
-            a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-            once, again = (a, b) if once is None else (once | a, again | b | (once & a))
-        return pd.DataFrame({"segment": batch["segment"][:1], "again": [again.tobytes()]})
-
-    built = hashes.coalesce(BUILDERS).mapInPandas(build, "segment long, once binary, again binary")
-    merged = np.zeros(bits // 8, np.uint8)
-    for row in built.groupBy("segment").applyInPandas(merge, "segment long, again binary").collect():
-        merged[row["segment"] : row["segment"] + len(row["again"])] = np.frombuffer(row["again"], np.uint8)
-    return merged
-
-
 def flag_repeats(df: DataFrame, key: str, bits: int) -> DataFrame:
     """``df`` with ``may_repeat``: false only for rows whose ``key`` (long) occurs once."""
-    bitmap = df.sparkSession.sparkContext.broadcast(repeat_filter(df.select(key), bits))
-
-    @F.pandas_udf(T.BooleanType())
-    def holds(values: pd.Series) -> pd.Series:
-        return pd.Series(_holds(bitmap.value, _positions(values.to_numpy(), bits)))
-
-    return df.withColumn("may_repeat", holds(F.col(key)))
+    return flag_held(df, key, merged_filter(df.select(key), bits, repeated=True), "may_repeat")
 
 
 def _keyed(records: DataFrame, record_id: str, names: tuple[str, str]) -> tuple[DataFrame, int, int]:
@@ -93,10 +30,7 @@ def _keyed(records: DataFrame, record_id: str, names: tuple[str, str]) -> tuple[
     keyed = records.select(F.col(record_id).alias("record_id"), F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
     keyed = keyed.withColumn("hash", F.xxhash64("low", "high"))
     total = records.count()
-    bits = SEGMENT * 8
-    while bits < min(MAX_BITS, total * BITS_PER_ROW):
-        bits *= 2
-    return keyed, total, bits
+    return keyed, total, filter_bits(total)
 
 
 def collapse_records(records: DataFrame, record_id: str = "drug_id", names: tuple[str, str] = ("brand_name", "generic_name")) -> DataFrame:

@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import budget, collapse, encode, mix, split
+from lamina.llm import budget, collapse, encode, encoding, mix, similar, split
 from lamina.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = similar.similar_pairs(table(spark, d, "drugs"))
+    return pairs.withColumnsRenamed({"a": "drug_id_a", "b": "drug_id_b"})
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return similar.similar_groups(table(spark, d, "drugs")).withColumnRenamed("record_id", "drug_id")
+
+
 def p2_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return budget.token_budget(table(spark, d, "chunks"), table(spark, d, "articles"))
 
@@ -51,8 +60,16 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled_documents(table(spark, d, "documents"))
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.restored_documents(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_token_budget, p3_found, p3_records, p5_found, p5_pieces, p7_ids, p8_found, p8_shares, p8_mixture)
+    f.__name__: f for f in (p1_found, p1_groups, p2_token_budget, p3_found, p3_records, p5_found, p5_pieces, p7_ids, p8_found, p8_shares, p8_mixture, p9_found, p9_restored)
 }
 
 _NAMES = """
