@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import budget, collapse, encode, encoding, mix, similar, split
+from lamina.llm import budget, collapse, encode, encoding, mix, noise, sentences, similar, split
 from lamina.session import table
 
 
@@ -31,6 +31,14 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return collapse.collapse_records(table(spark, d, "drugs"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return noise.noisy_lines(table(spark, d, "guidelines"))
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return noise.repaired_texts(table(spark, d, "guidelines"))
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     items = split.corpus_items(table(spark, d, "guidelines"), table(spark, d, "drugs"), table(spark, d, "who_tables"))
     return split.split_items(items, table(spark, d, "size_limits"))
@@ -44,6 +52,10 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.corpus_sentences(table(spark, d, "articles"), table(spark, d, "guidelines"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.document_ids(table(spark, d, "documents"))
 
@@ -69,8 +81,12 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_groups, p2_token_budget, p3_found, p3_records, p5_found, p5_pieces, p7_ids, p8_found, p8_shares, p8_mixture, p9_found, p9_restored)
-}
+    f.__name__: f
+    for f in (
+        p1_found, p1_groups, p2_token_budget, p3_found, p3_records, p4_found, p4_repaired, p5_found, p5_pieces,
+        p6_found, p7_ids, p8_found, p8_shares, p8_mixture, p9_found, p9_restored,
+    )
+}
 
 _NAMES = """
   SELECT drug_id,
