@@ -1,6 +1,25 @@
-"""Registry of the queries and of the SQL that gives the same rows."""
+"""Registry of the queries over the test tables and of the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES = {}
-SQL = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its name, with its SQL where it has one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from lamina.plans import text_queries, corpus_queries  # noqa: E402, F401
