@@ -50,7 +50,7 @@ def folded(line: str) -> str:
 
 def bare(line: str) -> tuple[str, bool]:
     """``line`` without a page number or year set apart at either end, and whether there was one."""
-    m = _NUMBERED.match(line)
+    m = _NUMBERED.match(line) if "|" in line or "  " in line else None
     if not m:
         return line.strip(), False
     return m["body"].strip(), m["a"] is not None or m["b"] is not None
@@ -145,7 +145,7 @@ def _mark_pages(raw: list[str], kinds: list[str], forms: list, tables: bool) ->
             if i in chain:
                 kinds[i] = PAGE
         elif form == "r":
-            if main is None and (near(i) or not tables and any(c in "ivxIVX" for c in raw[i])):
+            if near(i) or not tables:
                 kinds[i] = PAGE
         elif form == main or near(i) or not tables:
             kinds[i] = PAGE
