@@ -43,6 +43,13 @@ def holds(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return _all_set(bitmap, _positions(hashes, len(bitmap) * 8))
 
 
+def hashes_of(texts: list[str]) -> np.ndarray:
+    """The hashes Spark's ``xxhash64`` gives one string column."""
+    import xxhash
+
+    return np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), 42) for t in texts), np.uint64, len(texts)).view(np.int64)
+
+
 def _all_set(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1)
 
