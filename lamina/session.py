@@ -19,7 +19,9 @@ def build_session(app: str = "lamina", cores: int | str = "*", **conf: object) -
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | {k: str(v) for k, v in conf.items()}
-    return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=base).getOrCreate()
+    spark = SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=base).getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +59,9 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of a cluster."""
+    """Make this package importable in the Python workers, wherever they run; once a session."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(tempfile.mkdtemp(prefix="lamina-"), "lamina.zip")
