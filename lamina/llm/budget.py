@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.encode import count_tokens
+from lamina.session import cut_lineage
 
 #: fixed values: two-letter codes of the three-letter language codes in use
 LANGUAGES = {
@@ -26,11 +27,11 @@ def unique_chunk_tokens(chunks: DataFrame, articles: DataFrame, vocabulary_path:
     ``unknown``; a chunk without topics is of the topic ``(none)``.
     """
     counted = count_tokens(chunks.select("chunk_id", "text", "source", "topics", "source_id", "lang", "written_at"), vocabulary_path=vocabulary_path).drop("text")
-    known = counted.filter(F.col("chunk_id").isNotNull())
     at = F.coalesce(F.col("written_at"), F.lit(0).cast("timestamp"))
     last = lambda c: F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.struct(at, F.col("n_tokens")))).alias(c)
-    once = known.groupBy("chunk_id").agg(*[last(c) for c in ("source", "topics", "source_id", "lang", "n_tokens")])
-    once = once.unionByName(counted.filter(F.col("chunk_id").isNull()).select(once.columns))
+    alone = F.when(F.col("chunk_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    once = counted.groupBy("chunk_id", alone).agg(*[last(c) for c in ("source", "topics", "source_id", "lang", "n_tokens")])
+    once = cut_lineage(once)  # read twice below, while the texts are counted once
     codes = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
     spoken = (
         articles.select(F.col("pmid").alias("source_id"), F.lower("language").alias("code"))
@@ -55,7 +56,8 @@ def token_cube(counts: DataFrame) -> DataFrame:
     Totals over topics count a chunk of several topics once; a row of one topic counts each of its
     chunks (once, also where the topic is listed twice).
     """
-    slim = counts.groupBy("source", "language", "topics").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"))
+    # written once: both cubes read it, and the texts behind it are counted once
+    slim = cut_lineage(counts.groupBy("source", "language", "topics").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")))
     sums = [F.sum("n").alias("n_chunks"), F.sum("t").alias("n_tokens")]
     name = lambda c: F.when(F.grouping(c) == 1, F.lit(ALL)).otherwise(F.col(c)).alias(f"{c}_")
     whole = slim.cube("source", "language").agg(name("source"), name("language"), *sums).withColumn("topic_", F.lit(ALL))
