@@ -24,7 +24,7 @@ RUNNING_SHARE = 0.001
 #: and if the text does not simply go on with it in this part of its occurrences.
 RUNNING_LOOSE = 0.3
 
-_FOLD = [("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("ii", "u"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ги", "ш"), ("fi", "n")]
+_FOLD = [("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("ii", "u"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ги", "ш"), ("fi", "n"), ("fl", "n")]
 _FOLD_CHARS = str.maketrans("0156843czqlitäöüãàáâéèêнпиаÄ", "oisbbaaeeqiiiaouaaaaeeeпппaa")
 
 _N = r"[0-9lIOoSBZ]{1,4}"
@@ -36,18 +36,47 @@ _PAGE = re.compile(
 _NUMBERED = re.compile(rf"^(?:(?:page |p\. ?)?(?P<a>{_N}|[ivxlc]{{1,6}})(?:\s{{2,}}|\s*\|\s*))?(?P<body>.*?\S)(?:(?:\s{{2,}}|\s*\|\s*)(?:page |p\. ?)?(?P<b>{_N}|[ivxlc]{{1,6}}))?\s*$", re.IGNORECASE)
 _HEADING = re.compile(r"^\d{1,2}(?:\.\d{1,2}){0,3}\.? (?=\S)(?!\d)")
 _FINAL = re.compile(r"[.!?…。！？؟।:;,،，、；：]['”’»\")\]』」）]*\s*$")
+_ENDED = re.compile(r"[.!?…。！？؟।](?:\s?['”’»\")\]』」）])*\s*$")
 _SEP = re.compile(r"\s+")
 
 
 @lru_cache(maxsize=1 << 15)
 def folded(line: str) -> str:
     """``line`` in one case, with glyphs that are misread for each other made the same."""
-    s = _SEP.sub(" ", line.casefold()).strip(" .-–—|")
+    s = _SEP.sub(" ", line.casefold()).strip(" .-–—|").replace("|", "i")
     for a, b in _FOLD:
         s = s.replace(a, b)
     return s.translate(_FOLD_CHARS)
 
 
+@lru_cache(maxsize=8)
+def _by_length(running: frozenset[str]) -> dict[int, list[str]]:
+    out: dict[int, list[str]] = {}
+    for key in running:
+        out.setdefault(len(key), []).append(key)
+    return out
+
+
+@lru_cache(maxsize=1 << 15)
+def nearly_running(key: str, running: frozenset[str]) -> bool:
+    """Whether ``key`` is one of the running lines but for one place of up to three characters."""
+    if len(key) < 10:
+        return False
+    known = _by_length(running)
+    for n in range(len(key) - 2, len(key) + 3):
+        for other in known.get(n, ()):
+            short = min(n, len(key))
+            a = 0
+            while a < short and key[a] == other[a]:
+                a += 1
+            b = 0
+            while b < short - a and key[-1 - b] == other[-1 - b]:
+                b += 1
+            if a + b >= max(n, len(key)) - 3:
+                return True
+    return False
+
+
 def bare(line: str) -> tuple[str, bool]:
     """``line`` without a page number or year set apart at either end, and whether there was one."""
     m = _NUMBERED.match(line) if "|" in line or "  " in line else None
@@ -86,7 +115,7 @@ class Line:
     kind: str
 
 
-def read_lines(text: str | None, title: str | None, running: frozenset[str] | set[str], tables: bool = False) -> list[Line]:
+def read_lines(text: str | None, title: str | None, running: frozenset[str], tables: bool = False) -> list[Line]:
     """The lines of a text with their kinds.
 
     With ``tables`` lines may be rows of tables, so that a bare number is a page number only where it
@@ -111,7 +140,7 @@ def read_lines(text: str | None, title: str | None, running: frozenset[str] | se
         body, numbered = bare(x)
         key = folded(body)
         if (named and len(key) > 3 and (key == named or abs(len(key) - len(named)) <= 4 and SequenceMatcher(None, key, named, False).ratio() >= 0.9)) or (
-            key in running and not _FINAL.search(body) and (numbered or _wordy(body))
+            (key in running or starts_loose(body) and nearly_running(key, running)) and not _FINAL.search(body) and (numbered or _wordy(body))
         ):
             kinds[i] = HEADER
         elif repeated[key] >= 2 and _wordy(body) and body.lower() == body.upper() and len(x) <= usual and starts_loose(body):
@@ -182,16 +211,17 @@ def _is_heading(raw: list[str], kinds: list[str], i: int) -> bool:
     if len(x) > 110 or _FINAL.search(x) and not x.endswith(":"):
         return False
     before = next((j for j in range(i - 1, -1, -1) if kinds[j] not in (HEADER, PAGE)), None)
-    ended = before is None or kinds[before] in (BLANK, HEADING) or bool(re.search(r"[.!?…。！？؟।]['”’»\")\]』」）]*\s*$", raw[before].rstrip()))
+    ended = before is None or kinds[before] in (BLANK, HEADING) or bool(_ENDED.search(raw[before]))
     if _HEADING.match(x):
         rest = _HEADING.sub("", x)
-        return ended and starts_loose(rest) and any(c.isalpha() for c in rest)
+        apart = i > 0 and kinds[i - 1] in (HEADER, PAGE)  # at a page's top it may stand inside a sentence
+        return (ended or apart) and starts_loose(rest) and any(c.isalpha() for c in rest)
     after = next((j for j in range(i + 1, len(raw)) if kinds[j] not in (HEADER, PAGE)), None)
     alone = (before is None or kinds[before] == BLANK) and (after is None or kinds[after] == BLANK)
     return alone and ended and starts_loose(x) and len(x) <= 60 and after is not None
 
 
-def running_lines(guidelines: DataFrame) -> set[str]:
+def running_lines(guidelines: DataFrame) -> frozenset[str]:
     """Folded forms of the lines that run through many documents.
 
     A form needs a thousandth of the documents, so there are at most a thousand times as many as a
@@ -224,4 +254,4 @@ def running_lines(guidelines: DataFrame) -> set[str]:
     found = guidelines.select("clean_text").mapInPandas(candidates, "line string, n long, loose long, paged long").groupBy("line")
     sums = found.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.sum("loose").alias("loose"), F.sum("paged").alias("paged"))
     kept = sums.filter((F.col("docs") >= max(3, total * RUNNING_SHARE)) & (F.col("loose") >= RUNNING_LOOSE * F.col("n")) & (F.col("n") >= 1.3 * F.col("docs")))
-    return {r["line"] for r in kept.select("line").collect()}
+    return frozenset(r["line"] for r in kept.select("line").collect())
