@@ -11,20 +11,19 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.bloom import filter_bits, holds, merged_filter
+from lamina.llm.bloom import filter_bits, hashes_of, holds, merged_filter
 from lamina.session import cut_lineage, ship_package, spread
 
 #: A word: letters and characters beyond ASCII, one of the latter at least. A run: such characters as
 #: Latin text and single-byte decodings use, also where they touch another script.
 WORD = r"([A-Za-z]*[\x{80}-\x{10FFFF}][A-Za-z\x{80}-\x{10FFFF}]*)"
 RUN = r"([\x{80}-\x{2FF}\x{2000}-\x{22FF}]{2,})"
-#: Longer words are cut at this many characters on both sides of the join.
-LONGEST = 120
+#: Characters of garbled forms that are tested against the filter at once.
+AT_ONCE = 1 << 20
 
 SOURCES = ("cp1252", "cp1251", "koi8-r", "cp866", "iso8859-5", "cp1256", "gbk", "big5", "shift_jis", "euc_jp", "euc_kr", "cp874", "cp1250", "mac_roman", "cp437", "cp850")
 TARGETS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1256", "koi8-r", "mac_roman", "cp437", "cp850", "cp866", "cp874", "gbk", "big5", "shift_jis")
@@ -44,6 +43,9 @@ def _byte_table(name: str) -> list[str]:
     return [bytes([b]).decode(name, "ignore") or chr(b) for b in range(256)]
 
 
+#: Chains that valid UTF-8 proves; the longer first, else what was garbled twice would come back garbled once.
+_UNDONE = sorted((c for c in CHAINS if c[0][0] == "utf-8" and c[-1][1] not in WIDE), key=len, reverse=True)
+
 _READ = {t: _byte_table(t) for t in TARGETS if t not in WIDE}
 _BACK = {t: {c: b for b, c in enumerate(table)} for t, table in _READ.items()}
 
@@ -68,9 +70,7 @@ def garble(word: str, chain: tuple[tuple[str, str], ...]) -> str | None:
 
 def ungarble(text: str) -> tuple[str, str] | None:
     """The text before a chain that began with UTF-8, where undoing it gives valid, printable UTF-8."""
-    for chain in CHAINS:
-        if chain[0][0] != "utf-8" or chain[-1][1] in WIDE:
-            continue
+    for chain in _UNDONE:
         now = text
         for source, target in reversed(chain):
             back = _BACK[target]
@@ -87,7 +87,7 @@ def ungarble(text: str) -> tuple[str, str] | None:
 def words_of(text: Column) -> Column:
     """Distinct words and runs of a text, without those that hold a replacement character."""
     found = F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(WORD), F.lit(1)), F.regexp_extract_all(text, F.lit(RUN), F.lit(1))))
-    return F.filter(F.transform(found, lambda w: F.substring(w, 1, LONGEST)), lambda w: ~w.contains("�"))
+    return F.filter(found, lambda w: ~w.contains("�"))
 
 
 def _strong(form: str, chain: tuple[tuple[str, str], ...]) -> bool:
@@ -110,8 +110,14 @@ def garbled_words(vocabulary: DataFrame) -> DataFrame:
     bitmap = vocabulary.sparkSession.sparkContext.broadcast(merged_filter(vocabulary.select(F.xxhash64("word")), filter_bits(vocabulary.count()), repeated=False))
 
     def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Forms that the corpus seems to hold; of the others nothing is kept."""
+        def held(rows: list[tuple]) -> pd.DataFrame:
+            hashes = hashes_of([r[0] for r in rows])
+            return pd.DataFrame([r for r, h in zip(rows, holds(bitmap.value, hashes)) if h], columns=["word", "original", "chain", "n_original", "strong"])
+
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
+            size = 0
             for word, n in zip(batch["word"], batch["n"]):
                 if any("\x80" <= c <= "\x9f" for c in word):
                     continue
@@ -121,17 +127,18 @@ def garbled_words(vocabulary: DataFrame) -> DataFrame:
                     if form is None or form in seen or not _telling(form) or "�" in form:
                         continue
                     seen.add(form)
-                    rows.append((form[:LONGEST], word, "/".join(f"{s}>{t}" for s, t in chain), n, _strong(form, chain)))
-            yield pd.DataFrame(rows, columns=["word", "original", "chain", "n_original", "strong"])
-
-    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[holds(bitmap.value, batch.pop("hash").to_numpy(np.int64))]
-
-    columns = "word string, original string, chain string, n_original long, strong boolean"
-    made = spread(vocabulary).mapInPandas(forms, columns).withColumn("hash", F.xxhash64("word")).mapInPandas(known, columns)
+                    size += len(form)
+                    rows.append((form, word, "/".join(f"{s}>{t}" for s, t in chain), n, _strong(form, chain)))
+                if size > AT_ONCE:
+                    yield held(rows)
+                    rows, size = [], 0
+            if rows:
+                yield held(rows)
+
+    made = spread(vocabulary).mapInPandas(forms, "word string, original string, chain string, n_original long, strong boolean")
     matched = made.join(vocabulary, "word").filter(F.col("strong") | (F.col("n_original") >= 3 * F.col("n")))
     best = matched.groupBy("word").agg(F.max_by(F.struct("original", "chain"), F.struct("strong", "n_original", "original")).alias("b")).select("word", "b.original", "b.chain")
+    best = cut_lineage(best)
 
     def undo(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
