@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 
 def first_by_key(df: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
-    """The first row of each key in ``order``; rows with a null key are one key. Shuffles once, on the key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """The first row of each key in ``order`` (ascending, nulls first); rows with a null key are one key.
+
+    An aggregate and no window: each task passes on one row a key, so that a hot key is no hot task.
+    """
+    first = F.min_by(F.struct("*"), F.struct(*order))
+    named = [F.col(k) if isinstance(k, str) else k for k in keys]
+    return df.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(named)]).agg(first.alias("_first")).select("_first.*")
 
 
 def capped(df: DataFrame, keys: list[str | Column], order: list[str | Column], most: int | Column) -> DataFrame:

@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina import constants as K
 from lamina.functions.text import token_count
+from lamina.operators.dedup import first_by_key
 from lamina.operators.packing import pack
 
 
@@ -129,5 +130,4 @@ def request_batches(chunks: DataFrame, key: str, text: str, within: list[str], o
 
 def deduplicated(chunks: DataFrame, order: list[str], key: str = "point_id", within: list[str] | None = None) -> DataFrame:
     """The first chunk of each id, within each source if ``within`` names it."""
-    w = Window.partitionBy(*(within or []), key).orderBy(*order)
-    return chunks.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return first_by_key(chunks, [*(within or []), key], order)

@@ -43,16 +43,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
                 frame = pd.DataFrame({"query": np.repeat(own, n), "neighbour": keys[order].ravel(), "similarity": got.ravel()})
                 yield frame[np.isfinite(frame["similarity"])]
 
-    met = rows.join(F.broadcast(blocks.filter(F.size("qs") <= 4 * BLOCK)), how="cross")
+    met = rows.crossJoin(blocks)  # Spark broadcasts the blocks only while they are small
     few = met.mapInPandas(best, "query long, neighbour long, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
     return few.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def likeness_to_previous(df: DataFrame, vector: str, order: list[str], within: list[str], digits: int = 6) -> DataFrame:
-    """``similarity`` of each row to the one before it in its group; null for the first."""
-    w = Window.partitionBy(*within).orderBy(*order)
-    return df.withColumn("similarity", F.round(cosine(F.lag(vector).over(w), F.col(vector)), digits))
+    """``similarity`` of each row to the one before it in its group; null for the first.
+
+    Rows are laid out by range, so that a hot group is shared by many tasks; the first row a task has
+    of a group takes the vector before it from the last rows of the tasks before, one a task and group.
+    """
+    placed = df.repartitionByRange(*within, *order).withColumn("_part", F.spark_partition_id())
+    w = Window.partitionBy("_part", *within).orderBy(*order)
+    inside = placed.withColumn("_before", F.lag(vector).over(w)).withColumn("_at", F.row_number().over(w))
+    last = placed.groupBy("_part", *within).agg(F.max_by(vector, F.struct(*order)).alias("_last"))
+    over = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*within).orderBy("_part"))).drop("_last")
+    joined = inside.join(over, ["_part", *within], "left").withColumn("_before", F.when(F.col("_at") == 1, F.col("_carried")).otherwise(F.col("_before")))
+    return joined.withColumn("similarity", F.round(cosine(F.col("_before"), F.col(vector)), digits)).select(*df.columns, "similarity")
 
 
 def cosine_of(a: Column, b: Column, digits: int = 6) -> Column:

@@ -65,7 +65,7 @@ def chunk_guideline(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT source, point_id, chunk_id, chunk_index, metadata.title AS title FROM
 (SELECT *, row_number() OVER (PARTITION BY source, point_id ORDER BY written_at, metadata.title NULLS FIRST) AS rn FROM chunks) WHERE rn = 1""")
 def dedup_first(spark: SparkSession, d: str) -> DataFrame:
-    once = embedding.deduplicated(table(spark, d, "chunks").withColumn("title", F.col("metadata.title")), ["written_at", F.col("title").asc_nulls_first()], within=["source"])
+    once = embedding.deduplicated(table(spark, d, "chunks").withColumn("title", F.col("metadata.title")), ["written_at", "title"], within=["source"])
     return once.select("source", "point_id", "chunk_id", "chunk_index", "title")
 
 
@@ -239,7 +239,7 @@ p AS (SELECT source, source_id, chunk_id, pos, tok AS run, 1 AS n, 0 AS b FROM o
 SELECT source, source_id, chunk_id, CAST(b AS BIGINT) AS batch_id FROM p""")
 def embed_batches(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").filter("chunk_id IS NOT NULL").withColumn("title", F.col("metadata.title"))
-    once = dedup.first_by_key(chunks, ["chunk_id"], ["written_at", F.col("title").asc_nulls_first()])
+    once = dedup.first_by_key(chunks, ["chunk_id"], ["written_at", "title"])
     out = embedding.request_batches(once, "chunk_id", "text", ["source", "source_id"], ["chunk_id"], _BATCH, _MOST)
     return out.select("source", "source_id", "chunk_id", F.col("batch_id").cast("long"))
 
