@@ -45,3 +45,20 @@ def longest(chunks: DataFrame, text: str, key: list[str], n: int = 5) -> DataFra
 def missing_from(all_values: DataFrame, served: DataFrame, column: Column | str) -> DataFrame:
     """Values of ``all_values`` that ``served`` lacks."""
     return all_values.select(column).join(served.select(column).distinct(), column, "left_anti")
+
+
+def batch_stats(batches: DataFrame, within: list[str], batch: str = "batch_id", tokens: str = "n_tokens") -> DataFrame:
+    """Chunks and tokens of each request batch."""
+    return batches.groupBy(*within, batch).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(tokens).alias("n_tokens"))
+
+
+def chunks_by_topic(topics: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``topic, n_chunks`` of every topic, 0 for one without chunks; a chunk counts once for each of its topics."""
+    counts = chunks.select(F.explode("topics").alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return topics.select("topic").join(counts, "topic", "left").na.fill(0, ["n_chunks"])
+
+
+def abbreviation_probe(sentences: DataFrame, sentence: str, key: list[str], shorter: int = 300, n: int = 1) -> DataFrame:
+    """The first ``n`` sentences in key order that hold an abbreviation and are shorter than ``shorter``."""
+    marks = "|".join(a.replace(".", r"\.") for a in K.ABBREVIATIONS)
+    return sentences.filter(F.col(sentence).rlike(rf"(?<![A-Za-z0-9_])(?:{marks})\.") & (F.length(sentence) < shorter)).orderBy(*key).limit(n)

@@ -66,3 +66,11 @@ def likeness_to_previous(df: DataFrame, vector: str, order: list[str], within: l
 
 def cosine_of(a: Column, b: Column, digits: int = 6) -> Column:
     return F.round(cosine(a, b), digits)
+
+
+def zipped(index: DataFrame, vectors: DataFrame, place: str = "place", vector: str = "embedding") -> DataFrame:
+    """Index rows with the vectors stored at the same place; a place that only one side has gives no row.
+
+    For importing an index and a matrix kept apart; here both live in one row.
+    """
+    return index.join(vectors.select(place, vector), place)

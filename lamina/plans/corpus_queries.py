@@ -13,7 +13,7 @@ from lamina.operators import dedup, embedding, images, metrics, pages, parsing
 from lamina.operators import sources_chunking as C
 from lamina.plans import jobs
 from lamina.plans import sql as S
-from lamina.plans.registry import query
+from lamina.plans.registry import SQL, query
 from lamina.session import checkpoint_dir, table
 from lamina.sources import store
 from lamina.streaming import ingest
@@ -244,6 +244,19 @@ def embed_batches(spark: SparkSession, d: str) -> DataFrame:
     return out.select("source", "source_id", "chunk_id", F.col("batch_id").cast("long"))
 
 
+@query(SQL["embed_batches"].replace("SELECT source, source_id, chunk_id, CAST(b AS BIGINT) AS batch_id FROM p", "SELECT p.source, p.source_id, CAST(p.b AS BIGINT) AS batch_id, count(*) AS n_chunks, CAST(sum(o.tok) AS BIGINT) AS n_tokens FROM p JOIN o USING (source, source_id, chunk_id) GROUP BY p.source, p.source_id, p.b"))
+def batch_stats(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks").filter("chunk_id IS NOT NULL").withColumn("title", F.col("metadata.title"))
+    once = dedup.first_by_key(chunks, ["chunk_id"], ["written_at", "title"])
+    out = embedding.request_batches(once, "chunk_id", "text", ["source", "source_id"], ["chunk_id"], _BATCH, _MOST)
+    return metrics.batch_stats(out.withColumn("batch_id", F.col("batch_id").cast("long")), ["source", "source_id"])
+
+
+@query("SELECT t.topic, count(c.topic) AS n_chunks FROM topic_list t LEFT JOIN (SELECT unnest(topics) AS topic FROM chunks) c ON c.topic = t.topic GROUP BY t.topic")
+def chunks_by_topic(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.chunks_by_topic(table(spark, d, "topic_list"), table(spark, d, "chunks"))
+
+
 @query("SELECT DISTINCT point_id, chunk_id, source, array_to_string(topics, '|') AS topics, source_id, chunk_type FROM chunks")
 def index_projection(spark: SparkSession, d: str) -> DataFrame:
     return store.index_columns(table(spark, d, "chunks")).withColumn("topics", F.array_join("topics", "|")).distinct()

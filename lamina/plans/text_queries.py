@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lamina import constants as K
 from lamina.functions import text as T
 from lamina.functions.vectors import cosine
-from lamina.operators import chunking, embedding, similarity
+from lamina.operators import chunking, embedding, metrics, similarity
 from lamina.operators.packing import packed
 from lamina.plans import sql as S
 from lamina.plans.registry import query
@@ -180,3 +180,20 @@ def embed_text(spark: SparkSession, d: str) -> DataFrame:
     once = table(spark, d, "chunks").select("point_id", "chunk_id", "text", "written_at")
     once = embedding.deduplicated(once, ["written_at", "chunk_id"])
     return embedding.embed_texts(once.select("point_id", "text"), embedding.HashedProvider(64)).select("point_id", F.array_join(F.transform("embedding", lambda x: F.round(x, 4).cast("string")), " ").alias("vector"))
+
+
+_MARKS = "|".join(a.replace(".", "\\.") for a in K.ABBREVIATIONS)
+
+
+@query(f"""SELECT doc_id, idx, sentence FROM (SELECT doc_id, unnest(generate_series(0, len(x) - 1)) AS idx, unnest(x) AS sentence FROM (SELECT doc_id, {S.sentences('text')} AS x FROM documents WHERE text IS NOT NULL) WHERE len(x) > 0)
+WHERE regexp_matches(sentence, '\\b({_MARKS})\\.') AND length(sentence) < 300 ORDER BY doc_id, idx LIMIT 1""")
+def abbreviation_probe(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.abbreviation_probe(sentences_abbrev(spark, d), "sentence", ["doc_id", "idx"])
+
+
+@query("SELECT vec_id, label, md5(array_to_string(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)), ' ')) AS digest FROM embeddings")
+def vectors_by_position(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    index, matrix = v.select(F.col("vec_id").alias("place"), "vec_id", "label"), v.select(F.col("vec_id").alias("place"), "embedding")
+    digest = F.md5(F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string")), " "))
+    return similarity.zipped(index, matrix).select("vec_id", "label", digest.alias("digest"))

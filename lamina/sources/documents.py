@@ -98,13 +98,31 @@ def binary_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).selectExpr("path AS doc", "content AS data")
 
 
+def _opened(extractor: Extractor, data: bytes | None) -> tuple[list[Page], str | None]:
+    try:
+        return extractor.pages(bytes(data)), None
+    except Exception as e:
+        return [], f"{type(e).__name__}: {e}"
+
+
+def broken_documents(documents: DataFrame, extractor: Extractor) -> DataFrame:
+    """``doc, error`` of the documents that cannot be opened."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            told = [(doc, _opened(extractor, data)[1]) for doc, data in zip(batch["doc"], batch["data"])]
+            yield pd.DataFrame([x for x in told if x[1]], columns=["doc", "error"])
+
+    return documents.select("doc", "data").mapInPandas(run, "doc string, error string")
+
+
 def extract_pages(documents: DataFrame, extractor: Extractor) -> DataFrame:
-    """Pages of documents (doc, data), numbered from 0. A document that cannot be opened fails the job."""
+    """Pages of documents (doc, data), numbered from 0. A document that cannot be opened has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc, data in zip(batch["doc"], batch["data"]):
-                rows = [(doc, i, p.clean, p.raw, p.tables) for i, p in enumerate(extractor.pages(bytes(data)))]
+                rows = [(doc, i, p.clean, p.raw, p.tables) for i, p in enumerate(_opened(extractor, data)[0])]
                 yield pd.DataFrame(rows, columns=["doc", "page_number", "clean", "raw", "tables"])
 
     return documents.select("doc", "data").mapInPandas(run, PAGE_DDL)

@@ -104,6 +104,22 @@ def load_embeddings(spark: SparkSession, path: str, source: str | None = None, d
     return df
 
 
+def load_image_embeddings(spark: SparkSession, path: str, dimensions: int | None = None) -> DataFrame:
+    return load_embeddings(spark, path, dimensions=dimensions)
+
+
+def save_images(images: DataFrame, path: str) -> None:
+    """Image bytes and their metadata by topic; the topics written are replaced."""
+    kept = images.select("topic", "page_number", "image_index", "filename", "width", "height", "image_type", "data")
+    kept.withColumn("part", file_name(F.col("topic"))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def load_image_table(spark: SparkSession, path: str, topic: str | None = None) -> DataFrame:
+    """Metadata of images, without their bytes; none where nothing is stored."""
+    wanted = {"part": topic.replace(" ", "_")} if topic else {}
+    return read_table(spark, path, S.IMAGE_DDL + ", part string", **wanted).select(*[f.name for f in T._parse_datatype_string(S.IMAGE_DDL).fields])
+
+
 def index_columns(df: DataFrame, kind: str = "text") -> DataFrame:
     """The columns of a text or image index."""
     names = [f.name for f in T._parse_datatype_string(S.TEXT_INDEX_DDL if kind == "text" else S.IMAGE_INDEX_DDL).fields]

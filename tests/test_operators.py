@@ -194,3 +194,48 @@ def test_hot_groups_join_like_others(spark):
     groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("m"))
     got = join_groups(rows, groups, ["k"], "n", 3000)
     assert got.count() == 3000 and got.filter("k = 0").agg(F.min("n"), F.max("m")).first()[:] == (1000, 0)
+
+
+def test_broken_documents_are_told_apart(spark):
+    class Picky(documents.PlainText):
+        def pages(self, data):
+            if data == b"bad":
+                raise ValueError("no pages")
+            return super().pages(data)
+
+    df = spark.createDataFrame([("a", b"one"), ("b", b"bad"), ("c", None)], "doc string, data binary")
+    assert [r["doc"] for r in documents.extract_pages(df, Picky()).collect()] == ["a"]
+    assert sorted((r["doc"], r["error"].split(":")[0]) for r in documents.broken_documents(df, Picky()).collect()) == [("b", "ValueError"), ("c", "TypeError")]
+
+
+def test_image_table(spark, tmp_path):
+    path = f"file://{tmp_path}/i"
+    assert store.load_image_table(spark, path).count() == 0
+    df = spark.createDataFrame([("hiv aids", 1, 0, "f.png", 2, 3, "embedded", b"x")], "topic string, page_number int, image_index int, filename string, width int, height int, image_type string, data binary")
+    store.save_images(df, path)
+    store.save_images(df, path)
+    assert [r["filename"] for r in store.load_image_table(spark, path, "hiv aids").collect()] == ["f.png"] and store.load_image_table(spark, path, "asthma").count() == 0
+
+
+def test_chunks_are_stored_under_each_topic(spark, tmp_path):
+    path = f"file://{tmp_path}/c"
+    row = ("c1", "p1", "t", "t", "pubmed", ["hiv aids", "copd"], "1", 0, "text", None)
+    df = spark.createDataFrame([row], store.DDL["chunk"])
+    store.save_chunks(df, path)
+    store.save_chunks(df, path)
+    assert store.load_chunks(spark, path, "pubmed", "hiv aids").count() == 1 and store.load_chunks(spark, path).count() == 2
+    assert store.load_chunks(spark, f"{path}-none", "pubmed").count() == 0
+
+
+def test_neighbours_cross_partitions(spark):
+    from lamina.operators.similarity import likeness_to_previous
+
+    rows = [(i, i % 3 == 0, [1.0, float(i % 5)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, g boolean, v array<double>").repartition(7)
+    got = {r["k"]: r["similarity"] for r in likeness_to_previous(df, "v", ["k"], ["g"]).collect()}
+    last, want = {}, {}
+    for k, g, v in rows:
+        p = last.get(g)
+        want[k] = None if p is None else round(sum(a * b for a, b in zip(p, v)) / (sum(a * a for a in p) * sum(a * a for a in v)) ** 0.5, 6)
+        last[g] = v
+    assert got == want
