@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.bloom import filter_bits, hashes_of, holds, merged_filter
+from lamina.llm.frames import ids
 from lamina.session import cut_lineage, ship_package, spread
 
 #: A word: letters and characters beyond ASCII, one of the latter at least. A run: such characters as
 #: Latin text and single-byte decodings use, also where they touch another script.
-WORD = r"([A-Za-z]*[\x{80}-\x{10FFFF}][A-Za-z\x{80}-\x{10FFFF}]*)"
-RUN = r"([\x{80}-\x{2FF}\x{2000}-\x{22FF}]{2,})"
+WORD = r"((?<![A-Za-z\x{80}-\x{10FFFF}])[A-Za-z]*+[\x{80}-\x{10FFFF}][A-Za-z\x{80}-\x{10FFFF}]*+)"
+RUN = r"([\x{80}-\x{2FF}\x{2000}-\x{22FF}]{2,}+)"
 #: Characters of garbled forms that are tested against the filter at once.
 AT_ONCE = 1 << 20
 
@@ -179,7 +180,7 @@ def restored_documents(documents: DataFrame) -> DataFrame:
     """``doc_id, restored, n_words, complete`` of every garbled document.
 
     ``restored`` is the text with its garbled words replaced, ``complete`` whether nothing garbled is
-    left that could be told. Documents that hold nothing restorable come back as they are.
+    left that could be told. Documents that hold nothing restorable, or have no id, come back as they are.
     """
     words = garbled_occurrences(documents).groupBy("doc_id").agg(F.collect_list("word").alias("words"), F.collect_list("original").alias("originals"))
     rows = _documents(documents).join(words, "doc_id", "left").filter(F.col("words").isNotNull() | lost(F.col("text")))
@@ -189,13 +190,13 @@ def restored_documents(documents: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for doc, text, words, originals in zip(batch["doc_id"], batch["text"], batch["words"], batch["originals"]):
+            for doc, text, words, originals in zip(ids(batch["doc_id"]), batch["text"], batch["words"], batch["originals"]):
                 pairs = dict(zip(words, originals)) if words is not None else {}
                 count = 0
                 if pairs:
                     pattern = re.compile("|".join(re.escape(w) for w in sorted(pairs, key=lambda w: (-len(w), w))))
                     text, count = pattern.subn(lambda m: pairs[m[0]], text)
                 out.append((doc, text, count, not re.search("[�\x80-\x84\x86-\x9f]", text)))
-            yield pd.DataFrame(out, columns=["doc_id", "restored", "n_words", "complete"])
+            yield pd.DataFrame(out, columns=["doc_id", "restored", "n_words", "complete"]).astype({"doc_id": object})
 
     return rows.mapInPandas(restore, "doc_id long, restored string, n_words long, complete boolean")

@@ -185,11 +185,11 @@ def _pairs_of_cells(threshold: float):
 
 
 def text_classes(records: DataFrame, record_id: str, fields: list[str]) -> DataFrame:
-    """``record_id, rep_id, triples`` of records with a triple; records of equal words share the least id."""
+    """``record_id, rep_id, triples`` of records with an id and a triple; records of equal words share the least id."""
     ship_package(records.sparkSession)
     words = F.regexp_extract_all(record_text(fields), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     said = records.select(F.col(record_id).alias("record_id"), words.alias("words"))
-    return said.filter(F.size("words") >= 3).select("record_id", F.sha2(F.array_join("words", " "), 256).alias("class"), word_triples(F.col("words")).alias("triples"))
+    return said.filter((F.size("words") >= 3) & F.col("record_id").isNotNull()).select("record_id", F.sha2(F.array_join("words", " "), 256).alias("class"), word_triples(F.col("words")).alias("triples"))
 
 
 def similar_classes(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.frames import ids
 from lamina.session import ship_package
 
 #: Boundaries from the strongest to the weakest; a piece may end where a match ends.
@@ -123,12 +124,12 @@ def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for field, item, body, limit, overlap in zip(batch["item_field"], batch["item_id"], batch["body"], batch["max_chars"], batch["overlap_chars"]):
+            for field, item, body, limit, overlap in zip(batch["item_field"], ids(batch["item_id"]), batch["body"], batch["max_chars"], batch["overlap_chars"]):
                 overlap = max(0, min(int(overlap), (int(limit) - 1) // 2))
                 cuts = cut_points(body, int(limit), overlap)
                 starts, stops = [0, *(c - overlap for c in cuts)], [*cuts, len(body)]
                 rows += [(field, item, k, len(starts), a, b, body[a:b], b - a) for k, (a, b) in enumerate(zip(starts, stops))]
-            yield pd.DataFrame(rows, columns=columns)
+            yield pd.DataFrame(rows, columns=columns).astype({"item_id": object})
 
     above = sized.filter(F.length("body") > F.col("max_chars")).mapInPandas(cut, whole.schema)
     return whole.unionByName(above)

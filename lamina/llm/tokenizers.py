@@ -117,16 +117,13 @@ class TokenCounter:
         if data in self.vocabulary.ranks:
             return 1
         tokens, fits = self.vocabulary.tokens, self.fits
-        ending: list[list[int]] = [[] for _ in range(len(data) + 1)]
-        for end, rank in self.automaton.iter(data.decode("latin-1")):
-            ending[end + 1].append(rank)
         last, count = [-1] * (len(data) + 1), [0] * (len(data) + 1)
-        for i in range(1, len(data) + 1):
-            for rank in ending[i]:
+        for end, rank in self.automaton.iter(data.decode("latin-1")):
+            i = end + 1
+            if last[i] < 0:
                 start = i - len(tokens[rank])
-                if start == 0 or (last[start] >= 0 and fits(last[start], rank)):
+                if start == 0 or fits(last[start], rank):
                     last[i], count[i] = rank, count[start] + 1
-                    break
         return count[-1]
 
     def count(self, text: str | None) -> int:

@@ -28,10 +28,10 @@ def test_strongest_boundary_near_the_target():
 
 def test_items(spark, empty):
     limits = spark.createDataFrame([("f", 20, 5)], "item_field string, max_chars int, overlap_chars int")
-    rows = [("f", 1, "short"), ("f", 2, ""), ("f", 3, None), ("f", 4, "One two three. Four five six. Seven."), ("g", 5, "no limit" * 9), ("f", 6, "x" * 200_000)]
+    rows = [("f", 1, "short"), ("f", 2, ""), ("f", 3, None), ("f", 4, "One two three. Four five six. Seven."), ("g", 5, "no limit" * 9), ("f", 6, "x" * 200_000), ("f", None, "no id " * 9)]
     items = spark.createDataFrame(rows, "item_field string, item_id long, body string").withColumns({"piece": F.lit(1), "max_chars": F.lit(2)})
     got = split.split_items(items, limits).orderBy("item_id", "piece_no").collect()
-    assert {r["item_id"] for r in got} == {1, 2, 4, 6} and all(r["n_chars"] <= 20 and len(r["piece"]) == r["n_chars"] for r in got)
+    assert {r["item_id"] for r in got} == {1, 2, 4, 6, None} and all(r["n_chars"] <= 20 and len(r["piece"]) == r["n_chars"] for r in got)
     four = [r["piece"] for r in got if r["item_id"] == 4]
     assert all(b.startswith(a[-5:]) for a, b in zip(four, four[1:]))
     assert split.split_items(empty("item_field string, item_id long, body string"), limits).count() == 0
@@ -55,7 +55,7 @@ def test_flight_keeps_documents_and_tokens():
 def documents(spark):
     r = random.Random(1)
     rows = [(i, " ".join(["word"] * r.randint(1, 60)), r.choice(["a", "a", "a", "b", "c"])) for i in range(1500)]
-    rows += [(5000, None, "a"), (5001, "", "b"), (5002, "text", None), (5003, "text", "other")]
+    rows += [(5000, None, "a"), (5001, "", "b"), (5002, "text", None), (5003, "text", "other"), (None, "no id here", "a"), (7, "again", "b"), (7, "again", "b")]
     return spark.createDataFrame(rows, "doc_id long, text string, source string")
 
 
@@ -65,7 +65,7 @@ def test_shares_and_repeats(spark):
     rows = {r["source"]: r for r in report.collect()}
     most = {"a": 1, "b": 3, "c": 1}
     copies = mixture.collect()
-    assert all(1 <= r["copies"] <= most[r["source"]] for r in copies) and len({r["doc_id"] for r in copies}) == len(copies)
+    assert all(1 <= r["copies"] <= most[r["source"]] for r in copies) and len({r["doc_id"] for r in copies}) >= len(copies) - 2
     for s in "ab":
         assert rows[s]["feasible"] and abs(rows[s]["used_tokens"] - rows[s]["goal_tokens"]) <= 130
     assert not rows["none"]["feasible"] and rows["none"]["used_tokens"] == 0
