@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -38,6 +38,7 @@ _HEADING = re.compile(r"^\d{1,2}(?:\.\d{1,2}){0,3}\.? (?=\S)(?!\d)")
 _FINAL = re.compile(r"[.!?…。！？؟।:;,،，、；：]['”’»\")\]』」）]*\s*$")
 _ENDED = re.compile(r"[.!?…。！？؟।](?:\s?['”’»\")\]』」）])*\s*$")
 _SEP = re.compile(r"\s+")
+_DIVIDED = re.compile(r"[^\W\d_][-‐¬\u00ad]\s*$")
 
 
 @lru_cache(maxsize=1 << 15)
@@ -221,37 +222,80 @@ def _is_heading(raw: list[str], kinds: list[str], i: int) -> bool:
     return alone and ended and starts_loose(x) and len(x) <= 60 and after is not None
 
 
+def mark_tables(lines: list[Line], known: Collection[int] = ()) -> None:
+    """Make table rows of the text lines that neither end a sentence nor run on to the next one.
+
+    A line runs on if it ends in a divided word, or if it is full and the next text line is none of a
+    table. ``known`` lines keep their kind.
+    """
+    texts = [i for i, x in enumerate(lines) if x.kind == TEXT]
+    if not texts:
+        return
+    divided = sorted(len(lines[i].text) for i in texts if _DIVIDED.search(lines[i].text))
+    lengths = sorted(len(lines[i].text) for i in texts)
+    width = divided[len(divided) // 2] if len(divided) >= 3 else lengths[len(lengths) * 9 // 10]
+    after: int | None = None
+    for i in reversed(texts):
+        x = lines[i].text.rstrip()
+        if i not in known and not _ENDED.search(x) and not _DIVIDED.search(x):
+            goes_on = after is not None and lines[after].kind == TEXT and all(lines[j].kind in (HEADER, PAGE) for j in range(i + 1, after))
+            if not goes_on or len(x) + 1 + len(lines[after].text.split()[0]) <= width - 2 or len(x) > width + 8:
+                lines[i].kind = TABLE
+        after = i
+
+
+def matches(clean: list[str], raw: list[str]) -> dict[int, int]:
+    """Raw line of each clean line, where the clean lines are the raw ones with some left out."""
+    out, j = {}, 0
+    for i, x in enumerate(clean):
+        k = j
+        while k < len(raw) and raw[k] != x:
+            k += 1
+        if k < len(raw):
+            out[i], j = k, k + 1
+    return out
+
+
 def running_lines(guidelines: DataFrame) -> frozenset[str]:
     """Folded forms of the lines that run through many documents.
 
     A form needs a thousandth of the documents, so there are at most a thousand times as many as a
-    document has candidate lines on average; that set is collected and sent to the workers.
+    document has candidate lines on average; that set is collected and sent to the workers. Lines the raw
+    text has beyond the clean one may be rows of tables and count beside a page number only.
     """
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text in batch["clean_text"]:
-                lines = [x for x in (text or "").split("\n")]
+            for clean, raw in zip(batch["clean_text"], batch["raw_text"]):
                 seen: dict[str, list[int]] = {}
-                full = [i for i, x in enumerate(lines) if x.strip()]
-                for at, i in enumerate(full):
-                    body, numbered = bare(lines[i])
-                    if page_form(lines[i]) or not _wordy(body) or not starts_loose(body):
-                        continue
-                    below = full[at + 1] if at + 1 < len(full) else None
-                    paged = [j for j in (i - 1, i + 1) if 0 <= j < len(lines) and page_form(lines[j])]
-                    gap = below is None or below > i + 1
-                    cased = body[:1].isupper()
-                    loose = numbered or bool(paged) or gap or (cased and lines[below].strip()[:1].isupper())
-                    count = seen.setdefault(folded(body), [0, 0, 0])
-                    count[0] += 1
-                    count[1] += loose
-                    count[2] += numbered or bool(paged)
+                clean_lines, raw_lines = (clean or "").split("\n"), (raw or "").split("\n")
+                known = set(matches(clean_lines, raw_lines).values())
+                for lines, tables in ((clean_lines, False), (raw_lines, True)):
+                    full = [i for i, x in enumerate(lines) if x.strip()]
+                    for at, i in enumerate(full):
+                        if tables and i in known:
+                            continue
+                        body, numbered = bare(lines[i])
+                        if page_form(lines[i]) or not _wordy(body) or not starts_loose(body):
+                            continue
+                        below = full[at + 1] if at + 1 < len(full) else None
+                        near = [f for j in (i - 1, i + 1) if 0 <= j < len(lines) and (f := page_form(lines[j]))]
+                        paged = any(f[0] not in ("N", "r") for f in near) if tables else bool(near)
+                        if tables and not paged:
+                            continue
+                        gap = below is None or below > i + 1
+                        cased = body[:1].isupper()
+                        loose = numbered or paged or gap or (cased and lines[below].strip()[:1].isupper())
+                        count = seen.setdefault(folded(body), [0, 0, 0])
+                        count[0] += 1
+                        count[1] += loose
+                        count[2] += numbered or paged
                 rows += [(k, *v) for k, v in seen.items()]
             yield pd.DataFrame(rows, columns=["line", "n", "loose", "paged"])
 
+    raw = "raw_text" if "raw_text" in guidelines.columns else "CAST(NULL AS string) AS raw_text"
     total = guidelines.count()
-    found = guidelines.select("clean_text").mapInPandas(candidates, "line string, n long, loose long, paged long").groupBy("line")
+    found = guidelines.selectExpr("clean_text", raw).mapInPandas(candidates, "line string, n long, loose long, paged long").groupBy("line")
     sums = found.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.sum("loose").alias("loose"), F.sum("paged").alias("paged"))
     kept = sums.filter((F.col("docs") >= max(3, total * RUNNING_SHARE)) & (F.col("loose") >= RUNNING_LOOSE * F.col("n")) & (F.col("n") >= 1.3 * F.col("docs")))
     return frozenset(r["line"] for r in kept.select("line").collect())

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.bloom import filter_bits, hashes_of, holds, merged_filter
-from lamina.llm.layout import BLANK, HEADER, HEADING, PAGE, TEXT, Line, read_lines, running_lines
+from lamina.llm.layout import BLANK, HEADER, HEADING, PAGE, TABLE, TEXT, Line, mark_tables, matches, read_lines, running_lines
 from lamina.session import cut_lineage, ship_package, spread
 
 #: What a scanner makes of what was printed: (misread, printed).
@@ -126,55 +126,84 @@ def _spelt(word: str) -> list[str]:
     return [w] if len(parts) == 1 else [w, *[p for p in parts if p]]
 
 
-def _documents(guidelines: DataFrame) -> DataFrame:
-    return spread(guidelines.select("guideline_id", "title", "clean_text", "raw_text").filter("guideline_id IS NOT NULL"))
+KINDS = (BLANK, HEADER, PAGE, HEADING, TEXT, TABLE)
 
 
-def _each(batches: Iterator[pd.DataFrame], running: frozenset[str]) -> Iterator[tuple[int, list[Line], str | None, str | None]]:
+def read_fields(clean: str | None, raw: str | None, title: str | None, running: frozenset[str]) -> tuple[list[Line], list[Line], set[int]]:
+    """Lines of both texts, and which raw lines are lines of the clean text; those are of the same kind."""
+    lines, full = read_lines(clean, title, running), read_lines(raw, title, running, tables=True)
+    known = {k: i for i, k in matches([x.text for x in lines], [x.text for x in full]).items()}
+    for k, i in known.items():
+        full[k].kind = lines[i].kind
+    mark_tables(full, known)
+    return lines, full, set(known)
+
+
+def read_documents(guidelines: DataFrame, running: frozenset[str]) -> DataFrame:
+    """The documents with the kinds of their lines (a digit each), and by ``known`` the raw lines that the clean text has."""
+    chosen = spread(guidelines.select("guideline_id", "title", "clean_text", "raw_text").filter("guideline_id IS NOT NULL"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digits = lambda lines: "".join(str(KINDS.index(x.kind)) for x in lines)
+        for batch in batches:
+            rows = []
+            for key, title, clean, raw in zip(batch["guideline_id"], batch["title"], batch["clean_text"], batch["raw_text"]):
+                lines, full, known = read_fields(clean, raw, title, running)
+                rows.append((key, clean, raw, digits(lines), digits(full), "".join("01"[k in known] for k in range(len(full)))))
+            yield pd.DataFrame(rows, columns=["guideline_id", "clean_text", "raw_text", "clean_kinds", "raw_kinds", "known"])
+
+    return chosen.mapInPandas(read, "guideline_id long, clean_text string, raw_text string, clean_kinds string, raw_kinds string, known string")
+
+
+def _lines(text: str | None, kinds: str) -> list[Line]:
+    return [Line(x, KINDS[int(k)]) for x, k in zip((text or "").split("\n"), kinds)]
+
+
+def _each(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple[str, list[Line], set[int]]]]]:
+    """Of each document its key and its fields: name, lines, and the lines another field has counted."""
     for batch in batches:
-        for key, title, clean, raw in zip(batch["guideline_id"], batch["title"], batch["clean_text"], batch["raw_text"]):
-            yield key, read_lines(clean, title, running), raw, title
+        for key, clean, raw, a, b, known in zip(*[batch[c] for c in ("guideline_id", "clean_text", "raw_text", "clean_kinds", "raw_kinds", "known")]):
+            yield key, [("raw_text", _lines(raw, b), {k for k, x in enumerate(known) if x == "1"}), ("clean_text", _lines(clean, a), set())]
 
 
-SURVEY = "tag string, guideline_id long, line_no int, raw_line int, a string, b string, c string, d string, e string, n long, docs long"
+SURVEY = "tag string, guideline_id long, item_field string, line_no int, a string, b string, c string, d string, e string, n long, docs long"
 
 
-def survey(documents: DataFrame, running: frozenset[str]) -> DataFrame:
+def survey(documents: DataFrame) -> DataFrame:
     """All that one reading of the documents gives, in tagged rows.
 
     ``word``: a word of the running text (a) with its number (n) and that of its documents (docs),
-    compounds also by part. ``line``: a
-    running line or page number: field (a), kind (b). ``end``: a clean line that ends in a dividing
+    compounds also by part; what both texts of a document have is counted once. ``line``: a
+    running line or page number and its kind (a). ``end``: a line that ends in a dividing
     mark: the word joined (a), hyphened (b), its parts at the seam joined (c), left (d), right (e), and
-    whether the mark is no hyphen (n). ``raw_line`` is the line of the raw text that a clean line is.
+    whether the mark is no hyphen (n).
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
 
-        columns = ["tag", "guideline_id", "line_no", "raw_line", "a", "b", "c", "d", "e", "n", "docs"]
+        columns = ["tag", "guideline_id", "item_field", "line_no", "a", "b", "c", "d", "e", "n", "docs"]
         found: Counter[str] = Counter()
         held: Counter[str] = Counter()
-        words = lambda: pd.DataFrame([("word", None, None, None, w, None, None, None, None, n, held[w]) for w, n in found.items()], columns=columns).astype({"guideline_id": "Int64", "line_no": "Int32", "raw_line": "Int32"})
-        for key, lines, raw, title in _each(batches, running):
-            said = Counter(s for _, w in running_words(lines) for s in _spelt(w))
+        words = lambda: pd.DataFrame([("word", None, None, None, w, None, None, None, None, n, held[w]) for w, n in found.items()], columns=columns).astype({"guideline_id": "Int64", "line_no": "Int32"})
+        for key, fields in _each(batches):
+            said: Counter[str] = Counter()
+            rows: list[tuple] = []
+            for field, lines, known in fields:
+                said.update(s for i, w in running_words(lines) if i not in known for s in _spelt(w))
+                rows += [("line", key, field, i, x.kind, None, None, None, None, 0, 0) for i, x in enumerate(lines) if x.kind in (HEADER, PAGE)]
+                texts = text_lines(lines)
+                for k, i in enumerate(texts):
+                    end = line_end(lines, texts, k)
+                    if end:
+                        mark, left, right = end
+                        l, r = PARTS.split(left)[-1].casefold(), PARTS.split(right)[0].casefold()
+                        forms = [(left + right).casefold(), f"{left}-{right}".casefold(), l + r, l, r]
+                        rows.append(("end", key, field, i, *forms, int(mark in "¬\u00ad"), 0))
             found.update(said)
             held.update(said.keys())
-            rows = [("line", key, i, None, "clean_text", x.kind, None, None, None, 0, 0) for i, x in enumerate(lines) if x.kind in (HEADER, PAGE)]
-            full = read_lines(raw, title, running, tables=True)
-            match = _matches([x.text for x in lines], [x.text for x in full])
-            known = {k: lines[i].kind for i, k in match.items()}
-            rows += [("line", key, k, None, "raw_text", kind, None, None, None, 0, 0) for k, x in enumerate(full) if (kind := known.get(k, x.kind)) in (HEADER, PAGE)]
-            texts = text_lines(lines)
-            for k, i in enumerate(texts):
-                end = line_end(lines, texts, k)
-                if end:
-                    mark, left, right = end
-                    l, r = PARTS.split(left)[-1].casefold(), PARTS.split(right)[0].casefold()
-                    forms = [(left + right).casefold(), f"{left}-{right}".casefold(), l + r, l, r]
-                    rows.append(("end", key, i, match.get(i), *forms, int(mark in "¬­"), 0))
             if rows:
-                yield pd.DataFrame(rows, columns=columns).astype({"guideline_id": "Int64", "line_no": "Int32", "raw_line": "Int32"})
+                yield pd.DataFrame(rows, columns=columns).astype({"guideline_id": "Int64", "line_no": "Int32"})
             if len(found) > 200_000:
                 yield words()
                 found.clear()
@@ -191,7 +220,7 @@ def _held(bitmap, words: set[str]) -> set[str]:
     return {w for w, h in zip(listed, holds(bitmap, hashes_of(listed))) if h} if listed else set()
 
 
-def word_vectors(documents: DataFrame, running: frozenset[str], wanted: DataFrame) -> DataFrame:
+def word_vectors(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """``word, vector`` for the words in ``wanted`` (word): skip-gram counts projected by fixed random signs.
 
     Every word around (two before, two after) adds its own random vector, less the more frequent it is.
@@ -199,11 +228,12 @@ def word_vectors(documents: DataFrame, running: frozenset[str], wanted: DataFram
     keys = documents.sparkSession.sparkContext.broadcast(merged_filter(wanted.select(F.xxhash64("word")), filter_bits(wanted.count()), repeated=False))
 
     def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, lines, _, _ in _each(batches, running):
-            words = [w.casefold() for _, w in running_words(lines)]
-            known = _held(keys.value, set(words))
-            rows = [(w, words[j]) for i, w in enumerate(words) if w in known for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(words)]
-            yield pd.DataFrame(rows, columns=["word", "context"])
+        for _, fields in _each(batches):
+            for _, lines, counted in fields:
+                said = [(i, w.casefold()) for i, w in running_words(lines)]
+                known = _held(keys.value, {w for i, w in said if i not in counted})
+                rows = [(w, said[j][1]) for k, (i, w) in enumerate(said) if i not in counted and w in known for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < len(said)]
+                yield pd.DataFrame(rows, columns=["word", "context"])
 
     grams = documents.mapInPandas(around, "word string, context string")
     counts = grams.groupBy("word", "context").agg(F.count(F.lit(1)).alias("n"))
@@ -212,7 +242,7 @@ def word_vectors(documents: DataFrame, running: frozenset[str], wanted: DataFram
     return counts.groupBy("word").agg(*signs).select("word", F.array(*[f"v{d}" for d in range(DIMENSIONS)]).alias("vector")).join(wanted, "word", "left_semi")
 
 
-def misread_words(documents: DataFrame, running: frozenset[str], vocabulary: DataFrame) -> DataFrame:
+def misread_words(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``word, printed``: misread words of the vocabulary and what was printed."""
 
     def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,7 +267,7 @@ def misread_words(documents: DataFrame, running: frozenset[str], vocabulary: Dat
     unsure = best.filter(~F.col("is_odd") & (F.col("n_word") >= SEEN))
     wanted = unsure.select("word").unionByName(unsure.select(F.col("printed").alias("word"))).distinct()
     wanted = cut_lineage(wanted)
-    vectors = cut_lineage(word_vectors(documents, running, wanted))
+    vectors = cut_lineage(word_vectors(documents, wanted))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     pairs = unsure.join(vectors.withColumnRenamed("vector", "v"), "word").join(vectors.select(F.col("word").alias("printed"), F.col("vector").alias("u")), "printed")
     like = pairs.withColumn("likeness", dot(F.col("u"), F.col("v")) / F.sqrt(dot(F.col("u"), F.col("u")) * dot(F.col("v"), F.col("v"))))
@@ -245,78 +275,61 @@ def misread_words(documents: DataFrame, running: frozenset[str], vocabulary: Dat
     return best.join(apart, "word", "left_anti").select("word", "printed")
 
 
-def _matches(clean: list[str], raw: list[str]) -> dict[int, int]:
-    """Raw line of each clean line, where the clean lines are the raw ones with some left out."""
-    out, j = {}, 0
-    for i, x in enumerate(clean):
-        k = j
-        while k < len(raw) and raw[k] != x:
-            k += 1
-        if k < len(raw):
-            out[i], j = k, k + 1
-    return out
-
-
 class Scans:
     """Analysis of the guidelines of one corpus, shared by the finding and the repairing query."""
 
     def __init__(self, guidelines: DataFrame) -> None:
         ship_package(guidelines.sparkSession)
-        self.documents = _documents(guidelines)
-        self.running = running_lines(guidelines)
-        self.survey = cut_lineage(survey(self.documents, self.running))
+        self.documents = cut_lineage(read_documents(guidelines, running_lines(guidelines)))
+        self.survey = cut_lineage(survey(self.documents))
         words = self.survey.filter("tag = 'word'").groupBy(F.col("a").alias("word"))
         self.vocabulary = cut_lineage(words.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-        self.misread = cut_lineage(misread_words(self.documents, self.running, self.vocabulary))
+        self.misread = cut_lineage(misread_words(self.documents, self.vocabulary))
 
     def furniture(self) -> DataFrame:
         """``guideline_id, item_field, line_no, kind`` of running lines and page numbers."""
-        return self.survey.filter("tag = 'line'").select("guideline_id", F.col("a").alias("item_field"), "line_no", F.col("b").alias("kind"))
+        return self.survey.filter("tag = 'line'").select("guideline_id", "item_field", "line_no", F.col("a").alias("kind"))
 
     def breaks(self) -> DataFrame:
-        """``guideline_id, line_no, raw_line, joined, is_break`` of clean lines that end in a dividing mark."""
+        """``guideline_id, item_field, line_no, joined, is_break`` of lines that end in a dividing mark."""
         named = dict(zip("abcde", ["joined", "hyphened", "seam", "left", "right"]))
-        held = self.survey.filter("tag = 'end'").select("guideline_id", "line_no", "raw_line", (F.col("n") > 0).alias("sure"), *[F.col(c).alias(f) for c, f in named.items()])
+        held = self.survey.filter("tag = 'end'").select("guideline_id", "item_field", "line_no", (F.col("n") > 0).alias("sure"), *[F.col(c).alias(f) for c, f in named.items()])
         forms = list(named.values())
-        long = held.select("guideline_id", "line_no", F.explode(F.create_map(*[x for f in forms for x in (F.lit(f), F.col(f))])).alias("form", "word"))
-        told = long.join(self.vocabulary, "word").groupBy("guideline_id", "line_no").agg(*[F.max(F.when(F.col("form") == f, F.col("n"))).alias(f"n_{f}") for f in forms])
+        long = held.select("guideline_id", "item_field", "line_no", F.explode(F.create_map(*[x for f in forms for x in (F.lit(f), F.col(f))])).alias("form", "word"))
+        told = long.join(self.vocabulary, "word").groupBy("guideline_id", "item_field", "line_no").agg(*[F.max(F.when(F.col("form") == f, F.col("n"))).alias(f"n_{f}") for f in forms])
         n = {f: F.coalesce(F.col(f"n_{f}"), F.lit(0)) for f in forms}
         together, apart = F.greatest(n["joined"], n["seam"]), n["hyphened"]
         both_words = (n["left"] >= 3) & (n["right"] >= 3)
         verdict = F.when(F.col("sure"), True).when(together > apart, True).when(apart > together, False).otherwise(~both_words)
-        return held.join(told, ["guideline_id", "line_no"], "left").select("guideline_id", "line_no", "raw_line", "joined", verdict.alias("is_break"))
+        return held.join(told, ["guideline_id", "item_field", "line_no"], "left").select("guideline_id", "item_field", "line_no", "joined", verdict.alias("is_break"))
 
     def misread_lines(self) -> DataFrame:
-        """``guideline_id, line_no, raw_line, word, printed`` of the misread words of the clean text."""
-        running = self.running
+        """``guideline_id, item_field, line_no, word, printed`` of the misread words of the running text."""
         keys = self.documents.sparkSession.sparkContext.broadcast(merged_filter(self.misread.select(F.xxhash64("word")), filter_bits(self.misread.count()), repeated=False))
 
         def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for key, lines, raw, _ in _each(batches, running):
-                said = {(i, s) for i, w in set(running_words(lines)) for s in _spelt(w)}
-                known = _held(keys.value, {s for _, s in said})
-                match = _matches([x.text for x in lines], (raw or "").split("\n")) if known else {}
-                rows = [(key, i, match.get(i), s) for i, s in said if s in known]
-                yield pd.DataFrame(rows, columns=["guideline_id", "line_no", "raw_line", "word"]).astype({"raw_line": "Int32"})
+            for key, fields in _each(batches):
+                for field, lines, _ in fields:
+                    said = {(i, s) for i, w in set(running_words(lines)) for s in _spelt(w)}
+                    known = _held(keys.value, {s for _, s in said})
+                    yield pd.DataFrame([(key, field, i, s) for i, s in said if s in known], columns=["guideline_id", "item_field", "line_no", "word"])
 
-        seen = self.documents.mapInPandas(words, "guideline_id long, line_no int, raw_line int, word string")
-        return cut_lineage(seen.join(self.misread, "word").select("guideline_id", "line_no", "raw_line", "word", "printed"))
+        seen = self.documents.mapInPandas(words, "guideline_id long, item_field string, line_no int, word string")
+        return cut_lineage(seen.join(self.misread, "word").select("guideline_id", "item_field", "line_no", "word", "printed"))
 
 
 def noisy_lines(guidelines: DataFrame) -> DataFrame:
     """``guideline_id, item_field, line_no, kind``: the noisy lines of ``clean_text`` and ``raw_text``.
 
     Kinds are ``header``, ``page``, ``break`` and ``chars``; lines count from 0. Null and empty texts have
-    none. A line is listed once a kind, whatever the number of its faults. Lines the raw text has beyond
-    the clean one are tables or furniture and give ``header`` and ``page`` only. Rows without an id are
+    none. A line is listed once a kind, whatever the number of its faults. Raw lines that no clean line
+    equals are judged by themselves, rows of tables told apart by their form. Rows without an id are
     left out, since nothing could name their lines; repeated rows give the same lines once.
     """
     scans = Scans(guidelines)
-    found = scans.breaks().filter("is_break").select("guideline_id", "line_no", "raw_line", F.lit("break").alias("kind"))
-    found = found.unionByName(scans.misread_lines().select("guideline_id", "line_no", "raw_line", F.lit("chars").alias("kind")).distinct())
-    clean = found.select("guideline_id", F.lit("clean_text").alias("item_field"), "line_no", "kind")
-    raw = found.filter("raw_line IS NOT NULL").select("guideline_id", F.lit("raw_text").alias("item_field"), F.col("raw_line").alias("line_no"), "kind")
-    return scans.furniture().unionByName(clean).unionByName(raw).distinct()
+    found = scans.breaks().filter("is_break").select("guideline_id", "item_field", "line_no", F.lit("break").alias("kind"))
+    found = found.unionByName(scans.misread_lines().select("guideline_id", "item_field", "line_no", F.lit("chars").alias("kind")))
+    return scans.furniture().unionByName(found).distinct()
 
 
 def repaired_texts(guidelines: DataFrame) -> DataFrame:
@@ -325,16 +338,15 @@ def repaired_texts(guidelines: DataFrame) -> DataFrame:
     Documents without a text come back with an empty one.
     """
     scans = Scans(guidelines)
-    joins = scans.breaks().groupBy("guideline_id").agg(F.collect_list(F.struct("line_no", "is_break")).alias("ends"))
-    words = scans.misread_lines().groupBy("guideline_id").agg(F.collect_list(F.struct("line_no", "word", "printed")).alias("words"))
-    running = scans.running
+    joins = scans.breaks().filter("item_field = 'clean_text'").groupBy("guideline_id").agg(F.collect_list(F.struct("line_no", "is_break")).alias("ends"))
+    words = scans.misread_lines().filter("item_field = 'clean_text'").groupBy("guideline_id").agg(F.collect_list(F.struct("line_no", "word", "printed")).alias("words"))
     rows = scans.documents.drop("raw_text").join(joins, "guideline_id", "left").join(words, "guideline_id", "left")
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, title, clean, ends, faults in zip(batch["guideline_id"], batch["title"], batch["clean_text"], batch["ends"], batch["words"]):
-                lines = read_lines(clean, title, running)
+            for key, clean, kinds, ends, faults in zip(batch["guideline_id"], batch["clean_text"], batch["clean_kinds"], batch["ends"], batch["words"]):
+                lines = _lines(clean, kinds)
                 for fault in faults if faults is not None else []:
                     line = lines[fault["line_no"]]
                     line.text = re.sub(rf"(?<![^\W_]){re.escape(fault['word'])}(?![^\W_])", lambda m, p=fault["printed"]: p[:1].upper() + p[1:] if m[0][:1].isupper() else p, line.text, flags=re.IGNORECASE)

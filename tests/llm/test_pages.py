@@ -49,6 +49,16 @@ def test_noisy_lines(spark):
     assert got == clean | raw
 
 
+def test_noisy_lines_of_raw_text_alone(spark):
+    rows = [tuple(r) for r in guidelines(spark).filter("guideline_id BETWEEN 1 AND 59").select("guideline_id", "title", "clean_text", "raw_text").collect()]
+    lines = ["Dose Site Outcome", "insomnia 1 g ho5pital", "The nurse should record the dosage before treat-", "ment of hypertens¬", "ion in the comrnunity ho5pital.", "Regional assembly", "- 1 -"]
+    rows += [(200, "T", "", "\n".join(lines)), (201, "T", None, "\n".join(lines)), (202, "T", "The nurse should record.\nOther text.", "\n".join(["The nurse should record.", *lines]))]
+    made = spark.createDataFrame(rows, "guideline_id long, title string, clean_text string, raw_text string")
+    got = {tuple(r) for r in noise.noisy_lines(made).filter("guideline_id >= 200").collect()}
+    want = [(2, "break"), (3, "break"), (4, "chars"), (5, "header"), (6, "page")]
+    assert got == {(g, "raw_text", n + (g == 202), k) for g in (200, 201, 202) for n, k in want}
+
+
 def test_repair(spark):
     got = {r["guideline_id"]: r["repaired"] for r in noise.repaired_texts(guidelines(spark)).collect()}
     assert got[0].startswith("The nurse should record the dosage before treatment of hypertension in the community hospital. ")
