@@ -333,38 +333,46 @@ def noisy_lines(guidelines: DataFrame) -> DataFrame:
 
 
 def repaired_texts(guidelines: DataFrame) -> DataFrame:
-    """``guideline_id, repaired``: the clean text in paragraphs, without furniture, divided or misread words.
+    """``guideline_id, item_field, repaired``: each text in paragraphs, without furniture, divided or misread words.
 
-    Documents without a text come back with an empty one.
+    One row for ``raw_text`` and one for ``clean_text``; a field without a text comes back empty. Rows of
+    tables stay lines of their own, after the paragraph they interrupt.
     """
     scans = Scans(guidelines)
-    joins = scans.breaks().filter("item_field = 'clean_text'").groupBy("guideline_id").agg(F.collect_list(F.struct("line_no", "is_break")).alias("ends"))
-    words = scans.misread_lines().filter("item_field = 'clean_text'").groupBy("guideline_id").agg(F.collect_list(F.struct("line_no", "word", "printed")).alias("words"))
-    rows = scans.documents.drop("raw_text").join(joins, "guideline_id", "left").join(words, "guideline_id", "left")
+    joins = scans.breaks().groupBy("guideline_id").agg(F.collect_list(F.struct("item_field", "line_no", "is_break")).alias("ends"))
+    words = scans.misread_lines().groupBy("guideline_id").agg(F.collect_list(F.struct("item_field", "line_no", "word", "printed")).alias("words"))
+    rows = scans.documents.join(joins, "guideline_id", "left").join(words, "guideline_id", "left")
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, clean, kinds, ends, faults in zip(batch["guideline_id"], batch["clean_text"], batch["clean_kinds"], batch["ends"], batch["words"]):
-                lines = _lines(clean, kinds)
-                for fault in faults if faults is not None else []:
-                    line = lines[fault["line_no"]]
-                    line.text = re.sub(rf"(?<![^\W_]){re.escape(fault['word'])}(?![^\W_])", lambda m, p=fault["printed"]: p[:1].upper() + p[1:] if m[0][:1].isupper() else p, line.text, flags=re.IGNORECASE)
-                out.append((key, reflow(lines, {e["line_no"]: e["is_break"] for e in ends} if ends is not None else {})))
-            yield pd.DataFrame(out, columns=["guideline_id", "repaired"])
+            for (key, fields), ends, faults in zip(_each(iter([batch])), batch["ends"], batch["words"]):
+                for field, lines, _ in fields:
+                    for fault in faults if faults is not None else []:
+                        if fault["item_field"] != field:
+                            continue
+                        line = lines[fault["line_no"]]
+                        line.text = re.sub(rf"(?<![^\W_]){re.escape(fault['word'])}(?![^\W_])", lambda m, p=fault["printed"]: p[:1].upper() + p[1:] if m[0][:1].isupper() else p, line.text, flags=re.IGNORECASE)
+                    told = {e["line_no"]: e["is_break"] for e in ends if e["item_field"] == field} if ends is not None else {}
+                    out.append((key, field, reflow(lines, told)))
+            yield pd.DataFrame(out, columns=["guideline_id", "item_field", "repaired"])
 
-    return rows.mapInPandas(repair, "guideline_id long, repaired string")
+    return rows.mapInPandas(repair, "guideline_id long, item_field string, repaired string")
 
 
 def reflow(lines: list[Line], ends: dict[int, bool]) -> str:
-    """The running text in paragraphs and the headings, each on a line of its own."""
+    """The running text in paragraphs and the headings, each on a line of its own; tables after their paragraph."""
     blocks: list[str] = []
+    table: list[str] = []
     now, glue, spaceless = "", " ", False
 
     def close() -> None:
         nonlocal now
         if now:
             blocks.append(now)
+        if table:
+            blocks.append("\n".join(table))
+            table.clear()
         now = ""
 
     finished = True
@@ -377,7 +385,13 @@ def reflow(lines: list[Line], ends: dict[int, bool]) -> str:
         elif line.kind == BLANK:
             if finished:
                 close()
+        elif line.kind == TABLE:
+            if now and finished:
+                close()
+            table.append(text)
         elif line.kind not in (HEADER, PAGE):
+            if table and finished:
+                close()
             spaceless = bool(re.search(r"[぀-ヿ一-鿿。，；：！？”」]$", now)) and bool(re.match(r"[぀-ヿ一-鿿，。；：“「A-Za-z0-9]", text))
             now = f"{now}{'' if not now or glue == '' or spaceless else glue}{text}"
             glue = " "

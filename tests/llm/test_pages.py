@@ -65,6 +65,19 @@ def test_repair(spark):
     assert "assembly" not in got[0] and "- 1 -" not in got[0] and got[100] == got[101] == ""
 
 
+def test_repair_of_both_fields(spark):
+    made = guidelines(spark).selectExpr("guideline_id", "title", "CASE WHEN guideline_id <> 0 THEN clean_text END AS clean_text", "raw_text")
+    got = {(r["guideline_id"], r["item_field"]): r["repaired"] for r in noise.repaired_texts(made).collect()}
+    assert got[0, "raw_text"].startswith("A table | row\n\nThe nurse should record the dosage before treatment of hypertension in the community hospital. ")
+    assert "assembly" not in got[0, "raw_text"] and "- 1 -" not in got[0, "raw_text"] and got[0, "clean_text"] == ""
+    assert got[1, "raw_text"] == got[1, "clean_text"] != ""
+
+
+def test_reflow_keeps_tables_whole():
+    lines = [layout.Line(*x) for x in (("One goes", "text"), ("Dose Site", "table"), ("5 mL", "table"), ("on.", "text"), ("Week", "table"), ("Two.", "text"))]
+    assert noise.reflow(lines, {}) == "One goes on.\n\nDose Site\n5 mL\n\nWeek\n\nTwo."
+
+
 def test_no_guidelines(empty):
     ddl = "guideline_id long, title string, clean_text string, raw_text string"
     assert noise.noisy_lines(empty(ddl)).count() == 0 and noise.repaired_texts(empty(ddl)).count() == 0
