@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ from lamina.session import ship_package, spread
 
 #: Separates paragraphs in the text that the rules see.
 PARAGRAPH = " "
+_PARAGRAPHS = re.compile(rf"{PARAGRAPH}|\n[^\S\n]*\n")
 
 
 @dataclass(frozen=True)
@@ -91,22 +93,62 @@ CODES = {"eng": "en", "ger": "de", "deu": "de", "fre": "fr", "fra": "fr", "spa":
 
 #: fixed values: frequent words that tell languages of one script apart
 _TELL = {
-    "en": "the of and in to with was for were is", "de": "der die und nicht bei von mit wurde für nach", "fr": "les des une dans est la pour chez été du",
-    "es": "los las una del con por fue según tras más", "pt": "não em uma dos foi com após são ao por",
+    "en": "the of and in to with was for were is", "de": "der die und nicht bei von mit wurde für nach das den dem ist ein eine zu", "fr": "les des une dans est la pour chez été du le et un aux sur par",
+    "es": "los las una del con por fue según tras más la el y en un se es", "pt": "não em uma dos foi com após são ao por o os da do das na no se um",
 }
 _TELL_SETS = {k: frozenset(v.split()) for k, v in _TELL.items()}
 
 
+_SCRIPTS = [(re.compile(f"[{signs}]"), language) for signs, language in (("぀-ヿ", "ja"), ("一-鿿", "zh"), ("\u0e00-\u0e7f", "th"), ("\u0900-\u097f", "hi"), ("\u0600-\u06ff", "ar"), ("Ѐ-ӿ", "ru"))]
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def _script(text: str) -> str | None:
+    """Language of the script other than Latin that a text is written in, if any."""
+    for pattern, language in _SCRIPTS:
+        if len(pattern.findall(text)) > len(text) / 12:
+            return language
+    return None
+
+
+def _told(text: str) -> dict[str, int]:
+    """Frequent words of each Latin-script language in a text."""
+    held = Counter(_WORDS.findall(text.casefold()))
+    return {k: sum(held[w] for w in words) for k, words in _TELL_SETS.items()}
+
+
 def language_of(text: str, code: str | None = None) -> str:
-    """Language of a text: that of ``code`` where it has a table, else told by script and frequent words."""
+    """Language of a text: that of ``code`` where it has a table, else told by script and frequent words of all of it."""
     known = CODES.get((code or "").casefold(), (code or "").casefold()[:2])
     if known in TABLES:
         return known
-    for pattern, language in (("[぀-ヿ]", "ja"), ("[一-鿿]", "zh"), ("[฀-๿]", "th"), ("[ऀ-ॿ]", "hi"), ("[؀-ۿ]", "ar"), ("[Ѐ-ӿ]", "ru")):
-        if len(re.findall(pattern, text[:4000])) > min(len(text), 4000) / 12:
-            return language
-    words = re.findall(r"[^\W\d_]+", text[:20000].casefold())
-    return max(_TELL_SETS, key=lambda k: (sum(w in _TELL_SETS[k] for w in words), k == "en"))
+    told = _script(text)
+    if told:
+        return told
+    words = _told(text)
+    return max(words, key=lambda k: (words[k], k == "en"))
+
+
+def languages_of(text: str) -> list[tuple[int, str]]:
+    """Start and language of each paragraph of a text: that of the text unless the paragraph tells another.
+
+    Another script tells one; another language of Latin script needs two of its frequent words and
+    more than the language of the text has.
+    """
+    whole = language_of(text)
+    out, start = [], 0
+    for stop in [*[m.end() for m in _PARAGRAPHS.finditer(text)], len(text)]:
+        part = text[start:stop]
+        language = _script(part)
+        if language is None:
+            words = _told(part)
+            best = max(words, key=lambda k: (words[k], k == whole, k == "en"))
+            language = best if words[best] >= max(2, words.get(whole, 0) + 1) else whole
+        elif language == "zh" and whole == "ja":
+            language = whole
+        out.append((start, language))
+        start = stop
+    return out
 
 
 _END = re.compile(r"[.!?。！？؟।…]+(?:\n?[”’\"』」）)\]]|[   \n]?»|(?<=[.!?])“)*")
@@ -133,28 +175,33 @@ def quotations(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def sentence_ends(text: str, language: str) -> list[int]:
+def sentence_ends(text: str, language: str | None = None) -> list[int]:
     """Positions past the last character of each sentence of a text (one or more paragraphs).
 
-    A last sentence without an end mark is not in the result.
+    Without ``language`` each paragraph has the rules of its own. A last sentence without an end mark is not in the result.
     """
-    cascade = TABLES[language] + FAMILIES[FAMILY.get(language, "latin")] + COMMON
+    languages = [(0, language)] if language else languages_of(text)
+    parts = [p[0] for p in languages]
+    cascades = {k: TABLES[k] + FAMILIES[FAMILY.get(k, "latin")] + COMMON for _, k in languages}
     quotes = quotations(text)
     starts = [q[0] for q in quotes]
-    caseless = language in FAMILY
     ends = []
-    candidates = sorted({m.end() for m in _END.finditer(text)} | ({m.start() for m in _THAI_END.finditer(text)} if language == "th" else set()))
-    for at in candidates:
+    spoken = lambda at: languages[max(0, bisect_right(parts, at - 1) - 1)][1]
+    candidates = {m.end() for m in _END.finditer(text)}
+    if "th" in cascades:
+        candidates |= {m.start() for m in _THAI_END.finditer(text) if spoken(m.start()) == "th"}
+    for at in sorted(candidates):
+        now = spoken(at)
         k = bisect_right(starts, at - 1) - 1
         if k >= 0 and at <= quotes[k][1]:
             if at < quotes[k][1]:
                 continue  # inside a quotation
-            if caseless:
+            if now in FAMILY:
                 before = text[max(0, quotes[k][0] - 8) : quotes[k][0]].rstrip()[-1:]
                 if before not in ("：", ":") and not _NOTHING.match(text, at):
                     continue  # the sentence around it goes on
         before, after = text[max(0, at - 24) : at], text[at : at + 24]
-        for rule in cascade:
+        for rule in cascades[now]:
             if rule.before.search(before) and rule.after.match(after):
                 if rule.breaks:
                     ends.append(at)
@@ -167,7 +214,8 @@ def abstract_ends(text: str, code: str | None = None) -> list[int]:
     body = text.rstrip()
     if not body.strip():
         return []
-    ends = [e for e in sentence_ends(body, language_of(body, code)) if e <= len(body)]
+    known = CODES.get((code or "").casefold(), (code or "").casefold()[:2])
+    ends = [e for e in sentence_ends(body, known if known in TABLES else None) if e <= len(body)]
     return ends if ends and ends[-1] == len(body) else [*ends, len(body)]
 
 
@@ -194,7 +242,7 @@ def page_text_ends(text: str, title: str | None, running: frozenset[str]) -> lis
     if not body.strip(f"{PARAGRAPH} \n"):
         return []
     out = []
-    for e in sentence_ends(body, language_of(body)):
+    for e in sentence_ends(body):
         k = bisect_right(joined, e - 1) - 1
         out.append(origin[k] + e - joined[k])
     return sorted(set(out))

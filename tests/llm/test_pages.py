@@ -112,6 +112,17 @@ def test_sentences_by_language(code, want):
     assert sentences(text, code) == want and sentences(text, "und") == want
 
 
+def test_languages_by_paragraph():
+    english = "The dose was 1.5 mg vs. 3 mg in Fig. 9 of the report. " * 100
+    thai = "ลดลงร้อยละ 11.0 ในเวลา 10 สัปดาห์ ยังไม่ทราบว่าเหตุใด ขนาดยาที่แนะนำคือ 150 mg วันละสองครั้ง"
+    got = S.abstract_ends(f"{english}\n\n{thai * 60}", "und")
+    alone = S.abstract_ends(thai * 60, "tha")
+    assert got == [54 * k - 1 for k in range(1, 101)] + [5402 + e for e in alone] and len(alone) > 60
+    assert S.page_text_ends(f"{english}\n\n{thai}", None, frozenset())[100:] == [5402 + e for e in S.abstract_ends(thai, "tha")[:-1]]
+    german = "Die Dosis wurde bei der Gruppe z. B. am 9. Tag nicht verdoppelt."
+    assert sentences(f"{english}\n\n{german}")[-1] == german
+
+
 def test_missing_spaces_and_cut_off_ends():
     assert sentences("It lasted?Patients left.We stayed. The panel noted: “Stop it. Rest", "eng") == ["It lasted?", "Patients left.", "We stayed.", "The panel noted: “Stop it. Rest"]
     assert S.abstract_ends("  ") == [] and S.abstract_ends("One. Two  ") == [4, 8]
