@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 BLANK, HEADER, PAGE, HEADING, TEXT, TABLE = "blank", "header", "page", "heading", "text", "table"
 
-#: A line is a running line of the corpus if so many documents hold it: this part of all, and at least three.
-RUNNING_SHARE = 0.001
+#: A line is a running line of the corpus if so many documents hold it, whatever their number in all,
+RUNNING_DOCUMENTS = 3
 #: and if the text does not simply go on with it in this part of its occurrences.
 RUNNING_LOOSE = 0.3
 
@@ -51,10 +51,12 @@ def folded(line: str) -> str:
 
 
 @lru_cache(maxsize=8)
-def _by_length(running: frozenset[str]) -> dict[int, list[str]]:
-    out: dict[int, list[str]] = {}
+def _by_edge(running: frozenset[str]) -> dict[tuple[int, str, bool], list[str]]:
+    """The running lines by length and first or last four characters; nearly equal lines share one of the two."""
+    out: dict[tuple[int, str, bool], list[str]] = {}
     for key in running:
-        out.setdefault(len(key), []).append(key)
+        out.setdefault((len(key), key[:4], True), []).append(key)
+        out.setdefault((len(key), key[-4:], False), []).append(key)
     return out
 
 
@@ -63,9 +65,9 @@ def nearly_running(key: str, running: frozenset[str]) -> bool:
     """Whether ``key`` is one of the running lines but for one place of up to three characters."""
     if len(key) < 10:
         return False
-    known = _by_length(running)
+    known = _by_edge(running)
     for n in range(len(key) - 2, len(key) + 3):
-        for other in known.get(n, ()):
+        for other in (*known.get((n, key[:4], True), ()), *known.get((n, key[-4:], False), ())):
             short = min(n, len(key))
             a = 0
             while a < short and key[a] == other[a]:
@@ -259,8 +261,8 @@ def matches(clean: list[str], raw: list[str]) -> dict[int, int]:
 def running_lines(guidelines: DataFrame) -> frozenset[str]:
     """Folded forms of the lines that run through many documents.
 
-    A form needs a thousandth of the documents, so there are at most a thousand times as many as a
-    document has candidate lines on average; that set is collected and sent to the workers. Lines the raw
+    A form needs a fixed number of documents, so that a header is found whatever else the corpus holds.
+    The forms are collected and sent to the workers; their number grows with that of the headers. Lines the raw
     text has beyond the clean one may be rows of tables and count beside a page number only.
     """
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,8 +296,7 @@ def running_lines(guidelines: DataFrame) -> frozenset[str]:
             yield pd.DataFrame(rows, columns=["line", "n", "loose", "paged"])
 
     raw = "raw_text" if "raw_text" in guidelines.columns else "CAST(NULL AS string) AS raw_text"
-    total = guidelines.count()
     found = guidelines.selectExpr("clean_text", raw).mapInPandas(candidates, "line string, n long, loose long, paged long").groupBy("line")
     sums = found.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.sum("loose").alias("loose"), F.sum("paged").alias("paged"))
-    kept = sums.filter((F.col("docs") >= max(3, total * RUNNING_SHARE)) & (F.col("loose") >= RUNNING_LOOSE * F.col("n")) & (F.col("n") >= 1.3 * F.col("docs")))
+    kept = sums.filter((F.col("docs") >= RUNNING_DOCUMENTS) & (F.col("loose") >= RUNNING_LOOSE * F.col("n")) & (F.col("n") >= 1.3 * F.col("docs")))
     return frozenset(r["line"] for r in kept.select("line").collect())

@@ -59,6 +59,13 @@ def test_noisy_lines_of_raw_text_alone(spark):
     assert got == {(g, "raw_text", n + (g == 202), k) for g in (200, 201, 202) for n, k in want}
 
 
+def test_running_line_of_few_documents_among_many(spark):
+    held = "Text goes on and\nRural assembly\n- 1 -\nfurther to it.\nMore of it and\nRural assembly\n- 2 -\nso on."
+    made = spark.createDataFrame([(held if i < 3 else "One.",) for i in range(3500)], "clean_text string")
+    assert layout.running_lines(made) == {layout.folded("Rural assembly")}
+    assert layout.nearly_running(layout.folded("Rurxx assembly"), layout.running_lines(made)) and not layout.nearly_running("other assembly", layout.running_lines(made))
+
+
 def test_repair(spark):
     got = {r["guideline_id"]: r["repaired"] for r in noise.repaired_texts(guidelines(spark)).collect()}
     assert got[0].startswith("The nurse should record the dosage before treatment of hypertension in the community hospital. ")
