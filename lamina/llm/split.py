@@ -31,7 +31,8 @@ def cut_points(text: str, limit: int, overlap: int) -> list[int]:
 
     The smallest number of pieces is tried first, with targets at equal lengths; each cut moves to the
     strongest boundary in reach of its target, the nearest among equals (the earlier of two as near).
-    If a cut in reach would break the limit of this piece or of those after it, one more piece is tried.
+    If a cut in reach would break the limit of this piece or of those after it, or no boundary is in reach,
+    one more piece is tried, then a cut from left to right. A word is cut only where its piece has no boundary.
     """
     length, step = len(text), limit - overlap
     if length <= limit:
@@ -79,18 +80,18 @@ def _balanced(text: str, ends: list[list[int]], pieces: int, limit: int, overlap
             return None
         cut = _best(ends, target, low, high)
         if cut is None:
-            cut = _whole(text, min(max(int(target), low), high), low)
+            return None
         cuts.append(cut)
         before = cut
     return cuts if length - before + overlap <= limit else None
 
 
 def _greedy(text: str, ends: list[list[int]], limit: int, overlap: int) -> list[int]:
-    """Pieces as long as the limit and the boundaries in the last third allow: the way that always ends."""
+    """Pieces as long as the limit and the boundaries, those in the last third first, allow: the way that always ends."""
     cuts, start = [], 0
     while len(text) - start > limit:
         low, high = start + max(overlap + 1, limit * 2 // 3), start + limit
-        cut = _best(ends, high, low, high) or _whole(text, high, low)
+        cut = _best(ends, high, low, high) or _best(ends[-1:], high, start + overlap + 1, high) or _best(ends, high, start + overlap + 1, high) or _whole(text, high, low)
         cuts.append(cut)
         start = cut - overlap
     return cuts

@@ -80,3 +80,12 @@ def test_no_documents(spark, empty):
     mixture, report = mix.mix_sources(none, targets)
     assert mixture.count() == 0 and report.first()["actual_share"] == 0.0
     assert mix.short_sources(none, targets).count() == 0
+
+
+def test_words_are_cut_only_without_a_boundary():
+    words = "mabufumutidine " * 300
+    for length in range(1000, 3600, 3):
+        text = words[:length]
+        for limit, overlap in ((290, 20), (1207, 120)):
+            assert all(text[c - 1] == " " for c in split.cut_points(text, limit, overlap))
+    assert all(split.cut_points("x" * 1000, 300, 30))
