@@ -1,36 +1,43 @@
 """Near-duplicate records by a Gray-order hierarchical index (problem 1).
 
-A record is the set of its word triples. Its fingerprint has, for every bit, the parity of the triples
-hashed there, so two fingerprints differ in at most as many bits as the sets differ in triples, and a
-similarity of ``t`` bounds that number by ``(|A| + |B|) (1 - t) / (1 + t)``: no pair is lost.
-
-Fingerprints meet in routing cells (records sharing one of their rarest triples). Within a cell they
-are sorted by Gray rank and form a tree: a node keeps the bits all its fingerprints share and that no
-node above it keeps yet. A search goes down the tree adding up the differences to each node's bits and
-leaves a whole group once they pass the bound. What is left is compared by the sets themselves.
+A record is the set of its word triples, a class the records of equal words. A triple that one class
+alone holds is in no intersection, so a class is fingerprinted by its other, shared triples: each bit is
+the parity of those hashed there. Two fingerprints differ in at most as many bits as the sets of shared
+triples do, and a similarity of ``t`` bounds that number by
+``|A'| + |B'| - 2 t / (1 + t) (|A| + |B|)`` (``A'`` shared, ``A`` all triples): no pair is lost.
+
+Classes of a similarity of ``t`` or more have one of their rarest triples in common. Such triples are
+gathered into coarse cells, all that lead to the same least class into one, so that a class goes to few
+cells and a cell holds whole families. Within a cell fingerprints are sorted by Gray rank under a tree
+whose nodes keep the bits that all below them share and no node above them keeps yet. A search goes
+down the tree adding up the differences to each node's bits and leaves a whole group once they pass the
+bound. The tree is the only search; what it gives is compared by the sets themselves.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lamina.llm.components import components
+from lamina.operators.skew import join_groups, salted
 from lamina.session import cut_lineage, ship_package
 
+log = logging.getLogger(__name__)
+
 BITS = 512
-#: Slots of the table of triple counts that orders triples from rare to frequent; it is broadcast, 4 MB
-#: whatever the corpus. Triples that share a slot only sort later.
-SLOTS = 1 << 20
-#: Records of a cell; a more frequent triple is searched in cells of two blocks each.
+#: Classes of a cell; larger cells are parted, in the end into cells of two blocks each.
 BLOCK = 2048
-FANOUT = 8
-SMALL = 16
+FANOUT = 4
+#: Query and fingerprint combinations that are open in a search at once, at most.
+OPEN = 1 << 19
+#: Members of a class that are written out from one task.
+MEMBERS = 4096
 
 
 def record_text(fields: list[str]) -> Column:
@@ -54,161 +61,222 @@ def gray_rank(bits: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.accumulate(bits, axis=-1)
 
 
+def telling_first(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The bits of each row reordered, those first that part the rows of its cell most evenly."""
+    edges = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+    share = np.add.reduceat(bits, edges, axis=0, dtype=np.int32) / np.diff(np.append(edges, len(cells)))[:, None]
+    return np.take_along_axis(bits, np.argsort(np.abs(share - 0.5), axis=1, kind="stable")[cells], axis=1)
+
+
 def _popcount(words: np.ndarray) -> np.ndarray:
     return np.bitwise_count(words).sum(axis=-1, dtype=np.int64)
 
 
-class GrayTree:
-    """Fingerprints in Gray order under nodes that hold shared bits.
+def room(held: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """What a set of ``held`` shared triples out of ``sizes`` adds to the differences a pair may have."""
+    return held - 2 * threshold / (1 + threshold) * sizes
+
+
+class GrayForest:
+    """The trees of many cells, side by side: fingerprints in Gray order under nodes that hold shared bits.
 
-    ``levels[0]`` is the root's level; a level is (pattern, own mask, least size, largest size), and
-    node ``i`` has the children ``FANOUT * i`` and on at the next one, at the last one fingerprints.
+    Rows are sorted by cell and Gray rank. A level is (pattern, own mask, least size, largest size,
+    largest room, last row, first child, number of children); the first level holds the root of each
+    cell, the last one the fingerprints.
     """
 
-    def __init__(self, codes: np.ndarray, sizes: np.ndarray) -> None:
-        full = np.full((len(codes), codes.shape[1]), np.uint64(0xFFFFFFFFFFFFFFFF))
-        stack = [(codes, full, sizes, sizes)]
-        while len(stack[-1][0]) > 1:
-            pattern, mask, low, high = stack[-1]
-            starts = np.arange(0, len(pattern), FANOUT)
-            first = np.repeat(pattern[starts], np.diff(np.append(starts, len(pattern))), axis=0)
+    def __init__(self, cells: np.ndarray, codes: np.ndarray, sizes: np.ndarray, rooms: np.ndarray, threshold: float) -> None:
+        n = len(codes)
+        self.codes, self.sizes, self.rooms, self.threshold = codes, sizes, rooms, threshold
+        self.edges = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if n else np.zeros(0, np.int64)
+        self.counts = np.diff(np.append(self.edges, n))
+        self.cell = np.repeat(np.arange(len(self.edges)), self.counts)
+        full = np.full((n, codes.shape[1]), np.uint64(0xFFFFFFFFFFFFFFFF))
+        stack = [(codes, full, sizes, sizes, rooms, np.arange(n), None)]
+        count = self.counts
+        while n and count.max() > 1:
+            pattern, mask, low, high, most, last, _ = stack[-1]
+            edges = np.cumsum(count) - count
+            within = np.arange(len(pattern)) - np.repeat(edges, count)
+            starts = np.flatnonzero(within % FANOUT == 0)
+            children = np.diff(np.append(starts, len(pattern)))
+            first = np.repeat(pattern[starts], children, axis=0)
             shared = np.bitwise_and.reduceat(mask & ~(pattern ^ first), starts, axis=0)
-            stack.append((pattern[starts] & shared, shared, np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)))
+            stack.append((pattern[starts] & shared, shared, np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(most, starts), last[starts + children - 1], (starts, children)))
+            count = -(-count // FANOUT)
         self.levels = []
-        above = None
-        for pattern, mask, low, high in reversed(stack):
-            own = mask if above is None else mask & ~above[np.arange(len(mask)) // FANOUT]
-            self.levels.append((pattern, own, low, high))
-            above = mask
-
-    def search(self, codes: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, fingerprint) that differ in no more bits than the threshold allows for their sizes."""
-        query, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
-        spent = np.zeros(len(codes), np.int64)
-        for depth, (pattern, own, low, high) in enumerate(self.levels):
-            if depth:
-                child = node[:, None] * FANOUT + np.arange(FANOUT)
-                there = child < len(pattern)
-                query, spent, node = np.repeat(query, FANOUT)[there.ravel()], np.repeat(spent, FANOUT)[there.ravel()], child[there]
-            spent = spent + _popcount((codes[query] ^ pattern[node]) & own[node])
-            keep = _close(spent, sizes[query], high[node], threshold) & (high[node] >= threshold * sizes[query] - 1e-9) & (threshold * low[node] <= sizes[query] + 1e-9)
+        above, family = None, None
+        for pattern, mask, low, high, most, last, below in reversed(stack):
+            own = mask if above is None else mask & ~np.repeat(above, family, axis=0)
+            self.levels.append((pattern, own, low, high, most, last, below))
+            above, family = mask, below[1] if below else None
+        #: nodes visited, groups left by accumulated differences
+        self.visited = self.pruned = 0
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows (i, j), i < j, of the same cell that differ in no more bits than the threshold allows."""
+        work = np.cumsum(self.counts[self.cell]) if len(self.codes) else np.zeros(0, np.int64)
+        at = 0
+        while at < len(work):
+            stop = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + OPEN, "right")))
+            yield self._search(np.arange(at, stop))
+            at = stop
+
+    def _search(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t = self.threshold
+        node, spent = self.cell[query], np.zeros(len(query), np.int64)
+        below = None
+        for pattern, own, low, high, most, last, children in self.levels:
+            if below is not None:
+                starts, many = below[0][node], below[1][node]
+                base = np.repeat(np.cumsum(many) - many, many)
+                node = np.repeat(starts, many) + np.arange(len(base)) - base
+                query, spent = np.repeat(query, many), np.repeat(spent, many)
+            ahead = last[node] > query  # each pair is met from its first row
+            query, node, spent = query[ahead], node[ahead], spent[ahead]
+            spent = spent + _popcount((self.codes[query] ^ pattern[node]) & own[node])
+            size = self.sizes[query]
+            keep = (spent <= self.rooms[query] + most[node] + 1e-6) & (high[node] >= t * size - 1e-9) & (t * low[node] <= size + 1e-9)
+            self.visited += len(keep)
+            if children is not None:
+                self.pruned += int(len(keep) - keep.sum())
             query, node, spent = query[keep], node[keep], spent[keep]
+            below = children
         return query, node
 
 
-def _close(differences: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    return differences <= (a + b) * (1 - threshold) / (1 + threshold) + 1e-9
-
-
-def _prefixes(threshold: float, counts):
-    """Rows of cells for each record: its rarest triples, enough that similar records share one."""
+def _codes(threshold: float):
+    """Fingerprint and room of each class."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = counts.value
         for batch in batches:
-            keys, ids, sizes, codes, cells, blocks, mixed = [], [], [], [], [], [], []
-            for rep, triples in zip(batch["rep_id"], batch["triples"]):
-                triples = np.asarray(triples, np.int64)
-                often = table[(triples.view(np.uint64) % np.uint64(SLOTS)).astype(np.int64)]
-                order = np.lexsort((triples, often))
-                take = order[: len(triples) - int(np.ceil(threshold * len(triples) - 1e-9)) + 1]
-                take = take[often[take] > 1]  # a triple of one record leads nowhere
-                if not len(take):
-                    continue
-                code = np.packbits(gray_rank(fingerprint(triples))).tobytes()
-                for k in take:
-                    n_blocks = -(-int(often[k]) // BLOCK)
-                    own = rep % n_blocks
-                    for other in range(n_blocks):
-                        keys.append(triples[k])
-                        ids.append(rep)
-                        sizes.append(len(triples))
-                        codes.append(code)
-                        cells.append(min(own, other) * n_blocks + max(own, other))
-                        blocks.append(own)
-                        mixed.append(own != other)
-            yield pd.DataFrame({"key": keys, "cell": cells, "block": blocks, "mixed": np.array(mixed, bool), "gray": codes, "rep_id": ids, "size": sizes}).astype({"key": "int64", "cell": "int64", "block": "int64", "rep_id": "int64", "size": "int64"})
+            held = [np.asarray(x, np.int64) for x in batch["held"]]
+            codes = [np.packbits(fingerprint(x)).tobytes() for x in held]
+            rooms = room(np.array([len(x) for x in held], float), batch["size"].to_numpy(float), threshold)
+            yield pd.DataFrame({"rep_id": batch["rep_id"], "code": codes, "size": batch["size"], "room": rooms})
 
     return run
 
 
-def _pairs_of_cells(threshold: float):
-    """Pairs within the cells of a partition sorted by cell and Gray rank."""
+def _pairs_of_cells(threshold: float, visited, pruned):
+    """Pairs within the cells of a partition sorted by cell."""
 
-    def within(frame: pd.DataFrame) -> pd.DataFrame:
-        ranks = np.unpackbits(np.frombuffer(b"".join(frame["gray"]), np.uint8).reshape(len(frame), -1), axis=1)
-        bits = ranks.copy()
-        bits[:, 1:] ^= ranks[:, :-1]  # the fingerprint at that rank
-        codes = np.packbits(bits, axis=1).view(np.uint64)
+    def within(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        key, part = frame["cell"].to_numpy(), frame["part"].to_numpy()
+        cells = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+        bits = np.unpackbits(np.frombuffer(b"".join(frame["code"]), np.uint8).reshape(len(frame), -1), axis=1)
+        ranks = np.packbits(gray_rank(telling_first(bits, cells)), axis=1).view(">u8")
+        order = np.lexsort([*ranks.T[::-1], cells])
+        codes = np.packbits(bits[order], axis=1).view(np.uint64)
+        frame, cells = frame.iloc[order], cells[order]
         ids, sizes = frame["rep_id"].to_numpy(), frame["size"].to_numpy()
-        key, cell, block, mixed = (frame[c].to_numpy() for c in ("key", "cell", "block", "mixed"))
-        edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
-        group = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(frame))))
-        count = np.diff(np.append(edge, len(frame)))
-        left, right = [], []
-        few = count[group] <= SMALL  # one leaf: all its members are beside each other
-        for by in range(1, SMALL):
-            i = np.flatnonzero(few[:-by] & (group[:-by] == group[by:]))
-            if not len(i):
-                break
-            i = i[_close(_popcount(codes[i] ^ codes[i + by]), sizes[i], sizes[i + by], threshold)]
-            left.append(i)
-            right.append(i + by)
-        for g in np.flatnonzero(count > SMALL):
-            a, b = edge[g], edge[g] + count[g]
-            tree = GrayTree(codes[a:b], sizes[a:b])
-            for q in range(a, b, 256):
-                query, found = tree.search(codes[q : min(q + 256, b)], sizes[q : min(q + 256, b)], threshold)
-                query, found = query + q, found + a
-                ahead = found > query
-                left.append(query[ahead])
-                right.append(found[ahead])
-        i, j = np.concatenate([[], *left]).astype(np.int64), np.concatenate([[], *right]).astype(np.int64)
-        # in a cell of two blocks only pairs across them are new
-        new = ~mixed[i] | (block[i] != block[j])
-        i, j = i[new], j[new]
-        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        return pd.DataFrame({"a": a, "b": b})[a != b].drop_duplicates()
+        forest = GrayForest(cells, codes, sizes, frame["room"].to_numpy(), threshold)
+        for i, j in forest.pairs():
+            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            yield pd.DataFrame({"a": a, "b": b})[a != b].drop_duplicates()
+        visited.add(forest.visited)
+        pruned.add(forest.pruned)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            last = (batch["key"] == batch["key"].iat[-1]) & (batch["cell"] == batch["cell"].iat[-1]) if len(batch) else []
-            rest, ready = batch[last], batch[~np.asarray(last, bool)]
+            last = ((batch["cell"] == batch["cell"].iat[-1]) & (batch["part"] == batch["part"].iat[-1])).to_numpy() if len(batch) else np.zeros(0, bool)
+            rest, ready = batch[last], batch[~last]
             if len(ready):
-                yield within(ready.reset_index(drop=True))
+                yield from within(ready)
         if rest is not None and len(rest):
-            yield within(rest.reset_index(drop=True))
+            yield from within(rest)
 
     return run
 
 
 def text_classes(records: DataFrame, record_id: str, fields: list[str]) -> DataFrame:
-    """``record_id, rep_id, triples`` of records with an id and a triple; records of equal words share the least id."""
+    """``record_id, class, triples`` of records with an id and a triple; records of equal words have one class."""
     ship_package(records.sparkSession)
     words = F.regexp_extract_all(record_text(fields), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     said = records.select(F.col(record_id).alias("record_id"), words.alias("words"))
     return said.filter((F.size("words") >= 3) & F.col("record_id").isNotNull()).select("record_id", F.sha2(F.array_join("words", " "), 256).alias("class"), word_triples(F.col("words")).alias("triples"))
 
 
+def shared_triples(reps: DataFrame, threshold: float) -> DataFrame:
+    """``rep_id, size, held, routes`` of the classes that may have a partner.
+
+    ``size`` is the number of all triples, ``held`` those that other classes hold too, ``routes`` the
+    rarest of them: of two similar classes, ordered by the same exact counts, one of the first
+    ``size - ceil(threshold size) + 1`` triples is in both, and it is no triple of one class alone.
+    """
+    rows = reps.select("rep_id", F.size("triples").alias("size"), F.explode("triples").alias("t"))
+    counts = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    total = reps.agg(F.sum(F.size("triples"))).first()[0] or 0
+    told = join_groups(rows, counts, ["t"], "n", total)
+    held = told.groupBy("rep_id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "t"))).alias("held"))
+    first = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)) + 1 - (F.col("size") - F.size("held"))
+    return held.select("rep_id", "size", F.col("held.t").alias("held"), F.slice(F.col("held.t"), F.lit(1), F.greatest(first, F.lit(0)).cast("int")).alias("routes")).filter(F.size("routes") > 0)
+
+
+def routed(reps: DataFrame) -> DataFrame:
+    """``rep_id, cell, part``: the cells each class goes to; classes that share a route share a cell.
+
+    A route leads to its least class, and on to the least class that one's routes lead to. Where the
+    cell so made is above ``BLOCK`` the route leads to its own least class only, then to itself, and a
+    route above ``BLOCK`` is searched as pairs of blocks.
+    """
+    routes = reps.select("rep_id", F.explode("routes").alias("route"))
+    total = reps.agg(F.sum(F.size("routes"))).first()[0] or 0
+    least = routes.groupBy("route").agg(F.min("rep_id").alias("near"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = cut_lineage(join_groups(routes, least, ["route"], "n", total))
+    far = rows.groupBy("rep_id").agg(F.min("near").alias("far")).withColumnRenamed("rep_id", "near")
+    meet = cut_lineage(rows.join(far, "near"))
+
+    def split(rows: DataFrame, cell: str) -> tuple[DataFrame, DataFrame]:
+        """Rows whose cell, by the column, is within ``BLOCK``, and the others."""
+        large = rows.select(cell, "rep_id").distinct().groupBy(cell).agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > BLOCK).select(cell)
+        large = cut_lineage(large)
+        return rows.join(large, cell, "left_anti"), rows.join(large, cell, "left_semi")
+
+    by_far, rest = split(meet, "far")
+    by_near, rest = split(rest, "near")
+    small, large = rest.filter(F.col("n") <= BLOCK), rest.filter(F.col("n") > BLOCK)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own, other = salted(F.col("rep_id"), 1 << 30) % F.col("blocks"), F.col("other")
+    pairs = large.withColumn("blocks", blocks).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter(own != other)
+    kinds = [
+        by_far.select("rep_id", F.col("far").alias("cell"), F.lit(0).cast("long").alias("part")),
+        by_near.select("rep_id", F.col("near").alias("cell"), F.lit(1).cast("long").alias("part")),
+        small.select("rep_id", F.col("route").alias("cell"), F.lit(2).cast("long").alias("part")),
+        pairs.select("rep_id", F.col("route").alias("cell"), (F.lit(3) + F.least(own, other).cast("long") * F.col("blocks") + F.greatest(own, other)).alias("part")),
+    ]
+    out = kinds[0]
+    for k in kinds[1:]:
+        out = out.unionByName(k)
+    return out.distinct()
+
+
 def similar_classes(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Links between classes of equal texts, ``a, b, similarity`` (a < b), and the members, ``rep_id, record_id``."""
-    reps = classes.groupBy("class").agg(F.min("record_id").alias("rep_id"), F.first("triples").alias("triples"))
-    reps = cut_lineage(reps)
-    members = classes.select("record_id", "class").join(reps.select("class", "rep_id"), "class").select("rep_id", "record_id")
-    counts = np.zeros(SLOTS, np.int32)
-    slots = reps.select(F.explode("triples").alias("t")).groupBy(F.pmod("t", F.lit(SLOTS)).alias("slot")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most SLOTS rows
-    counts[slots["slot"].to_numpy(np.int64)] = np.minimum(slots["n"].to_numpy(), 2**31 - 1)
-    shared = reps.sparkSession.sparkContext.broadcast(counts)
-    rows = reps.select("rep_id", "triples").mapInPandas(_prefixes(threshold, shared), "key long, cell long, block long, mixed boolean, gray binary, rep_id long, size long")
-    parts = max(reps.sparkSession.sparkContext.defaultParallelism, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cells = rows.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell", "gray")
-    candidates = cells.mapInPandas(_pairs_of_cells(threshold), "a long, b long").distinct()
-    side = lambda x: reps.select(F.col("rep_id").alias(x), F.col("triples").alias(f"t{x}"))
+    """Links between classes of equal texts, ``a, b, similarity, parts_a, parts_b`` (a < b), and the members.
+
+    The members are ``rep_id, record_id, salt, parts``: a class is known by its least record, its members
+    are spread over ``parts`` salts.
+    """
+    spark = classes.sparkSession
+    classes = cut_lineage(classes)
+    reps = cut_lineage(classes.groupBy("class").agg(F.min("record_id").alias("rep_id"), F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"), F.first("triples").alias("triples")))
+    known = reps.select("class", "rep_id", "parts")
+    members = classes.select("record_id", "class").join(known, "class").select("rep_id", "record_id", (salted(F.col("record_id"), 1 << 30) % F.col("parts")).alias("salt"), "parts")
+    shared = cut_lineage(shared_triples(reps.select("rep_id", "triples"), threshold))
+    codes = shared.select("rep_id", "size", "held").mapInPandas(_codes(threshold), "rep_id long, code binary, size int, room double")
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cells = routed(shared).join(codes, "rep_id").repartition(parts, "cell", "part").sortWithinPartitions("cell", "part")
+    visited, pruned = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    candidates = cut_lineage(cells.mapInPandas(_pairs_of_cells(threshold, visited, pruned), "a long, b long").distinct())
+    log.info("Gray-order index: %d nodes visited, %d groups left by their differences", visited.value, pruned.value)
+    side = lambda x: shared.select(F.col("rep_id").alias(x), F.col("size").alias(f"n{x}"), F.col("held").alias(f"t{x}"))
     both = F.size(F.array_intersect("ta", "tb"))
-    compared = candidates.join(side("a"), "a").join(side("b"), "b").select("a", "b", (both / (F.size("ta") + F.size("tb") - both)).alias("similarity"))
-    return compared.filter(F.col("similarity") >= threshold - 1e-12), members
+    compared = candidates.join(side("a"), "a").join(side("b"), "b").select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("similarity"))
+    links = compared.filter(F.col("similarity") >= threshold - 1e-12)
+    spread_over = lambda x: known.select(F.col("rep_id").alias(x), F.col("parts").alias(f"parts_{x}"))
+    return links.join(spread_over("a"), "a").join(spread_over("b"), "b"), members
 
 
 def similar_pairs(records: DataFrame, record_id: str = "drug_id", fields: tuple[str, ...] = ("indications_and_usage", "warnings_and_cautions"), threshold: float = 0.7) -> DataFrame:
@@ -216,15 +284,17 @@ def similar_pairs(records: DataFrame, record_id: str = "drug_id", fields: tuple[
 
     The similarity is the number of triples in both by the number in either. Null fields are empty;
     records of fewer than three words are in no pair. Copies of a text are searched once and written
-    out at the end; records repeated under one id make no pair with themselves.
+    out at the end, a large class from many tasks; records repeated under one id make no pair with themselves.
     """
     links, members = similar_classes(text_classes(records, record_id, list(fields)), threshold)
     members = cut_lineage(members)
-    of = lambda x: members.select(F.col("rep_id").alias(x), F.col("record_id").alias(f"r{x}"))
-    across = links.join(of("a"), "a").join(of("b"), "b").select("ra", "rb")
+    of = lambda x: members.select(F.col("rep_id").alias(x), F.col("salt").alias(f"s{x}"), F.col("record_id").alias(f"r{x}"))
+    salts = lambda x: F.explode(F.sequence(F.lit(0), F.col(f"parts_{x}") - 1)).alias(f"s{x}")
+    across = links.select("a", "b", "parts_b", salts("a")).join(of("a"), ["a", "sa"]).select("b", "ra", salts("b")).join(of("b"), ["b", "sb"]).select("ra", "rb")
     many = members.groupBy("rep_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rep_id")
     copies = members.join(many, "rep_id", "left_semi")
-    same = copies.select("rep_id", F.col("record_id").alias("ra")).join(copies.select("rep_id", F.col("record_id").alias("rb")), "rep_id").filter("ra < rb").select("ra", "rb")
+    left = copies.select("rep_id", F.col("record_id").alias("ra"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    same = left.join(copies.select("rep_id", "salt", F.col("record_id").alias("rb")), ["rep_id", "salt"]).filter("ra < rb").select("ra", "rb")
     return across.unionByName(same).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct()
 
 
@@ -235,7 +305,7 @@ def similar_groups(records: DataFrame, record_id: str = "drug_id", fields: tuple
     the number of other texts the record's text is similar to.
     """
     links, members = similar_classes(text_classes(records, record_id, list(fields)), threshold)
-    links = cut_lineage(links)
+    links = cut_lineage(links.select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("rep_id")).groupBy("rep_id").agg(F.count(F.lit(1)).alias("n_links"))
     group = components(links).select(F.col("node").alias("rep_id"), F.col("component").alias("group_id"))
     known = group.join(degree, "rep_id")

@@ -85,41 +85,44 @@ def test_similar_pairs_against_brute_force(spark, monkeypatch, seed):
     assert {k: v for k, v in got.items()} == {i: find(i) for i in parent} | {i: i for i in got if i not in parent}
 
 
-def test_frequent_triples_are_searched_in_blocks(spark):
+@pytest.mark.parametrize("block", [2, 5])
+def test_large_cells_are_parted(spark, monkeypatch, block):
     rows = variants(5, 150)
-    df = spark.createDataFrame(rows, "drug_id long, indications_and_usage string, warnings_and_cautions string")
-    old, similar.BLOCK = similar.BLOCK, 3
-    try:
-        reps = similar.text_classes(df, "drug_id", ["indications_and_usage", "warnings_and_cautions"]).groupBy("class").agg(F.min("record_id").alias("rep_id"), F.first("triples").alias("triples")).toPandas()
-        counts = np.zeros(similar.SLOTS, np.int32)
-        for t in reps["triples"]:
-            np.add.at(counts, (np.asarray(t, np.int64).view(np.uint64) % np.uint64(similar.SLOTS)).astype(np.int64), 1)
-
-        class Shared:
-            value = counts
-
-        cells = next(similar._prefixes(0.7, Shared)(iter([reps]))).sort_values(["key", "cell", "gray"])
-        assert cells["mixed"].any()
-        pairs = {tuple(p) for part in similar._pairs_of_cells(0.7)(iter([cells])) for p in part.itertuples(index=False, name=None)}
-    finally:
-        similar.BLOCK = old
-    known = {i: triples(f"{a or ''} {b or ''}") for i, a, b in rows}
-    ids = set(reps["rep_id"])
-    assert {(a, b) for a, b in brute(rows) if a in ids and b in ids and known[a] != known[b]} <= pairs
-
-
-def test_tree_search_equals_comparing_all():
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "MEMBERS", 2)
+    df = spark.createDataFrame([*rows, *((2000 + i, *rows[0][1:]) for i in range(7))], "drug_id long, indications_and_usage string, warnings_and_cautions string")
+    shared = similar.shared_triples(similar.text_classes(df, "drug_id", ["indications_and_usage", "warnings_and_cautions"]).groupBy("class").agg(F.min("record_id").alias("rep_id"), F.first("triples").alias("triples")).select("rep_id", "triples"), 0.7)
+    parts = {r["part"] for r in similar.routed(shared).select("part").distinct().collect()}
+    assert parts & {1, 2} and (block > 3 or max(parts) > 2)
+    assert sorted(map(tuple, similar.similar_pairs(df).collect())) == brute([*rows, *((2000 + i, *rows[0][1:]) for i in range(7))])
+
+
+def test_the_tree_is_the_search_and_leaves_groups(spark, caplog):
+    df = spark.createDataFrame(variants(7, 400), "drug_id long, indications_and_usage string, warnings_and_cautions string")
+    with caplog.at_level("INFO", "lamina.llm.similar"):
+        similar.similar_pairs(df).count()
+    visited, left = map(int, re.findall(r"\d+", caplog.messages[-1]))
+    assert visited > 400 and left > 0
+
+
+def test_forest_equals_comparing_all():
     r = np.random.default_rng(1)
-    codes = r.integers(0, 2**63, (300, 8), dtype=np.uint64)
-    codes[100:] = codes[r.integers(0, 100, 200)] ^ (np.uint64(1) << r.integers(0, 63, (200, 8), dtype=np.uint64))
-    sizes = r.integers(60, 90, 300)
-    order = np.lexsort(np.packbits(similar.gray_rank(np.unpackbits(codes.view(np.uint8), axis=1)), axis=1).T[::-1])
-    codes, sizes = codes[order], sizes[order]
-    q, f = similar.GrayTree(codes, sizes).search(codes, sizes, 0.7)
+    codes = r.integers(0, 2**63, (700, 8), dtype=np.uint64)
+    codes[100:] = codes[r.integers(0, 100, 600)] ^ (np.uint64(1) << r.integers(0, 63, (600, 8), dtype=np.uint64))
+    sizes, cells = r.integers(60, 90, 700), np.sort(np.r_[r.integers(0, 30, 300), np.full(400, 40)])
+    rooms = similar.room(sizes.astype(float), sizes, 0.7)
+    bits = np.unpackbits(codes.view(np.uint8), axis=1)
+    order = np.lexsort([*np.packbits(similar.gray_rank(similar.telling_first(bits, cells)), axis=1).T[::-1], cells])
+    codes, sizes, rooms, cells = codes[order], sizes[order], rooms[order], cells[order]
+    forest = similar.GrayForest(cells, codes, sizes, rooms, 0.7)
+    got = {p for i, j in forest.pairs() for p in zip(i.tolist(), j.tolist())}
     distance = np.bitwise_count(codes[:, None] ^ codes[None]).sum(-1, dtype=np.int64)
     a, b = sizes[:, None], sizes[None]
-    want = (distance <= (a + b) * 0.3 / 1.7 + 1e-9) & (b >= 0.7 * a - 1e-9) & (0.7 * b <= a + 1e-9)
-    assert set(zip(q.tolist(), f.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(want))))
+    want = (distance <= (a + b) * 0.3 / 1.7 + 1e-6) & (b >= 0.7 * a - 1e-9) & (0.7 * b <= a + 1e-9) & (cells[:, None] == cells[None])
+    assert got == {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(want))) if i < j}
+    assert forest.pruned > 0
+    none = similar.GrayForest(np.zeros(0, int), np.zeros((0, 8), np.uint64), np.zeros(0, int), np.zeros(0), 0.7)
+    assert list(none.pairs()) == []
 
 
 def test_gray_rank_steps_change_one_bit():
