@@ -31,8 +31,10 @@ from lamina.session import cut_lineage, ship_package
 log = logging.getLogger(__name__)
 
 BITS = 512
-#: Classes of a cell; larger cells are parted, in the end into cells of two blocks each.
+#: Classes of a block; a route of more is searched in cells of two blocks each.
 BLOCK = 2048
+#: Routes of classes that lead to a cell, at most; a class comes to a cell by several routes.
+CELL = 4 * BLOCK
 FANOUT = 4
 #: Query and fingerprint combinations that are open in a search at once, at most.
 OPEN = 1 << 19
@@ -64,8 +66,9 @@ def gray_rank(bits: np.ndarray) -> np.ndarray:
 def telling_first(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
     """The bits of each row reordered, those first that part the rows of its cell most evenly."""
     edges = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-    share = np.add.reduceat(bits, edges, axis=0, dtype=np.int32) / np.diff(np.append(edges, len(cells)))[:, None]
-    return np.take_along_axis(bits, np.argsort(np.abs(share - 0.5), axis=1, kind="stable")[cells], axis=1)
+    counts = np.diff(np.append(edges, len(cells)))
+    share = np.add.reduceat(bits, edges, axis=0, dtype=np.int32) / counts[:, None]
+    return np.take_along_axis(bits, np.repeat(np.argsort(np.abs(share - 0.5), axis=1, kind="stable"), counts, axis=0), axis=1)
 
 
 def _popcount(words: np.ndarray) -> np.ndarray:
@@ -219,38 +222,31 @@ def routed(reps: DataFrame) -> DataFrame:
     """``rep_id, cell, part``: the cells each class goes to; classes that share a route share a cell.
 
     A route leads to its least class, and on to the least class that one's routes lead to. Where the
-    cell so made is above ``BLOCK`` the route leads to its own least class only, then to itself, and a
-    route above ``BLOCK`` is searched as pairs of blocks.
+    cell so made has above ``CELL`` routes of classes, the route leads to its own least class only, then
+    to itself, and a route of more than ``BLOCK`` classes is searched as pairs of blocks.
     """
-    routes = reps.select("rep_id", F.explode("routes").alias("route"))
+    rows = reps.select("rep_id", F.explode("routes").alias("route"))
     total = reps.agg(F.sum(F.size("routes"))).first()[0] or 0
-    least = routes.groupBy("route").agg(F.min("rep_id").alias("near"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = cut_lineage(join_groups(routes, least, ["route"], "n", total))
-    far = rows.groupBy("rep_id").agg(F.min("near").alias("far")).withColumnRenamed("rep_id", "near")
-    meet = cut_lineage(rows.join(far, "near"))
-
-    def split(rows: DataFrame, cell: str) -> tuple[DataFrame, DataFrame]:
-        """Rows whose cell, by the column, is within ``BLOCK``, and the others."""
-        large = rows.select(cell, "rep_id").distinct().groupBy(cell).agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > BLOCK).select(cell)
-        large = cut_lineage(large)
-        return rows.join(large, cell, "left_anti"), rows.join(large, cell, "left_semi")
-
-    by_far, rest = split(meet, "far")
-    by_near, rest = split(rest, "near")
-    small, large = rest.filter(F.col("n") <= BLOCK), rest.filter(F.col("n") > BLOCK)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    least = cut_lineage(rows.groupBy("route").agg(F.min("rep_id").alias("near"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    far = join_groups(rows, least, ["route"], "n", total).groupBy("rep_id").agg(F.min("near").alias("far"))
+    meet = least.join(far.withColumnRenamed("rep_id", "near"), "near")
+
+    def load(cell: str) -> DataFrame:
+        """Cells that are too large."""
+        return meet.groupBy(cell).agg(F.sum("n").alias("load")).filter(F.col("load") > CELL).select(cell, F.lit(True).alias(f"{cell}_large"))
+
+    led = meet.join(load("far"), "far", "left").join(load("near"), "near", "left")
+    by_far, by_near = F.col("far_large").isNull(), F.col("near_large").isNull()
+    led = led.select(
+        "route", "n", F.when(by_far, F.col("far")).when(by_near, F.col("near")).otherwise(F.col("route")).alias("cell"),
+        F.when(by_far, 0).when(by_near, 1).otherwise(2).cast("long").alias("part"),
+        F.when(by_far | by_near, 1).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks"),
+    )
+    gone = join_groups(rows, led, ["route"], "n", total)
     own, other = salted(F.col("rep_id"), 1 << 30) % F.col("blocks"), F.col("other")
-    pairs = large.withColumn("blocks", blocks).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter(own != other)
-    kinds = [
-        by_far.select("rep_id", F.col("far").alias("cell"), F.lit(0).cast("long").alias("part")),
-        by_near.select("rep_id", F.col("near").alias("cell"), F.lit(1).cast("long").alias("part")),
-        small.select("rep_id", F.col("route").alias("cell"), F.lit(2).cast("long").alias("part")),
-        pairs.select("rep_id", F.col("route").alias("cell"), (F.lit(3) + F.least(own, other).cast("long") * F.col("blocks") + F.greatest(own, other)).alias("part")),
-    ]
-    out = kinds[0]
-    for k in kinds[1:]:
-        out = out.unionByName(k)
-    return out.distinct()
+    whole = gone.filter("blocks = 1").select("rep_id", "cell", "part")
+    pairs = gone.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter(own != other)
+    return whole.unionByName(pairs.select("rep_id", "cell", (F.lit(3) + F.least(own, other).cast("long") * F.col("blocks") + F.greatest(own, other)).alias("part"))).distinct()
 
 
 def similar_classes(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
