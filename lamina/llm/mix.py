@@ -123,35 +123,46 @@ def document_sizes(documents: DataFrame, targets: DataFrame, vocabulary_path: st
     return count_tokens(spread(documents.select("doc_id", "source", "text").join(wanted, "source", "left_semi")), vocabulary_path=vocabulary_path).select("doc_id", "source", "n_tokens")
 
 
-def mixing_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+#: What a mixture keeps where a source falls short: the size of the corpus, or the shares.
+KEEP = ("size", "shares")
+
+
+def mixing_plan(sizes: DataFrame, targets: DataFrame, keep: str = "size") -> DataFrame:
     """For each target source: tokens it has and should give, expected copies of each document, feasibility.
 
-    The size of the mixture is that of all documents of the target sources. ``feasible`` is false where
-    ``max_repeats`` times the tokens of the source are fewer than its share. A source without documents
+    With ``keep="size"`` the mixture is as large as all documents of the target sources together, and a
+    source that falls short leaves its place empty. With ``keep="shares"`` it is the largest mixture in
+    which every source with a token and a share reaches its share. ``feasible`` is false where ``max_repeats``
+    times the tokens of the source are fewer than its share of all documents. A source without documents
     has 0 tokens; a null share is 0, a null ``max_repeats`` 1.
     """
+    if keep not in KEEP:
+        raise ValueError(f"keep is one of {KEEP}")
     have = sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     plan = targets.select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")).dropDuplicates(["source"])
     plan = plan.join(have, "source", "left").na.fill(0, ["tokens", "docs"])
-    total = plan.agg(F.sum("tokens").alias("all_tokens"))
-    plan = plan.crossJoin(F.broadcast(total))  # one row
-    goal = F.col("target_share") * F.col("all_tokens")
     reach = F.col("max_repeats") * F.col("tokens")
+    held = (F.col("tokens") > 0) & (F.col("target_share") > 0)
+    total = plan.agg(F.sum("tokens").alias("all_tokens"), F.min(F.when(held, reach / F.col("target_share"))).alias("most"))
+    plan = plan.crossJoin(F.broadcast(total))  # one row
+    size = F.least("all_tokens", F.coalesce("most", "all_tokens")) if keep == "shares" else F.col("all_tokens")
+    goal = F.col("target_share") * size
     return plan.select(
         "source", "target_share", "max_repeats", "tokens", "docs", "all_tokens", goal.alias("goal_tokens"),
-        (reach >= goal).alias("feasible"),
+        (reach >= F.col("target_share") * F.col("all_tokens")).alias("feasible"),
         F.when(F.col("tokens") > 0, F.least(goal / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0)).alias("copies"),
     )
 
 
-def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary_path: str | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary_path: str | None = None, seed: int = 7, keep: str = "size") -> tuple[DataFrame, DataFrame]:
     """The mixture (``source, doc_id, n_tokens, copies``) and the report of shares reached.
 
     Documents of sources without a target are left out. No document has more than ``max_repeats`` copies.
+    ``keep`` is that of the plan; the report gives the share of the mixture and that of the corpus.
     """
     ship_package(documents.sparkSession)
     sizes = cut_lineage(document_sizes(documents, targets, vocabulary_path))
-    plan = mixing_plan(sizes, targets)
+    plan = mixing_plan(sizes, targets, keep)
     planned = sizes.join(plan.select("source", F.floor("copies").alias("whole"), (F.col("copies") - F.floor("copies")).alias("p")), "source")
     # the rows are read in the order of the checkpoint's files: a repeated task decides as the first did
     planned = cut_lineage(planned)
@@ -163,11 +174,12 @@ def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary_path: str |
     report = report.crossJoin(F.broadcast(report.agg(F.sum("used_tokens").alias("mixed")))).select(
         "source", "target_share", "max_repeats", "tokens", "docs", "goal_tokens", "feasible", "used_tokens", "used_docs", "most_copies",
         F.when(F.col("mixed") > 0, F.col("used_tokens") / F.col("mixed")).otherwise(0.0).alias("actual_share"),
-        F.when(F.col("all_tokens") > 0, F.col("used_tokens") / F.col("all_tokens")).otherwise(0.0).alias("share_of_goal_size"),
+        F.when(F.col("all_tokens") > 0, F.col("used_tokens") / F.col("all_tokens")).otherwise(0.0).alias("share_of_goal_size"), "all_tokens",
     )
     return mixture, report
 
 
 def short_sources(documents: DataFrame, targets: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
-    """The sources that cannot reach their share."""
-    return mixing_plan(document_sizes(documents, targets, vocabulary_path), targets).filter("NOT feasible").select("source")
+    """The sources that cannot reach their share, by the report of the mixture: all copies they may give were used."""
+    _, report = mix_sources(documents, targets, vocabulary_path)
+    return report.filter(~F.col("feasible") & (F.col("used_tokens") < F.col("target_share") * F.col("all_tokens"))).select("source")

@@ -68,6 +68,10 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p8_kept_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), keep="shares")[1]
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -84,7 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_groups, p2_token_budget, p3_found, p3_records, p4_found, p4_repaired, p5_found, p5_pieces,
-        p6_found, p7_ids, p8_found, p8_shares, p8_mixture, p9_found, p9_restored,
+        p6_found, p7_ids, p8_found, p8_shares, p8_kept_shares, p8_mixture, p9_found, p9_restored,
     )
 }
 

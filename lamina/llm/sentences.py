@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.bloom import hashes_of
 from lamina.llm.layout import BLANK, HEADING, TEXT, read_lines, running_lines
 from lamina.session import ship_package, spread
 
@@ -153,26 +154,42 @@ def languages_of(text: str) -> list[tuple[int, str]]:
 
 _END = re.compile(r"[.!?。！？؟।…]+(?:\n?[”’\"』」）)\]]|[   \n]?»|(?<=[.!?])“)*")
 _THAI_END = re.compile(r"(?<=[฀-๿ๆ])(?=[  \n ]+[฀-๿])")
+_CLOSED = re.compile(r"[.!?。！？؟।…][”’»\"'」』）)\]\s]*\Z")
 _NOTHING = re.compile(r"\s*\Z")
 _PAIRS = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』"}
-#: A quotation is at most so long; a mark left open further back is taken as a mistake.
-LONGEST_QUOTE = 600
+_MARKS = re.compile(rf"[“”„«»「」『』]|{PARAGRAPH}|\n[^\S\n]*\n")
+#: Characters before an end mark that a rule can concern: more than the longest abbreviation has.
+BEFORE = 24
 
 
 def quotations(text: str) -> list[tuple[int, int]]:
-    """Start and end (past the closing mark) of the outermost quotations; one cut off ends with the text."""
-    out, i = [], 0
-    for m in re.finditer(r"[“„«「『]", text):
-        if m.start() < i:
-            continue
-        stop = text.find(_PAIRS[m[0]], m.end(), m.end() + LONGEST_QUOTE)
-        if stop < 0:
-            if len(text) - m.end() > LONGEST_QUOTE:
-                continue
-            stop = len(text)
-        out.append((m.start(), stop + 1))
-        i = stop + 1
-    return out
+    """Start and end (past the closing mark) of the outermost quotations, of any length.
+
+    A quotation holds those within it and ends in its paragraph. A mark left open is a mistake and opens
+    nothing, but where a text is cut off, without an end mark, its last paragraph's ends with the text.
+    """
+    out: list[tuple[int, int]] = []
+    open_: list[tuple[str, int]] = []  # awaited closing mark, start
+    done: list[tuple[int, int]] = []  # closed within what is open
+    for m in _MARKS.finditer(text):
+        mark = m[0]
+        closes = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == mark), None)
+        if closes is not None:
+            start = open_[closes][1]
+            del open_[closes:]
+            done = [d for d in done if d[0] < start] + [(start, m.end())]
+            if not open_:
+                out += done
+                done = []
+        elif mark in _PAIRS:
+            open_.append((_PAIRS[mark], m.start()))
+        elif mark not in "”»」』":  # a paragraph's end
+            out += done
+            done, open_ = [], []
+    if open_ and not _CLOSED.search(text, max(0, len(text.rstrip()) - 8)):
+        start = open_[0][1]
+        done = [d for d in done if d[0] < start] + [(start, len(text) + 1)]
+    return out + done
 
 
 def sentence_ends(text: str, language: str | None = None) -> list[int]:
@@ -187,10 +204,10 @@ def sentence_ends(text: str, language: str | None = None) -> list[int]:
     starts = [q[0] for q in quotes]
     ends = []
     spoken = lambda at: languages[max(0, bisect_right(parts, at - 1) - 1)][1]
-    candidates = {m.end() for m in _END.finditer(text)}
+    candidates = {m.end(): m.start() for m in _END.finditer(text)}
     if "th" in cascades:
-        candidates |= {m.start() for m in _THAI_END.finditer(text) if spoken(m.start()) == "th"}
-    for at in sorted(candidates):
+        candidates |= {m.start(): m.start() for m in _THAI_END.finditer(text) if spoken(m.start()) == "th"}
+    for at, marks in sorted(candidates.items()):
         now = spoken(at)
         k = bisect_right(starts, at - 1) - 1
         if k >= 0 and at <= quotes[k][1]:
@@ -200,9 +217,9 @@ def sentence_ends(text: str, language: str | None = None) -> list[int]:
                 before = text[max(0, quotes[k][0] - 8) : quotes[k][0]].rstrip()[-1:]
                 if before not in ("：", ":") and not _NOTHING.match(text, at):
                     continue  # the sentence around it goes on
-        before, after = text[max(0, at - 24) : at], text[at : at + 24]
+        before = text[max(0, marks - BEFORE) : at]
         for rule in cascades[now]:
-            if rule.before.search(before) and rule.after.match(after):
+            if rule.before.search(before) and rule.after.match(text, at):
                 if rule.breaks:
                     ends.append(at)
                 break
@@ -249,18 +266,23 @@ def page_text_ends(text: str, title: str | None, running: frozenset[str]) -> lis
 
 
 def article_sentences(articles: DataFrame) -> DataFrame:
-    """``item_field, item_key, end_pos`` for the abstract of each pmid, once. Null and blank abstracts have none."""
+    """``item_field, item_key, end_pos`` for the abstract of each pmid, once. Null and blank abstracts have none.
+
+    Abstracts are cut where they are read and only positions are shuffled. Of the rows of a pmid one
+    that names its language counts first; should abstracts differ, the least of language and hash does.
+    """
     ship_package(articles.sparkSession)
     told = F.when(F.col("language") != "und", F.col("language"))
-    once = articles.select("pmid", "abstract", told.alias("language")).filter(F.col("pmid").isNotNull() & F.col("abstract").isNotNull())
-    once = once.groupBy("pmid").agg(F.max("abstract").alias("abstract"), F.min("language").alias("language"))
+    rows = articles.select("pmid", "abstract", told.alias("language")).filter(F.col("pmid").isNotNull() & F.col("abstract").isNotNull())
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [("articles.abstract", key, e) for key, text, code in zip(batch["pmid"], batch["abstract"], batch["language"]) for e in abstract_ends(text, code)]
-            yield pd.DataFrame(rows, columns=["item_field", "item_key", "end_pos"])
+            ends = [abstract_ends(text, code) for text, code in zip(batch["abstract"], batch["language"])]
+            yield pd.DataFrame({"pmid": batch["pmid"], "order": [code or "~" for code in batch["language"]], "hash": hashes_of(batch["abstract"]), "ends": ends})
 
-    return once.mapInPandas(split, "item_field string, item_key string, end_pos int")
+    cut = spread(rows).mapInPandas(split, "pmid string, order string, hash long, ends array<int>")
+    once = cut.groupBy("pmid").agg(F.min_by("ends", F.struct("order", "hash")).alias("ends"))
+    return once.select(F.lit("articles.abstract").alias("item_field"), F.col("pmid").alias("item_key"), F.explode("ends").alias("end_pos"))
 
 
 def guideline_sentences(guidelines: DataFrame) -> DataFrame:

@@ -30,20 +30,22 @@ def cut_points(text: str, limit: int, overlap: int) -> list[int]:
     """Where ``text`` is cut; piece k begins ``overlap`` before cut k and none is above ``limit``.
 
     The smallest number of pieces is tried first, with targets at equal lengths; each cut moves to the
-    strongest boundary in reach of its target, the nearest among equals (the earlier of two as near).
-    If a cut in reach would break the limit of this piece or of those after it, or no boundary is in reach,
-    one more piece is tried, then a cut from left to right. A word is cut only where its piece has no boundary.
+    strongest boundary in reach of its target, the nearest among equals (the earlier of two as near), or
+    to the strongest one its piece allows if none is in reach. Where a limit fails, that of this piece
+    or of those after it, all is done again with more pieces, as often as need be. A word is cut only
+    where its piece has no boundary at all. An overlap below 0 or not below the limit is refused.
     """
+    if not 0 <= overlap < limit:
+        raise ValueError(f"an overlap of {overlap} does not fit pieces of {limit}")
     length, step = len(text), limit - overlap
     if length <= limit:
         return []
     ends: list[list[int]] = [[m.end() for m in b.finditer(text)] for b in BOUNDARIES]
-    least = 1 + -(-(length - limit) // step)
-    for pieces in range(least, least + 3):
-        cuts = _balanced(text, ends, pieces, limit, overlap)
-        if cuts is not None:
-            return cuts
-    return _greedy(text, ends, limit, overlap)
+    pieces, tries = 1 + -(-(length - limit) // step), 0
+    while (cuts := _balanced(text, ends, pieces, limit, overlap)) is None:
+        tries += 1
+        pieces += 1 + tries // 8
+    return cuts
 
 
 def _best(ends: list[list[int]], target: float, low: int, high: int) -> int | None:
@@ -66,35 +68,31 @@ def _whole(text: str, at: int, low: int) -> int:
 
 
 def _balanced(text: str, ends: list[list[int]], pieces: int, limit: int, overlap: int) -> list[int] | None:
-    length = len(text)
+    """The cuts for so many pieces or fewer, None where they do not keep the limit."""
+    length, step = len(text), limit - overlap
     share = (length + (pieces - 1) * overlap) / pieces
     cuts: list[int] = []
-    before = 0
+    start = 0
     for k in range(1, pieces):
+        if length - start <= limit:
+            break
         target = k * (share - overlap) + overlap
         reach = (share - overlap) * REACH
-        start = before - overlap if cuts else 0
-        high = min(start + limit, int(target + reach))
-        low = max(before + 1, start + overlap + 1, int(target - reach), length - (limit - overlap) * (pieces - k))
+        least, most = start + overlap + 1, start + limit
+        low, high = max(least, length - step * (pieces - k)), most
         if low > high:
             return None
-        cut = _best(ends, target, low, high)
+        near_low, near_high = max(low, int(target - reach)), min(high, int(target + reach))
+        cut = _best(ends, target, near_low, near_high) if near_low <= near_high else None
         if cut is None:
-            return None
-        cuts.append(cut)
-        before = cut
-    return cuts if length - before + overlap <= limit else None
-
-
-def _greedy(text: str, ends: list[list[int]], limit: int, overlap: int) -> list[int]:
-    """Pieces as long as the limit and the boundaries, those in the last third first, allow: the way that always ends."""
-    cuts, start = [], 0
-    while len(text) - start > limit:
-        low, high = start + max(overlap + 1, limit * 2 // 3), start + limit
-        cut = _best(ends, high, low, high) or _best(ends[-1:], high, start + overlap + 1, high) or _best(ends, high, start + overlap + 1, high) or _whole(text, high, low)
+            cut = _best(ends, target, low, high)
+        if cut is None:
+            if _best(ends, target, least, most) is not None:
+                return None
+            cut = _whole(text, min(most, max(low, int(target))), low)
         cuts.append(cut)
         start = cut - overlap
-    return cuts
+    return cuts if length - start <= limit else None
 
 
 def table_text(cells: str) -> Column:
@@ -108,12 +106,14 @@ def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
 
     ``limits`` has ``item_field, max_chars, overlap_chars``. An item within its limit is one piece as it
     stands, an empty one included; null bodies and fields without a limit give nothing. Each later
-    piece begins with the last ``overlap_chars`` characters of the one before it; an overlap of half
-    the limit or more is taken as a little under half. Only items above the limit leave the JVM.
+    piece begins with the last ``overlap_chars`` characters of the one before it. An overlap below 0 or
+    not below its limit is refused with ValueError. Only items above the limit leave the JVM.
     Repeated rows give repeated pieces; other columns are ignored.
     """
     ship_package(items.sparkSession)
     bound = limits.select("item_field", "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars")).filter("max_chars > 0").dropDuplicates(["item_field"])
+    if not bound.filter("overlap_chars < 0 OR overlap_chars >= max_chars").isEmpty():
+        raise ValueError("size limits hold an overlap below 0 or not below its limit")
     sized = items.select("item_field", "item_id", "body").filter(F.col("body").isNotNull()).join(bound, "item_field")
     whole = sized.filter(F.length("body") <= F.col("max_chars")).select(
         "item_field", "item_id", F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start_pos"),
@@ -126,8 +126,8 @@ def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for field, item, body, limit, overlap in zip(batch["item_field"], ids(batch["item_id"]), batch["body"], batch["max_chars"], batch["overlap_chars"]):
-                overlap = max(0, min(int(overlap), (int(limit) - 1) // 2))
-                cuts = cut_points(body, int(limit), overlap)
+                limit, overlap = int(limit), int(overlap)
+                cuts = cut_points(body, limit, overlap)
                 starts, stops = [0, *(c - overlap for c in cuts)], [*cuts, len(body)]
                 rows += [(field, item, k, len(starts), a, b, body[a:b], b - a) for k, (a, b) in enumerate(zip(starts, stops))]
             yield pd.DataFrame(rows, columns=columns).astype({"item_id": object})

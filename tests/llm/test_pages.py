@@ -130,6 +130,27 @@ def test_languages_by_paragraph():
     assert sentences(f"{english}\n\n{german}")[-1] == german
 
 
+def test_rules_see_the_text_itself():
+    assert sentences("Given at ca." + " " * 30 + "was it so. Next.", "eng") == ["Given at ca." + " " * 30 + "was it so.", "Next."]
+    assert sentences("It was low." + " " * 30 + "was it so. Next.", "eng") == ["It was low." + " " * 30 + "was it so.", "Next."]
+
+
+def test_quotations_of_any_length():
+    said = "Stop it. Restart it later. " * 60
+    assert sentences(f"The panel noted: “{said}End.” It was so.", "eng") == [f"The panel noted: “{said}End.”", "It was so."]
+    nested = f"The panel noted: “One. „Two. Three.“ {said}Four.” It was so."
+    assert sentences(nested, "eng") == [nested[:-11], "It was so."]
+    assert len(sentences(f"A mark “left open. {said}The end.", "eng")) == 122
+    assert len(sentences(f"A mark “left open.\n\n{said}", "eng")) == 121
+    assert sentences(f"Cut off: “{said}And then", "eng") == [f"Cut off: “{said}And then"]
+    assert S.quotations("“a «b” c» “d”") == [(0, 6), (10, 13)]
+
+
+def test_a_long_text_in_two_languages():
+    english, german = "The dose was low in it. " * 1000, "Die Dosis wurde am 9. Tag bei der Gruppe nicht verdoppelt. " * 2500
+    assert len(S.abstract_ends(f"{english}\n\n{german}", "und")) == 3500
+
+
 def test_missing_spaces_and_cut_off_ends():
     assert sentences("It lasted?Patients left.We stayed. The panel noted: “Stop it. Rest", "eng") == ["It lasted?", "Patients left.", "We stayed.", "The panel noted: “Stop it. Rest"]
     assert S.abstract_ends("  ") == [] and S.abstract_ends("One. Two  ") == [4, 8]

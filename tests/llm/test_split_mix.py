@@ -13,7 +13,7 @@ PIECES = st.lists(st.sampled_from(["word ", "Ende. ", "\n", "\n\n", "a | b", "x"
 @settings(max_examples=300, deadline=None)
 @given(PIECES, st.integers(5, 60), st.integers(0, 20))
 def test_pieces_are_within_the_limit_and_cover_the_text(text, limit, overlap):
-    overlap = min(overlap, (limit - 1) // 2)
+    overlap = min(overlap, limit - 1)
     cuts = split.cut_points(text, limit, overlap)
     starts, stops = [0, *(c - overlap for c in cuts)], [*cuts, len(text)]
     assert all(b - a <= limit for a, b in zip(starts, stops)) and cuts == sorted(set(cuts))
@@ -21,6 +21,22 @@ def test_pieces_are_within_the_limit_and_cover_the_text(text, limit, overlap):
     assert (len(cuts) > 0) == (len(text) > limit)
 
 
+def test_an_overlap_that_does_not_fit_is_refused(spark):
+    for overlap in (-1, 20, 30):
+        with pytest.raises(ValueError):
+            split.cut_points("x" * 50, 20, overlap)
+        with pytest.raises(ValueError):
+            split.split_items(spark.createDataFrame([("f", 1, "x")], "item_field string, item_id long, body string"), spark.createDataFrame([("f", 20, overlap)], "item_field string, max_chars int, overlap_chars int"))
+
+
+def test_pieces_are_balanced_and_cut_at_sentences():
+    r = random.Random(8)
+    text = "".join(" ".join("word" * r.randint(1, 2) for _ in range(r.randint(5, 12))) + ". " for _ in range(300))
+    cuts = split.cut_points(text, 1300, 100)
+    sizes = [b - a for a, b in zip([0, *(c - 100 for c in cuts)], [*cuts, len(text)])]
+    assert len(sizes) <= 2 + -(-(len(text) - 100) // 1200) and min(sizes) > 0.6 * max(sizes) and sum(text[c - 2 : c] == ". " for c in cuts) >= 0.8 * len(cuts)
+
+
 def test_strongest_boundary_near_the_target():
     text = "a" * 40 + ". " + "b" * 6 + "\n\n" + "c" * 50
     assert split.cut_points(text, 60, 0) == [50]
@@ -74,6 +90,15 @@ def test_shares_and_repeats(spark):
     assert short == {s for s, r in rows.items() if not r["feasible"]}
 
 
+def test_shares_are_kept(spark):
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 1), ("c", 0.1, 1)], "source string, target_share double, max_repeats int")
+    rows = {r["source"]: r for r in mix.mix_sources(documents(spark), targets, keep="shares")[1].collect()}
+    assert not rows["b"]["feasible"] and all(abs(r["actual_share"] - r["target_share"]) < 0.02 for r in rows.values())
+    assert rows["b"]["used_tokens"] == rows["b"]["tokens"] and rows["b"]["share_of_goal_size"] < 0.4
+    with pytest.raises(ValueError):
+        mix.mix_sources(documents(spark), targets, keep="all")
+
+
 def test_no_documents(spark, empty):
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     none = empty("doc_id long, text string, source string")
