@@ -33,13 +33,34 @@ def test_copies_against_brute_force(spark, empty):
 
 def test_repeat_filter_has_no_false_negative(spark):
     df = spark.range(20_000, numPartitions=7).select(F.xxhash64(F.col("id") % 15_000).alias("h"))
-    bitmap = bloom.merged_filter(df, 1 << 19, repeated=True)
+    bitmap = bloom.merged_filter(df, bloom.filter_bits(20_000), repeated=True)
     hashes = np.array([x["h"] for x in df.distinct().collect()])
     repeated = {x["h"] for x in df.groupBy("h").count().filter("count > 1").collect()}
     flagged = set(hashes[bloom.holds(bitmap, hashes)].tolist())
     assert repeated <= flagged and len(flagged) < 5000 + 500
 
 
+def test_filter_keeps_its_rate_beyond_a_shard(spark, monkeypatch):
+    """With shards of 2 segments 600,000 keys take 7 shards; few singletons pass, and no repeat is held back."""
+    monkeypatch.setattr(bloom, "SHARD", 2)
+    df = spark.range(600_000, numPartitions=5).select(F.xxhash64(F.when(F.col("id") < 20_000, F.col("id") % 10_000).otherwise(F.col("id"))).alias("h"), F.lit("x").alias("may"))
+    assert -(-bloom.filter_segments(600_000) // bloom.SHARD) == 7
+    flagged = collapse.flag_repeats(df, "h", 600_000)
+    again = df.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    got = flagged.join(again, "h").groupBy((F.col("n") > 1).alias("repeats")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("may_repeat").cast("int")).alias("passed")).collect()
+    got = {r["repeats"]: (r["n"], r["passed"]) for r in got}
+    assert got[True] == (20_000, 20_000) and got[False][0] == 580_000 and got[False][1] < 0.05 * 580_000
+    with pytest.raises(ValueError):
+        bloom.merged_filter(df.select("h"), 3 * bloom.SEGMENT * 8, repeated=True)
+
+
+def test_segments_are_passed_on_in_their_shorter_form():
+    few, many = np.zeros(bloom.SEGMENT, np.uint8), np.arange(bloom.SEGMENT, dtype=np.uint32).astype(np.uint8)
+    few[[3, 900]] = 0b1010
+    assert len(bloom._packed(few)) == 16 and len(bloom._packed(many)) == bloom.SEGMENT
+    assert (bloom._unpacked(bloom._packed(few)) == few).all() and (bloom._unpacked(bloom._packed(many)) == many).all()
+
+
 def triples(text):
     w = re.findall(r"[^\W_]+", text.lower())
     return frozenset(zip(w, w[1:], w[2:]))
