@@ -118,8 +118,19 @@ class Line:
     kind: str
 
 
-def read_lines(text: str | None, title: str | None, running: frozenset[str], tables: bool = False) -> list[Line]:
-    """The lines of a text with their kinds.
+@lru_cache(maxsize=1 << 15)
+def _titled(key: str, named: str) -> bool:
+    """Whether a line is the title but for a few characters; most lines differ in their signs already."""
+    if key == named:
+        return True
+    if abs(len(key) - len(named)) > 4 or len(set(key) ^ set(named)) > 0.4 * len(named):
+        return False
+    both = SequenceMatcher(None, named, key, False)
+    return both.quick_ratio() >= 0.9 and both.ratio() >= 0.9
+
+
+def read_lines(text: str | None, title: str | None, running: frozenset[str], tables: bool = False, given: dict[int, str] | None = None) -> list[Line]:
+    """The lines of a text with their kinds; those of the lines in ``given`` are known.
 
     With ``tables`` lines may be rows of tables, so that a bare number is a page number only where it
     goes on with the numbers before it.
@@ -133,7 +144,12 @@ def read_lines(text: str | None, title: str | None, running: frozenset[str], tab
     repeated = Counter(folded(bare(x)[0]) for x in raw if x.strip())
     lengths = sorted(len(x) for x in raw if x.strip())
     usual = 0.6 * lengths[len(lengths) * 3 // 4] if lengths else 0  # of full lines
+    given = given or {}
     for i, x in enumerate(raw):
+        if i in given:
+            kinds[i] = given[i]
+            forms.append(page_form(x) if given[i] == PAGE else None)
+            continue
         forms.append(page_form(x) if x.strip() else None)
         if not x.strip():
             kinds[i] = BLANK
@@ -142,7 +158,7 @@ def read_lines(text: str | None, title: str | None, running: frozenset[str], tab
             continue
         body, numbered = bare(x)
         key = folded(body)
-        if (named and len(key) > 3 and (key == named or abs(len(key) - len(named)) <= 4 and SequenceMatcher(None, key, named, False).ratio() >= 0.9)) or (
+        if (named and len(key) > 3 and _titled(key, named)) or (
             (key in running or starts_loose(body) and nearly_running(key, running)) and not _FINAL.search(body) and (numbered or _wordy(body))
         ):
             kinds[i] = HEADER
@@ -152,7 +168,7 @@ def read_lines(text: str | None, title: str | None, running: frozenset[str], tab
             kinds[i] = HEADER
     _mark_pages(raw, kinds, forms, tables)
     for i, x in enumerate(raw):
-        if kinds[i] == TEXT and _is_heading(raw, kinds, i):
+        if kinds[i] == TEXT and i not in given and _is_heading(raw, kinds, i):
             kinds[i] = HEADING
     return [Line(x, k) for x, k in zip(raw, kinds)]
 
@@ -162,9 +178,9 @@ def _mark_pages(raw: list[str], kinds: list[str], forms: list, tables: bool) ->
         for i, f in enumerate(forms):
             if f and ("–" in f[0] or "—" in f[0]):
                 forms[i] = None
-    told = Counter(f[0] for f, k in zip(forms, kinds) if f and k == TEXT and f[0] not in ("N", "r"))
+    told = Counter(f[0] for f, k in zip(forms, kinds) if f and k in (TEXT, PAGE) and f[0] not in ("N", "r"))
     main = told.most_common(1)[0][0] if told else None
-    bare_lines = [(i, f[1]) for i, (f, k) in enumerate(zip(forms, kinds)) if f and k == TEXT and f[0] == "N"]
+    bare_lines = [(i, f[1]) for i, (f, k) in enumerate(zip(forms, kinds)) if f and k in (TEXT, PAGE) and f[0] == "N"]
     chain: set[int] = set()
     if main is None and bare_lines:
         chain = _consecutive(bare_lines, tables)

@@ -1,25 +1,34 @@
 """Noise in the text of scanned pages (problem 4).
 
-Words are counted over the whole corpus. A rare word is linked to a frequent one by plausible glyph
-edits (rn for m, l for i, 5 for s ...) and taken as misread where the frequent word fits: skip-gram
-vectors, here the projected counts of the words around, must not set the two apart. Line-end marks are
+Words are counted over the whole corpus and skip-gram vectors are learned from it. A rare word is linked
+to frequent ones by plausible glyph edits (rn for m, l for i, 5 for s ...). Every occurrence of a linked
+word is judged by itself: the vectors say how well each printed form stands among the words around it,
+the best one is taken, and a word that looks real stays where none of them fits. Line-end marks are
 joined or kept by what the corpus writes. Running lines and page numbers go, the rest is reflowed.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.bloom import filter_bits, hashes_of, holds, merged_filter
+from lamina.llm.frames import frame_of
 from lamina.llm.layout import BLANK, HEADER, HEADING, PAGE, TABLE, TEXT, Line, mark_tables, matches, read_lines, running_lines
+from lamina.llm.skipgram import AT_ONCE, CHANCE, Pairs, by_word, model_words, train
+from lamina.operators.skew import join_groups
 from lamina.session import cut_lineage, ship_package, spread
 
+log = logging.getLogger(__name__)
+
 #: What a scanner makes of what was printed: (misread, printed).
 GLYPHS = [
     ("c", "e"), ("e", "c"), ("ä", "a"), ("l", "t"), ("ri", "n"), ("l", "i"), ("i", "l"), ("5", "s"), ("0", "o"), ("1", "l"), ("1", "i"),
@@ -28,16 +37,13 @@ GLYPHS = [
     ("u", "n"), ("n", "u"), ("h", "b"), ("b", "h"), ("o", "c"), ("o", "e"), ("ö", "o"), ("ü", "u"), ("h", "li"), ("n", "ri"), ("w", "vv"), ("nn", "m"), ("tn", "m"), ("in", "m"), ("t", "l"),
     ("п", "н"), ("н", "п"), ("н", "и"), ("и", "н"), ("4", "а"), ("0", "о"), ("3", "з"), ("ги", "ш"), ("6", "б"), ("6", "é"), ("6", "ó"), ("е", "с"), ("с", "е"), ("ц", "п"), ("м", "и"), ("о", "с"), ("л", "п"), ("ш", "щ"), ("щ", "ш"), ("ьi", "ы"), ("т", "г"), ("г", "т"),
 ]
-#: A misread letter pair is believed where the printed word is so many times as frequent; a digit,
-#: ligature or bar within a word needs no more than that the printed word exists.
-RATIO = 8
-#: A plain word that its documents hold so often on average is no slip of the scanner but a word of theirs.
-OWN = 2
-#: Least likeness of the surroundings of two real-looking words; below it both are words of their own.
-LIKENESS = 0.1
-DIMENSIONS = 64
-#: Occurrences from which a word has surroundings to speak of.
-SEEN = 5
+#: A link needs a printed word so many times as frequent as the misread one; a digit, ligature or bar
+#: within a word needs no more than that the printed word is as frequent.
+RATIO = 1.5
+#: Least evidence for a misreading of a word that looks real: the logarithm of the ratio plus the fit, half
+#: that of this occurrence and half that of all of the link. A fit of 0 is chance: frequencies alone must
+#: then be eight to one.
+EVIDENCE = math.log(8)
 
 WORD = re.compile(r"[^\W_]+(?:[|][^\W_]+)*(?:[-'’‐][^\W_]+(?:[|][^\W_]+)*)*")
 PARTS = re.compile(r"[-‐]")
@@ -127,83 +133,60 @@ def _spelt(word: str) -> list[str]:
 
 
 KINDS = (BLANK, HEADER, PAGE, HEADING, TEXT, TABLE)
+_DIGIT = {k: str(i) for i, k in enumerate(KINDS)}
 
 
 def read_fields(clean: str | None, raw: str | None, title: str | None, running: frozenset[str]) -> tuple[list[Line], list[Line], set[int]]:
     """Lines of both texts, and which raw lines are lines of the clean text; those are of the same kind."""
-    lines, full = read_lines(clean, title, running), read_lines(raw, title, running, tables=True)
-    known = {k: i for i, k in matches([x.text for x in lines], [x.text for x in full]).items()}
-    for k, i in known.items():
-        full[k].kind = lines[i].kind
+    lines = read_lines(clean, title, running)
+    known = {k: lines[i].kind for i, k in matches([x.text for x in lines], (raw or "").split("\n")).items()} if raw else {}
+    full = read_lines(raw, title, running, tables=True, given=known)
     mark_tables(full, known)
     return lines, full, set(known)
 
 
-def read_documents(guidelines: DataFrame, running: frozenset[str]) -> DataFrame:
-    """The documents with the kinds of their lines (a digit each), and by ``known`` the raw lines that the clean text has."""
-    chosen = spread(guidelines.select("guideline_id", "title", "clean_text", "raw_text").filter("guideline_id IS NOT NULL"))
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digits = lambda lines: "".join(str(KINDS.index(x.kind)) for x in lines)
-        for batch in batches:
-            rows = []
-            for key, title, clean, raw in zip(batch["guideline_id"], batch["title"], batch["clean_text"], batch["raw_text"]):
-                lines, full, known = read_fields(clean, raw, title, running)
-                rows.append((key, clean, raw, digits(lines), digits(full), "".join("01"[k in known] for k in range(len(full)))))
-            yield pd.DataFrame(rows, columns=["guideline_id", "clean_text", "raw_text", "clean_kinds", "raw_kinds", "known"])
-
-    return chosen.mapInPandas(read, "guideline_id long, clean_text string, raw_text string, clean_kinds string, raw_kinds string, known string")
-
+PAGES = "tag string, guideline_id long, clean_text string, raw_text string, clean_kinds string, raw_kinds string, known string, item_field string, line_no int, a string, b string, c string, d string, e string, n long, docs long"
+_COLUMNS = [x.split(" ")[0] for x in PAGES.split(", ")]
 
-def _lines(text: str | None, kinds: str) -> list[Line]:
-    return [Line(x, KINDS[int(k)]) for x, k in zip((text or "").split("\n"), kinds)]
 
+def read_pages(guidelines: DataFrame, running: frozenset[str]) -> DataFrame:
+    """All that one layout of the documents gives, in tagged rows.
 
-def _each(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple[str, list[Line], set[int]]]]]:
-    """Of each document its key and its fields: name, lines, and the lines another field has counted."""
-    for batch in batches:
-        for key, clean, raw, a, b, known in zip(*[batch[c] for c in ("guideline_id", "clean_text", "raw_text", "clean_kinds", "raw_kinds", "known")]):
-            yield key, [("raw_text", _lines(raw, b), {k for k, x in enumerate(known) if x == "1"}), ("clean_text", _lines(clean, a), set())]
-
-
-SURVEY = "tag string, guideline_id long, item_field string, line_no int, a string, b string, c string, d string, e string, n long, docs long"
-
-
-def survey(documents: DataFrame) -> DataFrame:
-    """All that one reading of the documents gives, in tagged rows.
-
-    ``word``: a word of the running text (a) with its number (n) and that of its documents (docs),
-    compounds also by part; what both texts of a document have is counted once. ``line``: a
-    running line or page number and its kind (a). ``end``: a line that ends in a dividing
+    ``doc``: a document with the kinds of its lines (a digit each), and by ``known`` the raw lines that
+    the clean text has. ``word``: a word of the running text (a) with its number (n) and that of its
+    documents (docs), compounds also by part; what both texts of a document have is counted once.
+    ``line``: a running line or page number and its kind (a). ``end``: a line that ends in a dividing
     mark: the word joined (a), hyphened (b), its parts at the seam joined (c), left (d), right (e), and
     whether the mark is no hyphen (n).
     """
+    chosen = spread(guidelines.select("guideline_id", "title", "clean_text", "raw_text").filter("guideline_id IS NOT NULL"))
+    digits = lambda lines: "".join([_DIGIT[x.kind] for x in lines])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
 
-        columns = ["tag", "guideline_id", "item_field", "line_no", "a", "b", "c", "d", "e", "n", "docs"]
         found: Counter[str] = Counter()
         held: Counter[str] = Counter()
-        words = lambda: pd.DataFrame([("word", None, None, None, w, None, None, None, None, n, held[w]) for w, n in found.items()], columns=columns).astype({"guideline_id": "Int64", "line_no": "Int32"})
-        for key, fields in _each(batches):
-            said: Counter[str] = Counter()
-            rows: list[tuple] = []
-            for field, lines, known in fields:
-                said.update(s for i, w in running_words(lines) if i not in known for s in _spelt(w))
-                rows += [("line", key, field, i, x.kind, None, None, None, None, 0, 0) for i, x in enumerate(lines) if x.kind in (HEADER, PAGE)]
-                texts = text_lines(lines)
-                for k, i in enumerate(texts):
-                    end = line_end(lines, texts, k)
-                    if end:
-                        mark, left, right = end
-                        l, r = PARTS.split(left)[-1].casefold(), PARTS.split(right)[0].casefold()
-                        forms = [(left + right).casefold(), f"{left}-{right}".casefold(), l + r, l, r]
-                        rows.append(("end", key, field, i, *forms, int(mark in "¬\u00ad"), 0))
-            found.update(said)
-            held.update(said.keys())
-            if rows:
-                yield pd.DataFrame(rows, columns=columns).astype({"guideline_id": "Int64", "line_no": "Int32"})
+        words = lambda: frame_of([{"tag": "word", "a": w, "n": n, "docs": held[w]} for w, n in found.items()], _COLUMNS)
+        for batch in batches:
+            rows: list[dict] = []
+            for key, title, clean, raw in zip(batch["guideline_id"], batch["title"], batch["clean_text"], batch["raw_text"]):
+                lines, full, known = read_fields(clean, raw, title, running)
+                rows.append({"tag": "doc", "guideline_id": key, "clean_text": clean, "raw_text": raw, "clean_kinds": digits(lines), "raw_kinds": digits(full), "known": "".join("01"[k in known] for k in range(len(full)))})
+                said: Counter[str] = Counter()
+                for field, now, counted in (("raw_text", full, known), ("clean_text", lines, ())):
+                    said.update(s for i, w in running_words(now) if i not in counted for s in _spelt(w))
+                    rows += [{"tag": "line", "guideline_id": key, "item_field": field, "line_no": i, "a": x.kind} for i, x in enumerate(now) if x.kind in (HEADER, PAGE)]
+                    texts = text_lines(now)
+                    for k, i in enumerate(texts):
+                        end = line_end(now, texts, k)
+                        if end:
+                            mark, left, right = end
+                            l, r = PARTS.split(left)[-1].casefold(), PARTS.split(right)[0].casefold()
+                            rows.append({"tag": "end", "guideline_id": key, "item_field": field, "line_no": i, "a": (left + right).casefold(), "b": f"{left}-{right}".casefold(), "c": l + r, "d": l, "e": r, "n": int(mark in "¬\u00ad")})
+                found.update(said)
+                held.update(said.keys())
+            yield frame_of(rows, _COLUMNS)
             if len(found) > 200_000:
                 yield words()
                 found.clear()
@@ -211,68 +194,126 @@ def survey(documents: DataFrame) -> DataFrame:
         if found:
             yield words()
 
-    return documents.mapInPandas(read, SURVEY)
-
+    return chosen.mapInPandas(read, PAGES)
 
-def _held(bitmap, words: set[str]) -> set[str]:
-    """The words a filter holds or seems to."""
-    listed = list(words)
-    return {w for w, h in zip(listed, holds(bitmap, hashes_of(listed))) if h} if listed else set()
 
+def _lines(text: str | None, kinds: str) -> list[Line]:
+    return [Line(x, KINDS[int(k)]) for x, k in zip((text or "").split("\n"), kinds)]
 
-def word_vectors(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``word, vector`` for the words in ``wanted`` (word): skip-gram counts projected by fixed random signs.
 
-    Every word around (two before, two after) adds its own random vector, less the more frequent it is.
-    """
-    keys = documents.sparkSession.sparkContext.broadcast(merged_filter(wanted.select(F.xxhash64("word")), filter_bits(wanted.count()), repeated=False))
+def _each(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple[str, list[Line], set[int]]]]]:
+    """Of each document its key and its fields: name, lines, and the lines another field has counted."""
+    for batch in batches:
+        for key, clean, raw, a, b, known in zip(*[batch[c] for c in ("guideline_id", "clean_text", "raw_text", "clean_kinds", "raw_kinds", "known")]):
+            yield key, [("raw_text", _lines(raw, b), {k for k, x in enumerate(known) if x == "1"}), ("clean_text", _lines(clean, a), set())]
 
-    def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, fields in _each(batches):
-            for _, lines, counted in fields:
-                said = [(i, w.casefold()) for i, w in running_words(lines)]
-                known = _held(keys.value, {w for i, w in said if i not in counted})
-                rows = [(w, said[j][1]) for k, (i, w) in enumerate(said) if i not in counted and w in known for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < len(said)]
-                yield pd.DataFrame(rows, columns=["word", "context"])
 
-    grams = documents.mapInPandas(around, "word string, context string")
-    counts = grams.groupBy("word", "context").agg(F.count(F.lit(1)).alias("n"))
-    bits = F.xxhash64("context")
-    signs = [F.sum(F.log1p("n") * (F.lit(1) - 2 * F.shiftright(bits, d).bitwiseAND(F.lit(1)))).alias(f"v{d}") for d in range(DIMENSIONS)]
-    return counts.groupBy("word").agg(*signs).select("word", F.array(*[f"v{d}" for d in range(DIMENSIONS)]).alias("vector")).join(wanted, "word", "left_semi")
+def _held(bitmap, words: set[str]) -> set[str]:
+    """The words a filter holds or seems to."""
+    listed = list(words)
+    return {w for w, h in zip(listed, holds(bitmap, hashes_of(listed))) if h} if listed else set()
 
 
-def misread_words(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``word, printed``: misread words of the vocabulary and what was printed."""
+def linked_words(vocabulary: DataFrame) -> DataFrame:
+    """``word, printed, n_word, n_printed, is_odd``: rare words of the vocabulary and the more frequent ones they may be misread from."""
 
     def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for word, n, docs in zip(batch["word"], batch["n"], batch["docs"]):
+            for word, n in zip(batch["word"], batch["n"]):
                 if len(word) < 3 or not any(c.isalpha() for c in word) or _SPACELESS.search(word):
                     continue
-                if n >= OWN * docs and n > OWN and not odd(word):
-                    continue
                 rows += [(word, form, n, odd(word)) for form in printed_forms(word) if not odd(form) or not odd(word)]
             yield pd.DataFrame(rows, columns=["word", "printed", "n_word", "is_odd"])
 
     made = spread(vocabulary).mapInPandas(forms, "word string, printed string, n_word long, is_odd boolean")
     linked = made.join(vocabulary.select(F.col("word").alias("printed"), F.col("n").alias("n_printed")), "printed")
-    enough = F.when(F.col("is_odd"), F.col("n_printed") >= F.col("n_word")).otherwise(
-        (F.col("n_printed") >= RATIO * F.col("n_word")) | ((F.length("word") >= 8) & (F.col("n_printed") >= 3 * F.col("n_word")))
-    )
-    best = linked.filter(enough).groupBy("word").agg(F.max_by(F.struct("printed", "is_odd", "n_word"), F.struct("n_printed", "printed")).alias("b")).select("word", "b.*")
-    best = cut_lineage(best)
-    # a rarely seen word has no surroundings to speak of; the others must share those of the printed word
-    unsure = best.filter(~F.col("is_odd") & (F.col("n_word") >= SEEN))
-    wanted = unsure.select("word").unionByName(unsure.select(F.col("printed").alias("word"))).distinct()
-    wanted = cut_lineage(wanted)
-    vectors = cut_lineage(word_vectors(documents, wanted))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = unsure.join(vectors.withColumnRenamed("vector", "v"), "word").join(vectors.select(F.col("word").alias("printed"), F.col("vector").alias("u")), "printed")
-    like = pairs.withColumn("likeness", dot(F.col("u"), F.col("v")) / F.sqrt(dot(F.col("u"), F.col("u")) * dot(F.col("v"), F.col("v"))))
-    apart = like.filter(F.col("likeness") < LIKENESS).select("word")
-    return best.join(apart, "word", "left_anti").select("word", "printed")
+    enough = F.col("n_printed") >= F.when(F.col("is_odd"), 1).otherwise(RATIO) * F.col("n_word")
+    return linked.filter(enough).select("word", "printed", "n_word", "n_printed", "is_odd")
+
+
+SURROUNDINGS = "w int, c int, n long, guideline_id long, item_field string, line_no int, word string, context array<int>"
+
+
+def surroundings(documents: DataFrame, links: DataFrame, model: dict[str, int]) -> DataFrame:
+    """One reading of the running words: counted pairs of words of the model, and occurrences of linked words.
+
+    A pair has ``w, c, n``; what both texts of a document have is counted once. An occurrence has its
+    place, the ``word`` (``w`` is null) and the words of the model around it.
+    """
+    words = links.select("word").distinct()
+    sc = documents.sparkSession.sparkContext
+    keys = sc.broadcast(merged_filter(words.select(F.xxhash64("word")), filter_bits(words.count()), repeated=False))
+    known = sc.broadcast(model)
+    columns = [x.split(" ")[0] for x in SURROUNDINGS.split(", ")]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = known.value
+        pairs = Pairs(max(1, len(ids)))
+        suspected: dict[str, bool] = {}
+
+        def counted() -> pd.DataFrame:
+            w, c, n = pairs.flush()
+            nothing = dict.fromkeys(columns[3:], pd.Series([None] * len(w), dtype=object))
+            return pd.DataFrame({"w": w, "c": c, "n": n} | nothing)
+
+        for key, fields in _each(batches):
+            rows = []
+            for field, lines, seen in fields:
+                said = running_words(lines)
+                spelt = [_spelt(w) for _, w in said]
+                at = np.fromiter((ids.get(s[0], -1) for s in spelt), np.int64, len(spelt))
+                pairs.add(at[[i not in seen for i, _ in said]] if seen else at)
+                new = {s for parts in spelt for s in parts if s not in suspected}
+                held = _held(keys.value, new)
+                suspected.update((s, s in held) for s in new)
+                for k, ((i, _), parts) in enumerate(zip(said, spelt)):
+                    for s in parts:
+                        if suspected[s]:
+                            near = [int(at[j]) for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < len(at) and at[j] >= 0]
+                            rows.append((key, field, i, s, near))
+            if rows:
+                yield frame_of([dict(zip(columns[3:], r)) for r in rows], columns)
+            if pairs.held > AT_ONCE:
+                yield counted()
+            if len(suspected) > AT_ONCE:
+                suspected.clear()
+        yield counted()
+
+    return documents.mapInPandas(read, SURROUNDINGS)
+
+
+def judged(seen: DataFrame, links: DataFrame, model: dict[str, int], vectors: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``guideline_id, item_field, line_no, word, printed`` of the occurrences that are misread.
+
+    The printed form is the one with the best sum of the logarithm of its frequency and its fit among
+    the words around. A word with a sign no printed word has is misread; one that looks real is where
+    the evidence, of this occurrence and of all of its link, allows it. Where no word of the model is
+    around, or the printed form is out of the model, frequencies alone tell.
+    """
+    forms = links.groupBy("word").agg(F.collect_list(F.struct("printed", "n_printed")).alias("forms"), F.first("is_odd").alias("is_odd"), F.first("n_word").alias("n_word"))
+    shared = seen.sparkSession.sparkContext.broadcast((model, *vectors))
+    place = ["guideline_id", "item_field", "line_no", "word"]
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, words, contexts = shared.value
+        for batch in batches:
+            rows = []
+            for *at, near, options, is_odd, n_word in batch[[*place, "context", "forms", "is_odd", "n_word"]].itertuples(index=False, name=None):
+                around = contexts[np.asarray(near, np.int64)].mean(axis=0) if len(near) else None
+                fits = [float(words[ids[o["printed"]]] @ around) + CHANCE if around is not None and o["printed"] in ids else None for o in options]
+                best = max(range(len(options)), key=lambda k: (math.log(options[k]["n_printed"]) + (fits[k] or 0.0), options[k]["printed"]))
+                rows.append((*at, options[best]["printed"], fits[best], is_odd, math.log(options[best]["n_printed"] / n_word)))
+            yield pd.DataFrame(rows, columns=[*place, "printed", "fit", "is_odd", "prior"]).astype({"fit": "float64"})
+
+    fitted = seen.join(forms, "word").mapInPandas(judge, "guideline_id long, item_field string, line_no int, word string, printed string, fit double, is_odd boolean, prior double")
+    fitted = cut_lineage(fitted.withColumn("fit", F.nanvl("fit", F.lit(None).cast("double"))))
+    whole = fitted.groupBy("word", "printed").agg(F.count(F.lit(1)).alias("n"), F.avg("fit").alias("mean_fit"))
+    told = join_groups(fitted, whole, ["word", "printed"], "n", fitted.count())
+    misread = F.col("is_odd") | (F.col("prior") + (F.coalesce("fit", F.lit(0.0)) + F.coalesce("mean_fit", F.lit(0.0))) / 2 >= EVIDENCE - 1e-9)
+    kinds = told.agg(F.count(F.lit(1)), F.count("fit"), F.count(F.when(~F.col("is_odd") & F.col("fit").isNotNull(), 1)), F.count(F.when(~misread, 1))).first()
+    log.info("linked words: %d occurrences, %d with a fit, %d of them of words that look real; %d kept as they are", *kinds)
+    return told.filter(misread).select(*place, "printed")
 
 
 class Scans:
@@ -280,20 +321,24 @@ class Scans:
 
     def __init__(self, guidelines: DataFrame) -> None:
         ship_package(guidelines.sparkSession)
-        self.documents = cut_lineage(read_documents(guidelines, running_lines(guidelines)))
-        self.survey = cut_lineage(survey(self.documents))
-        words = self.survey.filter("tag = 'word'").groupBy(F.col("a").alias("word"))
+        self.pages = cut_lineage(read_pages(guidelines, running_lines(guidelines)))
+        self.documents = self.pages.filter("tag = 'doc'").select("guideline_id", "clean_text", "raw_text", "clean_kinds", "raw_kinds", "known")
+        words = self.pages.filter("tag = 'word'").groupBy(F.col("a").alias("word"))
         self.vocabulary = cut_lineage(words.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-        self.misread = cut_lineage(misread_words(self.documents, self.vocabulary))
+        self.links = cut_lineage(linked_words(self.vocabulary))
+        model, often = model_words(self.vocabulary)
+        read = cut_lineage(surroundings(self.documents, self.links, model))
+        vectors = train(cut_lineage(by_word(read.filter("w IS NOT NULL").select("w", "c", "n"))), often)
+        self.misread = cut_lineage(judged(read.filter("w IS NULL"), self.links, model, vectors))
 
     def furniture(self) -> DataFrame:
         """``guideline_id, item_field, line_no, kind`` of running lines and page numbers."""
-        return self.survey.filter("tag = 'line'").select("guideline_id", "item_field", "line_no", F.col("a").alias("kind"))
+        return self.pages.filter("tag = 'line'").select("guideline_id", "item_field", "line_no", F.col("a").alias("kind"))
 
     def breaks(self) -> DataFrame:
         """``guideline_id, item_field, line_no, joined, is_break`` of lines that end in a dividing mark."""
         named = dict(zip("abcde", ["joined", "hyphened", "seam", "left", "right"]))
-        held = self.survey.filter("tag = 'end'").select("guideline_id", "item_field", "line_no", (F.col("n") > 0).alias("sure"), *[F.col(c).alias(f) for c, f in named.items()])
+        held = self.pages.filter("tag = 'end'").select("guideline_id", "item_field", "line_no", (F.col("n") > 0).alias("sure"), *[F.col(c).alias(f) for c, f in named.items()])
         forms = list(named.values())
         long = held.select("guideline_id", "item_field", "line_no", F.explode(F.create_map(*[x for f in forms for x in (F.lit(f), F.col(f))])).alias("form", "word"))
         told = long.join(self.vocabulary, "word").groupBy("guideline_id", "item_field", "line_no").agg(*[F.max(F.when(F.col("form") == f, F.col("n"))).alias(f"n_{f}") for f in forms])
@@ -305,17 +350,7 @@ class Scans:
 
     def misread_lines(self) -> DataFrame:
         """``guideline_id, item_field, line_no, word, printed`` of the misread words of the running text."""
-        keys = self.documents.sparkSession.sparkContext.broadcast(merged_filter(self.misread.select(F.xxhash64("word")), filter_bits(self.misread.count()), repeated=False))
-
-        def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for key, fields in _each(batches):
-                for field, lines, _ in fields:
-                    said = {(i, s) for i, w in set(running_words(lines)) for s in _spelt(w)}
-                    known = _held(keys.value, {s for _, s in said})
-                    yield pd.DataFrame([(key, field, i, s) for i, s in said if s in known], columns=["guideline_id", "item_field", "line_no", "word"])
-
-        seen = self.documents.mapInPandas(words, "guideline_id long, item_field string, line_no int, word string")
-        return cut_lineage(seen.join(self.misread, "word").select("guideline_id", "item_field", "line_no", "word", "printed"))
+        return self.misread.select("guideline_id", "item_field", "line_no", "word", "printed").distinct()
 
 
 def noisy_lines(guidelines: DataFrame) -> DataFrame:

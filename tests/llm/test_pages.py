@@ -80,6 +80,48 @@ def test_repair_of_both_fields(spark):
     assert got[1, "raw_text"] == got[1, "clean_text"] != ""
 
 
+def test_vectors_tell_a_word_from_a_misreading(spark):
+    """Words near in spelling: one misread of a frequent word, one a word of its own with other neighbours."""
+    r = random.Random(6)
+    at_home, abroad = "nurse records dose daily before meals while resting".split(), "boats crossed rivers under grey skies towards towns".split()
+    rows = []
+    for i in range(120):
+        lines = []
+        for k in range(12):
+            w = "form" if r.random() < 0.95 or i % 3 else "forrn"
+            lines.append(" ".join([*r.sample(at_home, 3), "clinic", *r.sample(at_home, 3)]).replace("daily", w) + ".")
+            lines.append(" ".join([*r.sample(abroad, 3), "clinie" if k % 2 else "ferry", *r.sample(abroad, 3)]) + ".")
+        text = "\n".join(x.capitalize() for x in lines)
+        rows.append((i, None, text, None))
+    got = noise.Scans(spark.createDataFrame(rows, "guideline_id long, title string, clean_text string, raw_text string"))
+    found = {(r["word"], r["printed"]) for r in got.misread.select("word", "printed").distinct().collect()}
+    assert ("clinie", "clinic") in {(r["word"], r["printed"]) for r in got.links.collect()} and found == {("forrn", "form")}
+
+
+def test_repair_against_the_clean_text(spark):
+    """Texts made noisy on purpose come back: repaired words, joined line ends, no furniture."""
+    r = random.Random(9)
+    clean = {i: [" ".join(r.choice(VOCAB) for _ in range(10)).capitalize() + "." for _ in range(12)] for i in range(80)}
+    rows = []
+    for i, said in clean.items():
+        lines: list[str] = []
+        for k, x in enumerate(said):
+            if r.random() < 0.05:
+                x = x.replace("m", "rn", 1)
+            if r.random() < 0.3 and "guideline" in x:
+                a, b = x.split("guideline", 1)
+                lines += [a + "guide-", "line" + b]
+            else:
+                lines.append(x)
+            if k % 4 == 3:
+                lines += ["Regional assembly", f"- {k // 4 + 1} -"]
+        rows.append((i, "Title", "\n".join(lines), None))
+    got = {r["guideline_id"]: r["repaired"] for r in noise.repaired_texts(spark.createDataFrame(rows, "guideline_id long, title string, clean_text string, raw_text string")).filter("item_field = 'clean_text'").collect()}
+    words = lambda x: " ".join(x.split())
+    right = sum(words(got[i]) == " ".join(said) for i, said in clean.items())
+    assert right >= 0.9 * len(clean), right
+
+
 def test_reflow_keeps_tables_whole():
     lines = [layout.Line(*x) for x in (("One goes", "text"), ("Dose Site", "table"), ("5 mL", "table"), ("on.", "text"), ("Week", "table"), ("Two.", "text"))]
     assert noise.reflow(lines, {}) == "One goes on.\n\nDose Site\n5 mL\n\nWeek\n\nTwo."
