@@ -8,21 +8,26 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.session import cut_lineage
+
 BLANK, HEADER, PAGE, HEADING, TEXT, TABLE = "blank", "header", "page", "heading", "text", "table"
 
 #: A line is a running line of the corpus if so many documents hold it, whatever their number in all,
 RUNNING_DOCUMENTS = 3
 #: and if the text does not simply go on with it in this part of its occurrences.
 RUNNING_LOOSE = 0.3
+#: Running lines that are sent to all workers at most, some megabytes; more are joined by document.
+RUNNING_SENT = 20_000
 
 _FOLD = [("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("ii", "u"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ги", "ш"), ("fi", "n"), ("fl", "n")]
 _FOLD_CHARS = str.maketrans("0156843czqlitäöüãàáâéèêнпиаÄ", "oisbbaaeeqiiiaouaaaaeeeпппaa")
@@ -274,12 +279,11 @@ def matches(clean: list[str], raw: list[str]) -> dict[int, int]:
     return out
 
 
-def running_lines(guidelines: DataFrame) -> frozenset[str]:
-    """Folded forms of the lines that run through many documents.
+def running_table(guidelines: DataFrame) -> DataFrame:
+    """``line``: folded forms of the lines that run through many documents.
 
     A form needs a fixed number of documents, so that a header is found whatever else the corpus holds.
-    The forms are collected and sent to the workers; their number grows with that of the headers. Lines the raw
-    text has beyond the clean one may be rows of tables and count beside a page number only.
+    Lines the raw text has beyond the clean one may be rows of tables and count beside a page number only.
     """
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -314,5 +318,44 @@ def running_lines(guidelines: DataFrame) -> frozenset[str]:
     raw = "raw_text" if "raw_text" in guidelines.columns else "CAST(NULL AS string) AS raw_text"
     found = guidelines.selectExpr("clean_text", raw).mapInPandas(candidates, "line string, n long, loose long, paged long").groupBy("line")
     sums = found.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.sum("loose").alias("loose"), F.sum("paged").alias("paged"))
-    kept = sums.filter((F.col("docs") >= RUNNING_DOCUMENTS) & (F.col("loose") >= RUNNING_LOOSE * F.col("n")) & (F.col("n") >= 1.3 * F.col("docs")))
-    return frozenset(r["line"] for r in kept.select("line").collect())
+    return sums.filter((F.col("docs") >= RUNNING_DOCUMENTS) & (F.col("loose") >= RUNNING_LOOSE * F.col("n")) & (F.col("n") >= 1.3 * F.col("docs"))).select("line")
+
+
+def with_running(guidelines: DataFrame) -> tuple[DataFrame, frozenset[str] | None]:
+    """The documents and the running lines of the corpus, for :func:`running_of`.
+
+    Up to ``RUNNING_SENT`` lines are sent to all workers. More are joined: each document then has, in the
+    column ``running``, those that a line of its own equals or nearly equals, which decides the same.
+    """
+    table = cut_lineage(running_table(guidelines))
+    if table.count() <= RUNNING_SENT:
+        return guidelines, frozenset(r["line"] for r in table.collect())
+    return guidelines.join(_running_by_document(guidelines, table), "guideline_id", "left"), None
+
+
+def running_of(batch: pd.DataFrame, sent: frozenset[str] | None) -> Iterable[frozenset[str]]:
+    """The running lines that concern each document of a batch."""
+    return repeat(sent, len(batch)) if sent is not None else (frozenset(x) if x is not None else frozenset() for x in batch["running"])
+
+
+def _running_by_document(guidelines: DataFrame, table: DataFrame) -> DataFrame:
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, clean, raw in zip(batch["guideline_id"], batch["clean_text"], batch["raw_text"]):
+                said = {bare(x) for text in (clean, raw) for x in (text or "").split("\n") if x.strip()}
+                rows += [(doc, key) for key in {folded(body) for body, numbered in said if not _FINAL.search(body) and (numbered or _wordy(body))}]
+            yield pd.DataFrame(rows, columns=["guideline_id", "key"])
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = [k == x or nearly_running(k, frozenset((x,))) for k, x in zip(batch["key"], batch["line"])]
+            yield batch.loc[keep, ["guideline_id", "line"]]
+
+    edges = lambda c, n: F.array(F.concat_ws("|", F.lit("a"), n, F.substring(c, 1, 4)), F.concat_ws("|", F.lit("b"), n, F.expr(f"right({c}, 4)")))
+    raw = "raw_text" if "raw_text" in guidelines.columns else "CAST(NULL AS string) AS raw_text"
+    held = guidelines.filter("guideline_id IS NOT NULL").selectExpr("guideline_id", "clean_text", raw).mapInPandas(keys, "guideline_id long, key string")
+    wide = held.withColumn("by", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("edge", F.explode(edges("key", F.length("key") + F.col("by"))))
+    listed = table.withColumn("edge", F.explode(edges("line", F.length("line"))))
+    pairs = wide.join(listed, "edge").select("guideline_id", "key", "line").distinct()
+    return pairs.mapInPandas(near, "guideline_id long, line string").groupBy("guideline_id").agg(F.collect_set("line").alias("running"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.bloom import filter_bits, hashes_of, holds, merged_filter
 from lamina.llm.frames import frame_of
-from lamina.llm.layout import BLANK, HEADER, HEADING, PAGE, TABLE, TEXT, Line, mark_tables, matches, read_lines, running_lines
+from lamina.llm.layout import BLANK, HEADER, HEADING, PAGE, TABLE, TEXT, Line, mark_tables, matches, read_lines, running_of, with_running
 from lamina.llm.skipgram import AT_ONCE, CHANCE, Pairs, by_word, model_words, train
 from lamina.operators.skew import join_groups
 from lamina.session import cut_lineage, ship_package, spread
@@ -149,7 +149,7 @@ PAGES = "tag string, guideline_id long, clean_text string, raw_text string, clea
 _COLUMNS = [x.split(" ")[0] for x in PAGES.split(", ")]
 
 
-def read_pages(guidelines: DataFrame, running: frozenset[str]) -> DataFrame:
+def read_pages(guidelines: DataFrame) -> DataFrame:
     """All that one layout of the documents gives, in tagged rows.
 
     ``doc``: a document with the kinds of its lines (a digit each), and by ``known`` the raw lines that
@@ -159,7 +159,7 @@ def read_pages(guidelines: DataFrame, running: frozenset[str]) -> DataFrame:
     mark: the word joined (a), hyphened (b), its parts at the seam joined (c), left (d), right (e), and
     whether the mark is no hyphen (n).
     """
-    chosen = spread(guidelines.select("guideline_id", "title", "clean_text", "raw_text").filter("guideline_id IS NOT NULL"))
+    chosen, sent = with_running(guidelines.select("guideline_id", "title", "clean_text", "raw_text").filter("guideline_id IS NOT NULL"))
     digits = lambda lines: "".join([_DIGIT[x.kind] for x in lines])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,7 +170,7 @@ def read_pages(guidelines: DataFrame, running: frozenset[str]) -> DataFrame:
         words = lambda: frame_of([{"tag": "word", "a": w, "n": n, "docs": held[w]} for w, n in found.items()], _COLUMNS)
         for batch in batches:
             rows: list[dict] = []
-            for key, title, clean, raw in zip(batch["guideline_id"], batch["title"], batch["clean_text"], batch["raw_text"]):
+            for key, title, clean, raw, running in zip(batch["guideline_id"], batch["title"], batch["clean_text"], batch["raw_text"], running_of(batch, sent)):
                 lines, full, known = read_fields(clean, raw, title, running)
                 rows.append({"tag": "doc", "guideline_id": key, "clean_text": clean, "raw_text": raw, "clean_kinds": digits(lines), "raw_kinds": digits(full), "known": "".join("01"[k in known] for k in range(len(full)))})
                 said: Counter[str] = Counter()
@@ -194,7 +194,7 @@ def read_pages(guidelines: DataFrame, running: frozenset[str]) -> DataFrame:
         if found:
             yield words()
 
-    return chosen.mapInPandas(read, PAGES)
+    return spread(chosen).mapInPandas(read, PAGES)
 
 
 def _lines(text: str | None, kinds: str) -> list[Line]:
@@ -321,7 +321,7 @@ class Scans:
 
     def __init__(self, guidelines: DataFrame) -> None:
         ship_package(guidelines.sparkSession)
-        self.pages = cut_lineage(read_pages(guidelines, running_lines(guidelines)))
+        self.pages = cut_lineage(read_pages(guidelines))
         self.documents = self.pages.filter("tag = 'doc'").select("guideline_id", "clean_text", "raw_text", "clean_kinds", "raw_kinds", "known")
         words = self.pages.filter("tag = 'word'").groupBy(F.col("a").alias("word"))
         self.vocabulary = cut_lineage(words.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))

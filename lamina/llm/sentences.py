@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.bloom import hashes_of
-from lamina.llm.layout import BLANK, HEADING, TEXT, read_lines, running_lines
+from lamina.llm.layout import BLANK, HEADING, TEXT, read_lines, running_of, with_running
 from lamina.session import ship_package, spread
 
 #: Separates paragraphs in the text that the rules see.
@@ -288,14 +288,15 @@ def article_sentences(articles: DataFrame) -> DataFrame:
 def guideline_sentences(guidelines: DataFrame) -> DataFrame:
     """The same for ``clean_text`` of each guideline; its key is ``guideline_id`` as a string; rows without one are left out."""
     ship_package(guidelines.sparkSession)
-    running = running_lines(guidelines)
+    raw = ["raw_text"] if "raw_text" in guidelines.columns else []
+    chosen, sent = with_running(guidelines.select("guideline_id", "title", "clean_text", *raw).filter("guideline_id IS NOT NULL"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [("guidelines.clean_text", str(key), e) for key, title, text in zip(batch["guideline_id"], batch["title"], batch["clean_text"]) if text for e in page_text_ends(text, title, running)]
+            rows = [("guidelines.clean_text", str(key), e) for key, title, text, running in zip(batch["guideline_id"], batch["title"], batch["clean_text"], running_of(batch, sent)) if text for e in page_text_ends(text, title, running)]
             yield pd.DataFrame(rows, columns=["item_field", "item_key", "end_pos"])
 
-    return spread(guidelines.select("guideline_id", "title", "clean_text").filter("guideline_id IS NOT NULL")).mapInPandas(split, "item_field string, item_key string, end_pos int")
+    return spread(chosen.drop("raw_text")).mapInPandas(split, "item_field string, item_key string, end_pos int")
 
 
 def corpus_sentences(articles: DataFrame, guidelines: DataFrame) -> DataFrame:

@@ -62,8 +62,20 @@ def test_noisy_lines_of_raw_text_alone(spark):
 def test_running_line_of_few_documents_among_many(spark):
     held = "Text goes on and\nRural assembly\n- 1 -\nfurther to it.\nMore of it and\nRural assembly\n- 2 -\nso on."
     made = spark.createDataFrame([(held if i < 3 else "One.",) for i in range(3500)], "clean_text string")
-    assert layout.running_lines(made) == {layout.folded("Rural assembly")}
-    assert layout.nearly_running(layout.folded("Rurxx assembly"), layout.running_lines(made)) and not layout.nearly_running("other assembly", layout.running_lines(made))
+    known = frozenset(r["line"] for r in layout.running_table(made).collect())
+    assert known == {layout.folded("Rural assembly")}
+    assert layout.nearly_running(layout.folded("Rurxx assembly"), known) and not layout.nearly_running("other assembly", known)
+
+
+def test_running_lines_joined_by_document_decide_the_same(spark, monkeypatch):
+    made = guidelines(spark)
+    extra = spark.createDataFrame([(300, "T", "One.\nRegionel assembly\n- 2 -\nTwo goes\nRegional assernbly\non.", None)], "guideline_id long, title string, clean_text string, raw_text string")
+    made = made.select("guideline_id", "title", "clean_text", "raw_text").unionByName(extra)
+    sent = sorted(map(tuple, noise.noisy_lines(made).collect()))
+    ends = sorted(map(tuple, S.guideline_sentences(made).collect()))
+    monkeypatch.setattr(layout, "RUNNING_SENT", 0)
+    assert sorted(map(tuple, noise.noisy_lines(made).collect())) == sent and (300, "clean_text", 4, "header") in sent
+    assert sorted(map(tuple, S.guideline_sentences(made).collect())) == ends
 
 
 def test_repair(spark):
