@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +35,41 @@ def lossless_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({LOSSLESS_TOKEN})"), F.lit(1))
 
 
+@dataclass(frozen=True)
+class Tokens:
+    """A tokenizer as columns: the number of tokens of a text, and its tokens, which joined give it back."""
+
+    count: Callable[[Column], Column]
+    split: Callable[[Column], Column]
+
+
+#: The stand-in, the same in Spark and SQL.
+STAND_IN = Tokens(token_count, lossless_tokens)
+
+
+def tokens_by(make: Callable[[], Callable[[str], list[str]]]) -> Tokens:
+    """A tokenizer that ``make`` builds once in each worker: a function from a text to its tokens, spaces included.
+
+    Null texts have no tokens.
+    """
+    held: list[Callable[[str], list[str]]] = []
+
+    def cut(text: str | None) -> list[str]:
+        if not held:
+            held.append(make())
+        return held[0](text) if text is not None else []
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(cut(t)) for t in texts], dtype="int32")
+
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return pd.Series([cut(t) for t in texts], dtype=object)
+
+    return Tokens(count, split)
+
+
 def _filled(parts: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
@@ -70,9 +108,13 @@ def brand_key(brand: Column) -> Column:
     return F.lower(strip(brand))
 
 
-def without_furniture(text: Column) -> Column:
-    """``text`` without lines of the organisation and without every "N of M", also in prose; stripped."""
-    return strip(F.regexp_replace(text, "(?d)" + K.HEADER_FOOTER, ""))
+#: Lines begin where the expression for a whole line does, so that it is tried once a line.
+FURNITURE = "(?dm)" + K.HEADER_FOOTER.replace("(.*", "(^.*", 1)
+
+
+def without_furniture(text: Column, furniture: str = FURNITURE) -> Column:
+    """``text`` without what ``furniture`` matches: lines of the organisation and every "N of M", also in prose; stripped."""
+    return strip(F.regexp_replace(text, furniture, ""))
 
 
 def has_caption(text: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators.skew import join_groups
+
 
 def first_by_key(df: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
     """The first row of each key in ``order`` (ascending, nulls first); rows with a null key are one key.
@@ -19,11 +21,17 @@ def first_by_key(df: DataFrame, keys: list[str | Column], order: list[str | Colu
     return df.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(named)]).agg(first.alias("_first")).select("_first.*")
 
 
-def capped(df: DataFrame, keys: list[str | Column], order: list[str | Column], most: int | Column) -> DataFrame:
-    """The first ``most`` rows of each key."""
+def capped(df: DataFrame, keys: list[str | Column], order: list[str | Column], most: int, place: str | None = None) -> DataFrame:
+    """The first ``most`` rows of each key, a task's own first before the shuffle; with ``place`` their number from 1."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    limit = F.lit(most) if isinstance(most, int) else most
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn")
+    kept = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most)
+    return kept.withColumnRenamed("_rn", place) if place else kept.drop("_rn")
+
+
+def with_first(df: DataFrame, key: str, record: str, out: str = "first_id") -> DataFrame:
+    """``df`` with the least ``record`` of its ``key``, what stands for all of them; a null key has none."""
+    first = df.groupBy(key).agg(F.min(record).alias(out), F.count(F.lit(1)).alias("_n"))
+    return join_groups(df, first, [key], "_n", df.count()).drop("_n")
 
 
 def merge_by_key(df: DataFrame, key: str, order: list[str], topic: str, keep: list[str]) -> DataFrame:
@@ -50,8 +58,10 @@ def new_keys(candidates: DataFrame, existing: DataFrame, topic: str, key: str, r
     """
     have = existing.groupBy(topic).agg(F.countDistinct(key).alias("_have"))
     fresh = candidates.join(existing.select(topic, key).distinct(), [topic, key], "left_anti")
-    wanted = fresh.join(have, topic, "left").withColumn("_need", F.lit(target) - F.coalesce("_have", F.lit(0))).filter("_need > 0")
-    return capped(wanted, [topic], [rank, key], F.col("_need")).drop("_have", "_need")
+    # no topic needs more than the target, which Spark can cut to before it shuffles
+    ranked = capped(fresh, [topic], [rank, key], target, place="_place")
+    wanted = ranked.join(have, topic, "left")
+    return wanted.filter(F.col("_place") <= F.lit(target) - F.coalesce("_have", F.lit(0))).drop("_have", "_place")
 
 
 def with_search_term(topics: DataFrame, overrides: DataFrame, topic: str = "topic") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,18 +19,34 @@ def large_enough(images: DataFrame, side: int = K.IMAGE_MIN_SIDE) -> DataFrame:
     return images.filter((F.col("width") >= side) & (F.col("height") >= side))
 
 
+def _gray_map(data: bytes):
+    """Values of a binary gray map of one byte a value, or None."""
+    import numpy as np
+
+    m = re.match(rb"P5\s+(\d+)\s+(\d+)\s+(\d+)\s", data)
+    if not m or int(m[3]) > 255:
+        return None
+    return np.frombuffer(data, np.uint8, int(m[1]) * int(m[2]), m.end()).astype(float)
+
+
 @F.pandas_udf(T.DoubleType())
 def gray_deviation(data: pd.Series) -> pd.Series:
-    """Population deviation of the gray values of an encoded image; null where it cannot be decoded here."""
+    """Population deviation of the gray values of an encoded image; null where it cannot be decoded here.
+
+    Binary gray maps (PGM) need no library, other formats an optional one.
+    """
     try:
         from PIL import Image
     except ImportError:
-        return pd.Series([None] * len(data), dtype="float64")
+        Image = None
     import numpy as np
 
     def one(b: bytes | None) -> float | None:
         try:
-            return float(np.asarray(Image.open(io.BytesIO(b)).convert("L"), dtype=float).std())
+            gray = _gray_map(bytes(b))
+            if gray is None:
+                gray = np.asarray(Image.open(io.BytesIO(b)).convert("L"), dtype=float) if Image else None
+            return None if gray is None else float(gray.std())
         except Exception:
             return None
 
@@ -66,3 +83,13 @@ def once_across_topics(images: DataFrame, digest: Column, order: list[str]) -> D
 
     keyed = images.withColumn("key", image_key(F.col("filename"), digest, F.col("topic")))
     return merge_by_key(keyed, "key", order, "topic", ["filename", "page_number", "image_type"])
+
+
+def with_file(images: DataFrame, files: DataFrame, name: str = "filename") -> tuple[DataFrame, DataFrame]:
+    """Images whose file is there, with its ``data``, and those whose file is missing.
+
+    ``files`` has ``filename, data``, each name once or more; of several files of a name the first by content counts.
+    """
+    once = files.groupBy(F.col("filename").alias("_name")).agg(F.min("data").alias("data"))
+    bare = images.drop("data")
+    return bare.join(once, F.col(name) == F.col("_name")).drop("_name"), bare.join(once, F.col(name) == F.col("_name"), "left_anti")

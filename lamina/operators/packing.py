@@ -6,8 +6,10 @@ texts never leave the JVM for it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,3 +99,29 @@ def packed_with_marks(sizes: Column, marks: Column, budget: int) -> Column:
 def joined(items: Column, piece: Column, between: str) -> Column:
     """Text of the items of a range."""
     return F.array_join(F.slice(items, piece["start"] + 1, piece["len"]), between)
+
+
+def pack_rows(rows: DataFrame, within: list[str], order: list[str], size: str, budget: int, most: int | None = None, mark: str | None = None, out: str = "pack_id") -> DataFrame:
+    """``rows`` with the number of their pack in each group, greedily in ``order``: what ``pack`` does to an array.
+
+    For groups of any length: a group is read by one task, since each pack depends on the one before,
+    but as a stream that holds two sums. ``mark`` (boolean) forces a new pack; nulls do not.
+    """
+    ranked = rows.repartition(*within).sortWithinPartitions(*within, *order)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields) + f", `{out}` int"
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, number, total, count = None, 0, 0, 0
+        for batch in batches:
+            ids = []
+            forced = batch[mark].eq(True) if mark else [False] * len(batch)
+            for *key, n, new in zip(*[batch[c] for c in within], batch[size], forced):
+                if key != group:
+                    group, number, total, count = key, 0, 0, 0
+                if count and (new or total + n > budget or (most is not None and count >= most)):
+                    number, total, count = number + 1, 0, 0
+                total, count = total + n, count + 1
+                ids.append(number)
+            yield batch.assign(**{out: pd.Series(ids, index=batch.index, dtype="int32")})
+
+    return ranked.mapInPandas(number, schema)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.functions.text import has_caption, strip, without_furniture
+from lamina.functions.text import FURNITURE, has_caption, strip, without_furniture
 
 
-def clean_pages(pages: DataFrame) -> DataFrame:
-    """``clean`` and ``raw`` of each page without furniture and stripped; null becomes empty."""
-    return pages.withColumns({c: without_furniture(F.coalesce(F.col(c), F.lit(""))) for c in ("clean", "raw")})
+def clean_pages(pages: DataFrame, furniture: str = FURNITURE) -> DataFrame:
+    """``clean`` and ``raw`` of each page without what ``furniture`` matches, and stripped; null becomes empty."""
+    return pages.withColumns({c: without_furniture(F.coalesce(F.col(c), F.lit("")), furniture) for c in ("clean", "raw")})
 
 
 def assemble(pages: DataFrame, doc: str = "doc", page: str = "page_number", text: str = "clean") -> DataFrame:

@@ -71,8 +71,13 @@ def parse_labels(raw: DataFrame, payload: str = "payload", topic: str = "topic",
     return ok, failed
 
 
-def bitstream_url(item: Column) -> Column:
-    """Content address of the first file of the bundle named ORIGINAL in a repository item (JSON); null if there is none."""
-    bundles = F.from_json(item, "struct<bundles:array<struct<name:string,bitstreams:array<struct<_links:struct<content:struct<href:string>>>>>>>")["bundles"]
-    original = F.get(F.filter(bundles, lambda b: b["name"] == "ORIGINAL"), F.lit(0))
-    return F.get(original["bitstreams"], F.lit(0))["_links"]["content"]["href"]
+def bundle_files_url(bundles: Column) -> Column:
+    """From the answer about the bundles of an item (JSON): the address of the files of the bundle named ORIGINAL; null if there is none."""
+    listed = F.from_json(bundles, "struct<_embedded:struct<bundles:array<struct<name:string,_links:struct<bitstreams:struct<href:string>>>>>>")["_embedded"]["bundles"]
+    return F.get(F.filter(listed, lambda b: b["name"] == "ORIGINAL"), F.lit(0))["_links"]["bitstreams"]["href"]
+
+
+def first_file_url(files: Column) -> Column:
+    """From the answer about the files of a bundle (JSON): the content address of the first; null if there is none."""
+    listed = F.from_json(files, "struct<_embedded:struct<bitstreams:array<struct<_links:struct<content:struct<href:string>>>>>>")["_embedded"]["bitstreams"]
+    return F.get(listed, F.lit(0))["_links"]["content"]["href"]

@@ -11,42 +11,70 @@ from pyspark.sql import functions as F
 
 from lamina.functions.vectors import cosine
 
-#: Query vectors of a block; a block is what one pass over a batch of rows multiplies with.
-BLOCK = 1024
+#: Query vectors multiplied at once, and bytes of queries that one pass over the rows carries.
+BLOCK, CARRIED = 1024, 1 << 25
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, digits: int = 6) -> DataFrame:
     """``query, neighbour, similarity, rank``: the ``k`` rows most alike each query, itself left out.
 
-    Queries go in blocks against every row; each task keeps the best ``k`` of its rows for a query, so
-    only those are shuffled. Similarities are rounded, ties go to the smaller key. Vectors without
-    length and null vectors are like nothing.
+    Queries are broadcast as one matrix of at most ``CARRIED`` bytes and multiplied block by block with
+    every batch of rows; more queries take more passes. Each task keeps the best ``k`` of its rows for a
+    query, so only those are shuffled. Similarities are rounded, ties go to the smaller key. Vectors
+    without length and null vectors are like nothing.
     """
-    blocks = queries.select(F.pmod(F.xxhash64(key), F.greatest(F.ceil(F.lit(queries.count()) / BLOCK), F.lit(1))).alias("block"), F.struct(F.col(key).alias("key"), F.col(vector).alias("vector")).alias("q"))
-    blocks = blocks.filter(F.col("q.vector").isNotNull()).groupBy("block").agg(F.collect_list("q").alias("qs"))
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector")).filter(F.col("vector").isNotNull())
+    asked = queries.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector")).filter(F.col("vector").isNotNull())
+    size = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    passes = max(1, -(-size[0] * (size[1] or 1) * 8 // CARRIED))
+    few = None
+    for p in range(passes):
+        part = asked.filter(F.pmod(F.xxhash64("key"), F.lit(passes)) == p).toPandas()  # about CARRIED bytes
+        own = part["key"].to_numpy(np.int64)
+        matrix = np.array(part["vector"].tolist(), float) if len(part) else np.zeros((0, 1))
+        found = rows.mapInPandas(_best(spark.sparkContext.broadcast((own, matrix)), k, digits), "query long, neighbour long, similarity double")
+        few = found if few is None else few.unionByName(found)
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
+    return few.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _best(shared, k: int, digits: int):
+    """The best ``k`` rows of a task for each query."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, matrix = shared.value
+        length = np.linalg.norm(matrix, axis=1)
+        best: list[pd.DataFrame | None] = [None] * -(-len(own) // BLOCK)
         for batch in batches:
-            for block, part in batch.groupby("block", sort=False):
-                qs = part["qs"].iat[0]
-                q = np.array([list(x["vector"]) for x in qs], float)
-                v = np.array([list(x) for x in part["vector"]], float)
-                length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+            keys = batch["key"].to_numpy()
+            v = np.array(batch["vector"].tolist(), float)
+            for b in range(len(best)):
+                at = slice(b * BLOCK, (b + 1) * BLOCK)
+                both = length[at, None] * np.linalg.norm(v, axis=1)[None, :]
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    like = np.round(np.where(length > 0, q @ v.T / length, -np.inf), digits)
-                keys, own = part["key"].to_numpy(), np.array([x["key"] for x in qs])
-                like[own[:, None] == keys[None, :]] = -np.inf
+                    like = np.round(np.where(both > 0, matrix[at] @ v.T / both, -np.inf), digits)
+                like[own[at, None] == keys[None, :]] = -np.inf
                 n = min(k, like.shape[1])
                 order = np.lexsort((np.broadcast_to(keys, like.shape), -like), axis=1)[:, :n]
-                got = np.take_along_axis(like, order, 1)
-                frame = pd.DataFrame({"query": np.repeat(own, n), "neighbour": keys[order].ravel(), "similarity": got.ravel()})
-                yield frame[np.isfinite(frame["similarity"])]
+                frame = pd.DataFrame({"query": np.repeat(own[at], n), "neighbour": keys[order].ravel(), "similarity": np.take_along_axis(like, order, 1).ravel()})
+                frame = frame[np.isfinite(frame["similarity"])]
+                frame = frame if best[b] is None else pd.concat([best[b], frame])
+                best[b] = frame.sort_values(["query", "similarity", "neighbour"], ascending=[True, False, True]).groupby("query", sort=False).head(k)
+        for frame in best:
+            if frame is not None:
+                yield frame
 
-    met = rows.crossJoin(blocks)  # Spark broadcasts the blocks only while they are small
-    few = met.mapInPandas(best, "query long, neighbour long, similarity double")
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
-    return few.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return run
+
+
+def of_pairs(vectors: DataFrame, pairs: DataFrame, key: str, vector: str, digits: int = 6) -> DataFrame:
+    """``pairs`` (a, b, other columns) with the similarity of the vectors of each chosen pair.
+
+    A pair with a key that has no vector gives no row.
+    """
+    side = lambda x: vectors.select(F.col(key).alias(x), F.col(vector).alias(f"_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", F.round(cosine(F.col("_a"), F.col("_b")), digits)).drop("_a", "_b")
 
 
 def likeness_to_previous(df: DataFrame, vector: str, order: list[str], within: list[str], digits: int = 6) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina import constants as K
-from lamina.functions.text import brand_key, canonical_id, point_id, sentences, table_text, token_count
-from lamina.operators.chunking import by_sentences, windows_with_prefix
+from lamina.functions.text import STAND_IN, Tokens, brand_key, canonical_id, point_id, table_text
+from lamina.functions.text import sentences
+from lamina.operators.chunking import Splitter, by_sentences, sized, windows_with_prefix
 from lamina.operators.dedup import merge_by_key
 from lamina.operators.packing import packed
 from lamina.schemas import METADATA_DDL
@@ -34,21 +35,21 @@ def with_topic_order(df: DataFrame, topics: DataFrame) -> DataFrame:
     return df.join(topics.select("topic", "topic_ord"), "topic", "left").withColumn("topic_ord", F.coalesce("topic_ord", F.lit(1 << 30)))
 
 
-def article_chunks(articles: DataFrame, topics: DataFrame, budget: int = K.ARTICLE_TOKENS) -> DataFrame:
+def article_chunks(articles: DataFrame, topics: DataFrame, budget: int = K.ARTICLE_TOKENS, tokens: Tokens = STAND_IN, splitter: Splitter = sentences) -> DataFrame:
     """Chunks of abstracts, one article a pmid; the title stands before each and is not counted.
 
     An empty or null abstract gives no chunk.
     """
     rows = with_topic_order(articles.select("pmid", "title", "abstract", "topic", "fetched_at"), topics)
     merged = merge_by_key(rows, "pmid", ["topic_ord", "fetched_at", "title"], "topic", ["title", "abstract"])
-    cut = by_sentences(merged, "abstract", budget)
+    cut = by_sentences(merged, "abstract", budget, splitter, tokens=tokens)
     return build_chunks(
         cut, F.concat("pmid", F.lit("_pubmed_"), "chunk_index"), F.concat("title", F.lit(": "), "chunk"), F.col("chunk"),
         "pubmed", F.col("pmid"), F.lit("text"), metadata(title=F.col("title")),
     )
 
 
-def label_chunks(drugs: DataFrame, topics: DataFrame, budget: int = K.LABEL_TOKENS) -> DataFrame:
+def label_chunks(drugs: DataFrame, topics: DataFrame, budget: int = K.LABEL_TOKENS, tokens: Tokens = STAND_IN, splitter: Splitter = sentences) -> DataFrame:
     """Chunks of the seven sections of a label in their order, one label a brand (in any case).
 
     A section within the budget stays as it is; empty ones are passed over; one index runs through all.
@@ -57,9 +58,9 @@ def label_chunks(drugs: DataFrame, topics: DataFrame, budget: int = K.LABEL_TOKE
     merged = merge_by_key(rows, "brand_key", ["topic_ord", "drug_id"], "topic", ["brand_name", *K.DRUG_SECTIONS])
     sections = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(f).alias("field"), F.lit(label).alias("label"), F.col(f).alias("body")) for i, (f, label) in enumerate(K.DRUG_SECTIONS.items())])
     long = merged.select("brand_key", "brand_name", "topics", F.explode(sections).alias("s")).select("brand_key", "brand_name", "topics", "s.*").filter(F.coalesce("body", F.lit("")) != "")
-    sized = long.withColumn("n", token_count(F.col("body")))
-    small = sized.filter(F.col("n") <= budget).withColumns({"piece_no": F.lit(0), "chunk": F.col("body")})
-    large = by_sentences(sized.filter(F.col("n") > budget), "body", budget).withColumnRenamed("chunk_index", "piece_no")
+    counted = long.withColumn("n", tokens.count(F.col("body")))
+    small = counted.filter(F.col("n") <= budget).withColumns({"piece_no": F.lit(0), "chunk": F.col("body")})
+    large = by_sentences(counted.filter(F.col("n") > budget), "body", budget, splitter, tokens=tokens).withColumnRenamed("chunk_index", "piece_no")
     columns = ["brand_key", "brand_name", "topics", "ord", "field", "label", "piece_no", "chunk"]
     pieces = small.select(columns).unionByName(large.select(columns))
     pieces = pieces.withColumn("chunk_index", F.row_number().over(Window.partitionBy("brand_key").orderBy("ord", "piece_no")) - 1)
@@ -69,33 +70,33 @@ def label_chunks(drugs: DataFrame, topics: DataFrame, budget: int = K.LABEL_TOKE
     )
 
 
-def table_pieces(tables: DataFrame, limit: int = K.TABLE_TOKENS, window: int = K.WINDOW_TOKENS, floor: int = K.WINDOW_FLOOR) -> DataFrame:
+def table_pieces(tables: DataFrame, limit: int = K.TABLE_TOKENS, window: int = K.WINDOW_TOKENS, floor: int = K.WINDOW_FLOOR, tokens: Tokens = STAND_IN) -> DataFrame:
     """Texts of tables (doc_key, title, table_ord, page_number, table_data) as they go into chunks.
 
     A table within the limit is one piece; a larger one is cut into groups of rows, and a group that
     passes the window with its prefix into windows of tokens. Empty tables are a piece as well.
     """
     body = table_text(F.col("table_data"))
-    sized = tables.withColumn("body", F.coalesce(body, F.lit(""))).withColumn("n", token_count(F.col("body")))
+    counted = tables.withColumn("body", F.coalesce(body, F.lit(""))).withColumn("n", tokens.count(F.col("body")))
     heading = F.concat("title", F.lit(" (table, page "), "page_number")
     nothing = F.lit(None).cast("int")
-    atomic = sized.filter(F.col("n") <= limit).withColumns(
+    atomic = counted.filter(F.col("n") <= limit).withColumns(
         {"group_no": F.lit(0), "sub_index": F.lit(0), "text": F.concat(heading, F.lit("): "), "body"), "raw": F.col("body"), "part": nothing, "parts": nothing, "sub": nothing, "subs": nothing}
     )
     rows = F.transform("table_data", lambda r: F.array_join(r, " | ", ""))
-    large = sized.filter(F.col("n") > limit).withColumn("_rows", rows).withColumn("_r", packed(F.transform("_rows", token_count), limit))
+    large = counted.filter(F.col("n") > limit).withColumn("_rows", rows).withColumn("_r", packed(sized(F.col("_rows"), tokens), limit))
     grouped = large.withColumn("parts", F.size("_r")).select("*", F.posexplode("_r").alias("group_no", "_g"))
     grouped = grouped.withColumns(
         {"part": F.col("group_no") + 1, "content": F.array_join(F.slice("_rows", F.col("_g.start") + 1, F.col("_g.len")), "\n"), "prefix": F.concat(heading, F.lit(", part "), F.col("group_no") + 1, F.lit("/"), "parts", F.lit("): "))}
     )
-    cut = windows_with_prefix(grouped, "content", "prefix", window, floor)
+    cut = windows_with_prefix(grouped, "content", "prefix", window, floor, tokens)
     several = F.col("n_subs") > 1
     cut = cut.withColumns({"text": F.col("piece"), "raw": F.col("piece"), "sub": F.when(several, F.col("sub_index") + 1), "subs": F.when(several, F.col("n_subs"))})
     columns = ["doc_key", "title", "topics", "table_ord", "page_number", "group_no", "sub_index", "text", "raw", "part", "parts", "sub", "subs"]
     return atomic.select(columns).unionByName(cut.select(columns))
 
 
-def guideline_chunks(guidelines: DataFrame, tables: DataFrame, topics: DataFrame, budget: int = K.GUIDELINE_TOKENS, limit: int = K.TABLE_TOKENS, window: int = K.WINDOW_TOKENS, floor: int = K.WINDOW_FLOOR) -> DataFrame:
+def guideline_chunks(guidelines: DataFrame, tables: DataFrame, topics: DataFrame, budget: int = K.GUIDELINE_TOKENS, limit: int = K.TABLE_TOKENS, window: int = K.WINDOW_TOKENS, floor: int = K.WINDOW_FLOOR, tokens: Tokens = STAND_IN, splitter: Splitter = sentences) -> DataFrame:
     """Chunks of guideline documents, one document a ``source_url``: its text first, then its tables.
 
     The tables are those of the document's first row. The id is made of the sorted topics, ``topics``
@@ -104,12 +105,12 @@ def guideline_chunks(guidelines: DataFrame, tables: DataFrame, topics: DataFrame
     """
     rows = with_topic_order(guidelines.select("guideline_id", "title", "topic", "clean_text", "source_url"), topics)
     merged = merge_by_key(rows, "source_url", ["topic_ord", "guideline_id"], "topic", ["title", "clean_text", "guideline_id"]).withColumnRenamed("guideline_id", "doc_key")
-    text = by_sentences(merged.select("doc_key", "title", "topics", "clean_text"), "clean_text", budget).select(
+    text = by_sentences(merged.select("doc_key", "title", "topics", "clean_text"), "clean_text", budget, splitter, tokens=tokens).select(
         "doc_key", "title", "topics", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("a"), F.col("chunk_index").alias("b"), F.lit(0).alias("c"),
         F.concat("title", F.lit(": "), "chunk").alias("text"), F.col("chunk").alias("raw"), metadata(title=F.col("title")).alias("metadata"),
     )
     attached = tables.select(F.col("guideline_id").alias("doc_key"), F.col("table_id").alias("table_ord"), "page_number", "table_data").join(merged.select("doc_key", "title", "topics"), "doc_key")
-    pieces = table_pieces(attached, limit, window, floor).select(
+    pieces = table_pieces(attached, limit, window, floor, tokens).select(
         "doc_key", "title", "topics", F.lit(1).alias("kind"), F.col("table_ord").alias("a"), F.col("group_no").alias("b"), F.col("sub_index").alias("c"), "text", "raw",
         metadata(
             title=F.col("title"), page_number=F.col("page_number"), table_part=F.col("part"), table_parts_total=F.col("parts"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from lamina.operators import sources_chunking as C
 from lamina.plans import jobs
 from lamina.plans import sql as S
 from lamina.plans.registry import SQL, query
-from lamina.session import checkpoint_dir, table
+from lamina.session import scratch, table
 from lamina.sources import store
 from lamina.streaming import ingest
 
@@ -65,7 +64,8 @@ def chunk_guideline(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT source, point_id, chunk_id, chunk_index, metadata.title AS title FROM
 (SELECT *, row_number() OVER (PARTITION BY source, point_id ORDER BY written_at, metadata.title NULLS FIRST) AS rn FROM chunks) WHERE rn = 1""")
 def dedup_first(spark: SparkSession, d: str) -> DataFrame:
-    once = embedding.deduplicated(table(spark, d, "chunks").withColumn("title", F.col("metadata.title")), ["written_at", "title"], within=["source"])
+    chunks = table(spark, d, "chunks").select("source", "point_id", "chunk_id", "chunk_index", F.col("metadata.title").alias("title"), "written_at")
+    once = embedding.deduplicated(chunks, ["written_at", "title"], within=["source"])
     return once.select("source", "point_id", "chunk_id", "chunk_index", "title")
 
 
@@ -224,12 +224,20 @@ def image_cover_rule(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT source_url, count(*) AS n, min(guideline_id) AS first_id FROM guidelines GROUP BY source_url")
 def url_memo(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "guidelines").groupBy("source_url").agg(F.count(F.lit(1)).alias("n"), F.min("guideline_id").alias("first_id"))
+    named = dedup.with_first(table(spark, d, "guidelines").select("guideline_id", "source_url"), "source_url", "guideline_id")
+    return named.groupBy("source_url", "first_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 _BATCH, _MOST = 2000, 12
 
 
+def _request_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes are counted where texts are read; the first delivery of a chunk is told by its size alone."""
+    sized = table(spark, d, "chunks").filter("chunk_id IS NOT NULL").select("source", "source_id", "chunk_id", "written_at", F.col("metadata.title").alias("title"), T.token_count(F.col("text")).alias("n"))
+    once = dedup.first_by_key(sized, ["chunk_id"], ["written_at", "title"])
+    return embedding.request_batches(once, "chunk_id", "n", ["source", "source_id"], ["chunk_id"], _BATCH, _MOST, count=lambda n: n)
+
+
 @query(f"""WITH RECURSIVE u AS (SELECT source, source_id, chunk_id, {S.tokens("text")} AS tok FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY written_at, metadata.title NULLS FIRST) AS rn FROM chunks WHERE chunk_id IS NOT NULL) WHERE rn = 1),
 o AS (SELECT *, row_number() OVER (PARTITION BY source, source_id ORDER BY chunk_id) AS pos FROM u),
 p AS (SELECT source, source_id, chunk_id, pos, tok AS run, 1 AS n, 0 AS b FROM o WHERE pos = 1
@@ -238,18 +246,12 @@ p AS (SELECT source, source_id, chunk_id, pos, tok AS run, 1 AS n, 0 AS b FROM o
   FROM p JOIN o ON o.source = p.source AND o.source_id = p.source_id AND o.pos = p.pos + 1)
 SELECT source, source_id, chunk_id, CAST(b AS BIGINT) AS batch_id FROM p""")
 def embed_batches(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "chunks").filter("chunk_id IS NOT NULL").withColumn("title", F.col("metadata.title"))
-    once = dedup.first_by_key(chunks, ["chunk_id"], ["written_at", "title"])
-    out = embedding.request_batches(once, "chunk_id", "text", ["source", "source_id"], ["chunk_id"], _BATCH, _MOST)
-    return out.select("source", "source_id", "chunk_id", F.col("batch_id").cast("long"))
+    return _request_batches(spark, d).select("source", "source_id", "chunk_id", F.col("batch_id").cast("long"))
 
 
 @query(SQL["embed_batches"].replace("SELECT source, source_id, chunk_id, CAST(b AS BIGINT) AS batch_id FROM p", "SELECT p.source, p.source_id, CAST(p.b AS BIGINT) AS batch_id, count(*) AS n_chunks, CAST(sum(o.tok) AS BIGINT) AS n_tokens FROM p JOIN o USING (source, source_id, chunk_id) GROUP BY p.source, p.source_id, p.b"))
 def batch_stats(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "chunks").filter("chunk_id IS NOT NULL").withColumn("title", F.col("metadata.title"))
-    once = dedup.first_by_key(chunks, ["chunk_id"], ["written_at", "title"])
-    out = embedding.request_batches(once, "chunk_id", "text", ["source", "source_id"], ["chunk_id"], _BATCH, _MOST)
-    return metrics.batch_stats(out.withColumn("batch_id", F.col("batch_id").cast("long")), ["source", "source_id"])
+    return metrics.batch_stats(_request_batches(spark, d).withColumn("batch_id", F.col("batch_id").cast("long")), ["source", "source_id"])
 
 
 @query("SELECT t.topic, count(c.topic) AS n_chunks FROM topic_list t LEFT JOIN (SELECT unnest(topics) AS topic FROM chunks) c ON c.topic = t.topic GROUP BY t.topic")
@@ -303,13 +305,12 @@ def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT guideline_id, topic, first_id FROM guidelines JOIN (SELECT source_url, min(guideline_id) AS first_id FROM guidelines GROUP BY source_url) USING (source_url)")
 def retag_documents(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "guidelines").select("guideline_id", "topic", "source_url")
-    first = g.groupBy("source_url").agg(F.min("guideline_id").alias("first_id"))
-    return g.join(first, "source_url").select("guideline_id", "topic", "first_id")
+    return dedup.with_first(g, "source_url", "guideline_id").select("guideline_id", "topic", "first_id")
 
 
 @query("""SELECT replace(topic, ' ', '_') AS topic, source, count(*) AS n FROM (SELECT unnest(topics) AS topic, source FROM chunks) GROUP BY topic, source""")
 def store_chunks(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    path = scratch(spark, "store")
     chunks = table(spark, d, "chunks").select("chunk_id", "point_id", "text", "raw_text", "source", "topics", "source_id", "chunk_index", "chunk_type", "metadata")
     store.save_chunks(chunks, path)
     return store.load_chunks(spark, path).groupBy("topic", "source").agg(F.count(F.lit(1)).alias("n"))
@@ -317,19 +318,20 @@ def store_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT topic, pmid FROM articles")
 def stream_articles(spark: SparkSession, d: str) -> DataFrame:
-    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     schema = table(spark, d, "articles").select("topic", "pmid", "title", "fetched_at").schema
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields).replace("timestamp_ntz", "timestamp")
-    spark.conf.set("spark.sql.streaming.statefulOperator.checkCorrectness.enabled", "false")
     for _ in range(2):  # the second run finds nothing new
-        stream = ingest.unique_articles(spark, f"{d}/articles.parquet", ddl, delay="3650 days")
+        stream = ingest.unique_articles(spark, f"{d}/articles.parquet", ddl)
         ingest.ingest_stream(stream, f"{base}/table", f"{base}/state-{uuid.uuid4().hex}").awaitTermination()
     return spark.read.parquet(f"{base}/table").select("topic", "pmid")
 
 
-@query()
+@query(f"""WITH f AS (SELECT topic, pmid, row_number() OVER (PARTITION BY topic ORDER BY pmid) AS rn FROM (SELECT DISTINCT topic, pmid FROM articles WHERE language <> 'und')),
+n AS (SELECT topic, count(*) FILTER (rn <= {K.ARTICLES_PER_TOPIC}) AS n FROM f GROUP BY topic)
+SELECT topic, n AS fetched, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS skipped, 1 AS run FROM n UNION ALL SELECT topic, 0, 0, n, 2 FROM n""")
 def ingest_incremental(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{checkpoint_dir(spark)}/articles-{uuid.uuid4().hex}"
+    path = scratch(spark, "articles")
     raw = _payloads(spark, d)
     found = table(spark, d, "articles").filter("language <> 'und'").select("topic", "pmid").distinct().withColumn("rank", F.col("pmid"))
     reader = lambda chosen: raw.withColumn("pmid", F.get_json_object("payload", "$.MedlineCitation.PMID")).join(chosen.select("topic", "pmid"), ["topic", "pmid"], "left_semi").dropDuplicates(["topic", "pmid"]).drop("pmid")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lamina import constants as K
 from lamina.functions.text import brand_key
 from lamina.operators import dedup, embedding, images, pages, parsing
-from lamina.operators.sources_chunking import article_chunks, guideline_chunks, label_chunks
+from lamina.operators.sources_chunking import article_chunks, guideline_chunks, label_chunks, with_topic_order
+from lamina.session import cut_lineage
 from lamina.sources import documents, store
 
 
@@ -24,9 +25,8 @@ def ingest_articles(spark: SparkSession, found: DataFrame, fetch, path: str, tar
     """
     have = store.existing_keys(spark, path)
     chosen = dedup.new_keys(found, have, "topic", "pmid", "rank", target)
-    ok, failed = parsing.parse_articles(fetch(chosen))
+    ok, failed = parsing.parse_articles(cut_lineage(fetch(chosen)))  # fetched once, whatever reads it
     before = have.groupBy("topic").agg(F.count(F.lit(1)).alias("skipped"))
-    ok = ok.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else ok.persist()
     counts = ok.groupBy("topic").agg(F.count(F.lit(1)).alias("fetched"))
     lost = failed.groupBy("topic").agg(F.count(F.lit(1)).alias("failed"))
     report = found.select("topic").distinct().join(counts, "topic", "left").join(lost, "topic", "left").join(before, "topic", "left").na.fill(0)
@@ -65,6 +65,32 @@ def guideline_tables(files: DataFrame, topic_docs: DataFrame, extractor: documen
     return guidelines, tables.join(topic_docs.select("doc", "topic"), "doc").select("topic", "page_number", "table_data"), shown
 
 
+def guideline_run(files: DataFrame, lost: DataFrame, topic_docs: DataFrame, extractor: documents.Extractor) -> tuple[tuple[DataFrame, DataFrame, DataFrame], DataFrame]:
+    """The tables of :func:`guideline_tables`, and ``topic, status, error`` of every topic.
+
+    ``lost`` (doc, error) are the documents that could not be fetched; those that cannot be opened fail
+    too. A topic whose document an earlier topic has brought is a success from it.
+    """
+    broken = lost.unionByName(documents.broken_documents(files, extractor))
+    good = files.join(broken.select("doc"), "doc", "left_anti")
+    told = dedup.with_first(topic_docs, "doc", "topic_ord", "first_ord").join(broken.groupBy("doc").agg(F.min("error").alias("error")), "doc", "left")
+    status = F.when(F.col("error").isNotNull(), "failed").when(F.col("topic_ord") > F.col("first_ord"), "success (cached)").otherwise("success")
+    return guideline_tables(good, topic_docs, extractor), told.select("topic", status.alias("status"), "error")
+
+
+def image_corpus(shown: DataFrame, files: DataFrame, embed, topics: DataFrame, path: str, dimensions: int | None = None) -> DataFrame:
+    """Vectors of unique images, written to ``path``; gives the images whose file is missing.
+
+    ``shown`` has topic, page_number, filename, image_type; a missing file is passed over, equal images
+    are embedded once with all their topics, and an image that cannot be embedded is dropped.
+    """
+    there, missing = images.with_file(with_topic_order(shown, topics), files)
+    once = images.once_across_topics(there, F.md5("data"), ["topic_ord", "page_number", "filename"])
+    data = there.groupBy(images.image_key(F.col("filename"), F.md5("data"), F.col("topic")).alias("key")).agg(F.min("data").alias("data"))
+    store.save_image_embeddings(embedding.embed_images(once.join(data, "key"), embed, dimensions=dimensions), path)
+    return missing
+
+
 def chunk_corpus(articles: DataFrame, drugs: DataFrame, guidelines: DataFrame, tables: DataFrame, topics: DataFrame) -> DataFrame:
     """Chunks of all three sources."""
     return article_chunks(articles, topics).unionByName(label_chunks(drugs, topics)).unionByName(guideline_chunks(guidelines, tables, topics).drop("doc_key"))

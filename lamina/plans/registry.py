@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from lamina.plans import text_queries, corpus_queries  # noqa: E402, F401
+from lamina.plans import text_queries, corpus_queries, run_queries  # noqa: E402, F401, I001

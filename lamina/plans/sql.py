@@ -37,6 +37,10 @@ def sentences_plain(x: str) -> str:
     return f"list_filter({parts}, lambda s: {strip('s')} <> '')"
 
 
+def paragraphs(x: str) -> str:
+    return _filled(f"regexp_split_to_array({x}, '\\n[{SPACE}]*\\n')")
+
+
 def parts(source: str, key: str, items: str, name: str = "s") -> str:
     """CTE ``name(key, pos, part, tok)`` of the items of each key."""
     return f"""{name} AS (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamina import constants as K
 from lamina.functions import text as T
+from lamina.functions.text import SPACE
 from lamina.functions.vectors import cosine
 from lamina.operators import chunking, embedding, metrics, similarity
 from lamina.operators.packing import packed
@@ -66,14 +67,30 @@ def chunk_sliding(spark: SparkSession, d: str) -> DataFrame:
     return chunking.by_sentences(_docs(spark, d), "text", CHUNK, T.sentences_plain, overlap=2).select("doc_id", F.col("chunk_index").cast("long"), "chunk")
 
 
-@query()
+@query(f"""WITH RECURSIVE {S.parts("documents", "doc_id", S.paragraphs("text"), "pp")},
+q AS (SELECT key, pos, tok, tok AS run, tok > {CHUNK} AS large, 0 AS g FROM ppt WHERE pos = 0
+  UNION ALL SELECT n.key, n.pos, n.tok, CASE WHEN q.large OR n.tok > {CHUNK} OR q.run + n.tok > {CHUNK} THEN n.tok ELSE q.run + n.tok END, n.tok > {CHUNK},
+    CASE WHEN q.large OR n.tok > {CHUNK} OR q.run + n.tok > {CHUNK} THEN q.g + 1 ELSE q.g END FROM q JOIN ppt n ON n.key = q.key AND n.pos = q.pos + 1),
+c AS (SELECT q.key, q.g, q.key || chr(3) || q.g AS ckey, any_value(q.large) AS large, string_agg(a.part, chr(10) || chr(10) ORDER BY q.pos) AS chunk FROM q JOIN pp a ON a.key = q.key AND a.pos = q.pos GROUP BY q.key, q.g),
+big AS (SELECT ckey, chunk FROM c WHERE large), {S.parts("big", "ckey", S.sentences_plain("chunk"))}, {S.packed("s", CHUNK)},
+f AS (SELECT key, g, 0 AS j, chunk FROM c WHERE NOT large UNION ALL SELECT c.key, c.g, p.g, string_agg(p.part, ' ' ORDER BY p.pos) FROM p JOIN c ON c.ckey = p.key GROUP BY c.key, c.g, p.g)
+SELECT key AS doc_id, row_number() OVER (PARTITION BY key ORDER BY g, j) - 1 AS chunk_index, chunk FROM f""")
 def chunk_recursive(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.by_paragraphs(_docs(spark, d), "doc_id", "text", CHUNK)
-
-
-@query()
+    return chunking.by_paragraphs(_docs(spark, d), "doc_id", "text", CHUNK).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT guideline_id, clean_text, regexp_extract_all(clean_text, '{K.SECTION_HEADER}', 1) AS h, regexp_split_to_array(clean_text, '{K.SECTION_HEADER}') AS b FROM guidelines WHERE clean_text IS NOT NULL),
+n AS (SELECT *, list_transform(h, lambda x: {S.strip("regexp_replace(x, '" + K.TRAILING_NUMBER + "', '')")}) AS plain FROM t),
+f AS (SELECT *, coalesce(list_min(list_filter(generate_series(1, len(h)), lambda i: list_contains(plain[1 : i - 1], plain[i]))), 0) AS first FROM n),
+x AS (SELECT guideline_id, h, b, unnest(generate_series(first, len(h))) AS i FROM f WHERE first > 0),
+sec AS (SELECT guideline_id, i, {S.strip("chr(10) || h[i] || chr(10) || b[i + 1]")} AS chunk FROM x),
+z AS (SELECT *, {S.tokens("chunk")} AS n, guideline_id || chr(3) || i AS ckey FROM sec WHERE chunk <> ''),
+big AS (SELECT ckey, chunk FROM z WHERE n > {K.SECTION_TOKENS} UNION ALL SELECT guideline_id || chr(3) || 0, clean_text FROM f WHERE first = 0), {S.parts("big", "ckey", S.sentences("chunk"))}, {S.packed("s", 300)},
+o AS (SELECT guideline_id, i, 0 AS j, chunk FROM z WHERE n <= {K.SECTION_TOKENS}
+  UNION ALL SELECT CAST(string_split(key, chr(3))[1] AS BIGINT), CAST(string_split(key, chr(3))[2] AS BIGINT), g, string_agg(part, ' ' ORDER BY pos) FROM p GROUP BY key, g)
+SELECT guideline_id, row_number() OVER (PARTITION BY guideline_id ORDER BY i, j) - 1 AS chunk_index, chunk FROM o""")
 def chunk_section(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.by_sections(table(spark, d, "guidelines").select("guideline_id", "clean_text"), "guideline_id", "clean_text")
+    return chunking.by_sections(table(spark, d, "guidelines").select("guideline_id", "clean_text"), "guideline_id", "clean_text").withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 @query(f"""WITH t AS (SELECT guideline_id, title || ': ' AS prefix, clean_text, {S.lossless("clean_text")} AS x FROM guidelines WHERE clean_text IS NOT NULL),
@@ -87,18 +104,19 @@ def token_window_fallback(spark: SparkSession, d: str) -> DataFrame:
     return out.select("guideline_id", F.col("sub_index").cast("long"), F.col("n_subs").cast("long"), "piece")
 
 
-@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, floor(vec_id / 50) AS part FROM embeddings),
+@query("""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, floor(vec_id / 100) AS part FROM embeddings),
 s AS (SELECT *, row_number() OVER w - 1 AS pos, round(list_cosine_similarity(lag(e) OVER w, e), 6) AS sim FROM v WINDOW w AS (PARTITION BY label, part ORDER BY vec_id)),
-m AS (SELECT *, CASE WHEN pos > 0 AND sim < 0.5 THEN 1 ELSE 0 END AS starts FROM s),
-g AS (SELECT *, sum(starts) OVER (PARTITION BY label, part ORDER BY vec_id) AS chunk_index FROM m)
-SELECT label, CAST(part AS BIGINT) AS part, CAST(chunk_index AS BIGINT) AS chunk_index, count(*) AS n_items FROM g GROUP BY label, part, chunk_index""")
+r AS (SELECT label, part, vec_id, pos, vec_id % 5 + 1 AS run, 0 AS g FROM s WHERE pos = 0
+  UNION ALL SELECT s.label, s.part, s.vec_id, s.pos, CASE WHEN s.sim < 0 OR r.run + s.vec_id % 5 + 1 > 12 THEN s.vec_id % 5 + 1 ELSE r.run + s.vec_id % 5 + 1 END,
+    CASE WHEN s.sim < 0 OR r.run + s.vec_id % 5 + 1 > 12 THEN r.g + 1 ELSE r.g END FROM r JOIN s ON s.label = r.label AND s.part = r.part AND s.pos = r.pos + 1)
+SELECT label, CAST(part AS BIGINT) AS part, CAST(g AS BIGINT) AS chunk_index, count(*) AS n_items FROM r GROUP BY label, part, g""")
 def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").withColumn("part", F.floor(F.col("vec_id") / 50))
+    v = table(spark, d, "embeddings").withColumn("part", F.floor(F.col("vec_id") / 100))
     near = similarity.likeness_to_previous(v, "embedding", ["vec_id"], ["label", "part"])
-    # a part holds fifty vectors at most
+    # a document of a hundred vectors at most; chunk_semantic_rows takes whole labels
     item = F.array_sort(F.collect_list(F.struct("vec_id", "similarity")))
-    docs = near.groupBy("label", "part").agg(item.alias("i")).select("label", "part", "i", F.transform("i", lambda x: x["similarity"]).alias("sims"), F.transform("i", lambda x: F.lit(1)).alias("sizes"))
-    return chunking.by_similarity(docs, "i", "sizes", "sims", 0.5, 400).select("label", "part", F.col("chunk_index").cast("long"), F.col("n_items").cast("long"))
+    docs = near.groupBy("label", "part").agg(item.alias("i")).select("label", "part", "i", F.transform("i", lambda x: x["similarity"]).alias("sims"), F.transform("i", lambda x: (x["vec_id"] % 5 + 1).cast("int")).alias("sizes"))
+    return chunking.by_similarity(docs, "i", "sizes", "sims", 0.0, 12).select("label", "part", F.col("chunk_index").cast("long"), F.col("n_items").cast("long"))
 
 
 @query(f"SELECT table_id, {S.table_text('table_data')} AS table_text FROM who_tables")
@@ -175,11 +193,21 @@ def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     return v.join(other, v["vec_id"] == other["a"]).select("a", "b", F.round(cosine(F.col("embedding"), F.col("eb")), 6).alias("similarity"))
 
 
-@query()
+_SIGNS = 64
+
+
+@query(f"""WITH u AS (SELECT point_id, text FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY written_at, chunk_id) AS rn FROM chunks) WHERE rn = 1),
+w AS (SELECT point_id, unnest(list_filter(regexp_split_to_array(text, '[{SPACE}]+'), lambda x: x <> '')) AS word FROM u WHERE text IS NOT NULL),
+h AS (SELECT point_id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) AS h FROM w),
+v AS (SELECT point_id, (h >> 1) % {_SIGNS} AS i, sum(CASE WHEN h & 1 = 1 THEN 1 ELSE -1 END) AS x FROM h GROUP BY ALL),
+a AS (SELECT point_id, text, unnest(generate_series(0, {_SIGNS - 1})) AS i FROM u)
+SELECT a.point_id, CASE WHEN any_value(a.text) IS NOT NULL THEN string_agg(CASE WHEN x > 0 THEN '+' WHEN x < 0 THEN '-' ELSE '0' END, '' ORDER BY a.i) END AS signs FROM a LEFT JOIN v ON v.point_id = a.point_id AND v.i = a.i GROUP BY a.point_id""")
 def embed_text(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors by the signs of their numbers, which no rounding touches."""
     once = table(spark, d, "chunks").select("point_id", "chunk_id", "text", "written_at")
     once = embedding.deduplicated(once, ["written_at", "chunk_id"])
-    return embedding.embed_texts(once.select("point_id", "text"), embedding.HashedProvider(64)).select("point_id", F.array_join(F.transform("embedding", lambda x: F.round(x, 4).cast("string")), " ").alias("vector"))
+    vectors = embedding.embed_texts(once.select("point_id", "text"), embedding.HashedProvider(_SIGNS))
+    return vectors.select("point_id", F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "+").when(x < 0, "-").otherwise("0")), "").alias("signs"))
 
 
 _MARKS = "|".join(a.replace(".", "\\.") for a in K.ABBREVIATIONS)

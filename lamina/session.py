@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ def build_session(app: str = "lamina", cores: int | str = "*", **conf: object) -
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k: str(v) for k, v in conf.items()}
     spark = SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=base).getOrCreate()
     ship_package(spark)
@@ -43,6 +45,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of our own in the checkpoint folder for a table; what is written there goes when the session ends."""
+    parent = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return f"{parent}/{name}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder.
 
@@ -78,7 +90,8 @@ def ship_package(spark: SparkSession) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """Give a Python stage enough tasks where the input has only a few splits.
 
-    Large inputs have more splits than cores and are left as they are, without a shuffle.
+    Large inputs have more splits than cores and are left as they are, without a shuffle. Meant for what
+    is read: counting the splits of a joined table would run what comes before it.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want * 2)

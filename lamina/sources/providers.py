@@ -1,7 +1,9 @@
-"""Network providers as Spark data sources, one input partition a topic.
+"""Network providers as Spark data sources.
 
 The transport is a parameter: a callable of (address, parameters) that gives (status, body). Without
 one, addresses are fetched with the standard library; tests and offline runs pass saved payloads.
+A provider's rate holds for the whole job: topics are read in ``at_once`` partitions (one unless asked
+otherwise), and each waits that many delays before a request.
 """
 
 from __future__ import annotations
@@ -11,9 +13,12 @@ import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lamina import constants as K
+from lamina.operators.parsing import bundle_files_url, first_file_url
+from lamina.session import cut_lineage
 from lamina.settings import request_delay
 
 Transport = Callable[[str, dict], tuple[int, str]]
@@ -61,42 +66,69 @@ def fetch_labels(topic: str, transport: Transport, limit: int = K.RAW_LABELS_PER
     return []
 
 
-class _Topic(InputPartition):
-    def __init__(self, topic: str, rank: int) -> None:
-        self.topic, self.rank = topic, rank
+class _Topics(InputPartition):
+    def __init__(self, topics: list[tuple[int, str]]) -> None:
+        self.topics = topics
 
 
-class _LabelReader(DataSourceReader):
+class _TopicReader(DataSourceReader):
+    """Reads topics one after the other, in at most ``at_once`` partitions."""
+
     def __init__(self, options: dict, transport: Transport) -> None:
         self.options, self.transport = options, transport
+        self.at_once = max(1, int(options.get("at_once", 1)))
+
+    def partitions(self) -> list[_Topics]:
+        topics = list(enumerate(json.loads(self.options["topics"])))
+        return [_Topics(topics[i :: self.at_once]) for i in range(min(self.at_once, len(topics)))] or [_Topics([])]
+
+    def delay(self) -> float:
+        return request_delay(bool(self.options.get("api_key")))
+
+    def asked(self) -> Transport:
+        """The transport, which waits before every request but the first."""
+        waited = [False]
+
+        def ask(address: str, parameters: dict) -> tuple[int, str]:
+            if waited[0]:
+                time.sleep(float(self.options.get("delay", self.delay())) * self.at_once)
+            waited[0] = True
+            return self.transport(address, parameters)
+
+        return ask
+
+    def read(self, partition: _Topics) -> Iterator[tuple]:
+        ask = self.asked()
+        for rank, topic in partition.topics:
+            for seq, payload in enumerate(self.payloads(topic, ask)):
+                yield topic, rank, seq, payload
 
-    def partitions(self) -> list[_Topic]:
-        return [_Topic(t, i) for i, t in enumerate(json.loads(self.options["topics"]))]
 
-    def read(self, partition: _Topic) -> Iterator[tuple]:
+class _LabelReader(_TopicReader):
+    def delay(self) -> float:
+        return 0.25  # 240 requests a minute
+
+    def payloads(self, topic: str, ask: Transport) -> Iterator[str]:
         terms = json.loads(self.options.get("terms", "{}"))
-        found = fetch_labels(partition.topic, self.transport, int(self.options.get("limit", K.RAW_LABELS_PER_TOPIC)), key=self.options.get("api_key"), term=terms.get(partition.topic))
-        for seq, record in enumerate(found):
-            yield partition.topic, partition.rank, seq, json.dumps(record)
+        limit = int(self.options.get("limit", K.RAW_LABELS_PER_TOPIC))
+        return map(json.dumps, fetch_labels(topic, ask, limit, key=self.options.get("api_key"), term=terms.get(topic)))
 
 
-class _ArticleReader(DataSourceReader):
-    def __init__(self, options: dict, transport: Transport) -> None:
-        self.options, self.transport = options, transport
+class _SearchReader(_TopicReader):
+    def payloads(self, topic: str, ask: Transport) -> Iterator[str]:
+        return iter(search_articles(topic, int(self.options.get("limit", K.ARTICLES_PER_TOPIC)), ask, self.options["email"], self.options.get("api_key")))
 
-    def partitions(self) -> list[_Topic]:
-        return [_Topic(t, i) for i, t in enumerate(json.loads(self.options["topics"]))]
 
-    def read(self, partition: _Topic) -> Iterator[tuple]:
+class _ArticleReader(_TopicReader):
+    def payloads(self, topic: str, ask: Transport) -> Iterator[str]:
         email, key = self.options["email"], self.options.get("api_key")
-        ids = search_articles(partition.topic, int(self.options.get("limit", K.ARTICLES_PER_TOPIC)), self.transport, email, key)
-        time.sleep(request_delay(bool(key)))
-        if ids:
-            status, body = self.transport(ARTICLE_FETCH, {"db": "pubmed", "id": ",".join(ids), "retmode": "xml", "email": email} | ({"api_key": key} if key else {}))
-            if status != 200:
-                raise OSError(f"article fetch: status {status}")
-            for seq, payload in enumerate(article_payloads(body)):
-                yield partition.topic, partition.rank, seq, payload
+        wanted = json.loads(self.options.get("ids", "{}")).get(topic) if "ids" in self.options else search_articles(topic, int(self.options.get("limit", K.ARTICLES_PER_TOPIC)), ask, email, key)
+        if not wanted:
+            return iter(())
+        status, body = ask(ARTICLE_FETCH, {"db": "pubmed", "id": ",".join(wanted), "retmode": "xml", "email": email} | ({"api_key": key} if key else {}))
+        if status != 200:
+            raise OSError(f"article fetch: status {status}")
+        return article_payloads(body)
 
 
 def article_payloads(xml: str) -> Iterator[str]:
@@ -128,36 +160,95 @@ RAW_DDL = "topic string, topic_ord int, seq int, payload string"
 
 
 def register(spark: SparkSession, transport: Transport = http) -> None:
-    """Make ``format("lamina_labels")`` and ``format("lamina_articles")`` known to the session.
+    """Make the formats ``lamina_labels``, ``lamina_articles`` and ``lamina_article_ids`` known to the session.
+
+    Options: ``topics`` (JSON list), ``limit``, ``api_key``, ``at_once``, ``delay``; for labels ``terms`` (JSON
+    map), for articles ``email`` and ``ids`` (JSON map of topics to the ids to fetch, instead of a search).
+    ``lamina_article_ids`` gives the ids of a search as payloads, in the provider's order.
+    """
+
+    def source(named: str, reads: type[_TopicReader]) -> type[DataSource]:
+        class Source(DataSource):
+            @classmethod
+            def name(cls) -> str:
+                return named
+
+            def schema(self) -> str:
+                return RAW_DDL
 
-    Options: ``topics`` (JSON list), ``limit``, ``api_key``; for labels ``terms`` (JSON map), for articles ``email``.
+            def reader(self, schema) -> DataSourceReader:
+                return reads(dict(self.options), transport)
+
+        return Source
+
+    for named, reads in (("lamina_labels", _LabelReader), ("lamina_articles", _ArticleReader), ("lamina_article_ids", _SearchReader)):
+        spark.dataSource.register(source(named, reads))
+
+
+def raw_labels(spark: SparkSession, topics: list[str], limit: int = K.RAW_LABELS_PER_TOPIC, **options: object) -> DataFrame:
+    reader = spark.read.format("lamina_labels").option("topics", json.dumps(topics)).option("terms", json.dumps(K.SEARCH_TERMS)).option("limit", limit)
+    return reader.options(**{k: str(v) for k, v in options.items()}).load()
+
+
+def raw_articles(spark: SparkSession, topics: list[str], email: str, limit: int = K.ARTICLES_PER_TOPIC, **options: object) -> DataFrame:
+    reader = spark.read.format("lamina_articles").option("topics", json.dumps(topics)).option("email", email).option("limit", limit)
+    return reader.options(**{k: str(v) for k, v in options.items()}).load()
+
+
+def found_articles(spark: SparkSession, topics: list[str], email: str, limit: int = K.ARTICLES_PER_TOPIC, **options: object) -> DataFrame:
+    """``topic, pmid, rank``: the ids a search gives, in the provider's order."""
+    reader = spark.read.format("lamina_article_ids").option("topics", json.dumps(topics)).option("email", email).option("limit", limit)
+    return reader.options(**{k: str(v) for k, v in options.items()}).load().selectExpr("topic", "payload AS pmid", "seq AS rank")
+
+
+ITEM_SEARCH = "https://iris.who.int/server/api/pid/find"
+ITEM_BUNDLES = "https://iris.who.int/server/api/core/items/{}/bundles"
+
+
+def resolved(handles: DataFrame, transport: Transport = http, handle: str = "handle", out: str = "url") -> DataFrame:
+    """``handles`` with the content address of the first file of each item's ORIGINAL bundle.
+
+    Three requests: the item, its bundles, the files of the bundle. An answer other than 200, or one
+    without what is looked for, gives null, as a null handle does.
     """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in handles.schema.fields)
+
+    def ask(address: str, parameters: dict | None = None) -> str | None:
+        status, body = transport(address, parameters or {})
+        return body if status == 200 else None
 
-    class Labels(DataSource):
-        @classmethod
-        def name(cls) -> str:
-            return "lamina_labels"
+    def item(h: str | None) -> str | None:
+        said = ask(ITEM_SEARCH, {"id": f"hdl:{h}"}) if h is not None else None
+        return ask(ITEM_BUNDLES.format(json.loads(said)["uuid"])) if said else None
 
-        def schema(self) -> str:
-            return RAW_DDL
+    def step(df: DataFrame, column: str, request: Callable[[str | None], str | None]) -> DataFrame:
+        def run(batches: Iterator) -> Iterator:
+            for batch in batches:
+                yield batch.assign(_said=[request(x) for x in batch[column]]).drop(columns="_next", errors="ignore")
 
-        def reader(self, schema) -> DataSourceReader:
-            return _LabelReader(dict(self.options), transport)
+        return df.mapInPandas(run, f"{schema}, _said string")
 
-    class Articles(DataSource):
-        @classmethod
-        def name(cls) -> str:
-            return "lamina_articles"
+    bundles = step(handles, handle, item)
+    files = step(bundles.withColumn("_next", bundle_files_url(F.col("_said"))).drop("_said"), "_next", lambda u: ask(u) if u else None)
+    return files.withColumn(out, first_file_url(F.col("_said"))).drop("_said")
 
-        def schema(self) -> str:
-            return RAW_DDL
 
-        def reader(self, schema) -> DataSourceReader:
-            return _ArticleReader(dict(self.options), transport)
+def downloaded(addresses: DataFrame, transport: Callable[[str], tuple[int, bytes]], url: str = "url") -> tuple[DataFrame, DataFrame]:
+    """Files of distinct addresses, ``doc, data``, each fetched once, and the failures, ``doc, error``."""
 
-    spark.dataSource.register(Labels)
-    spark.dataSource.register(Articles)
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
 
+        for batch in batches:
+            rows = []
+            for address in batch["doc"]:
+                try:
+                    status, data = transport(address)
+                    rows.append((address, bytes(data), None) if status == 200 else (address, None, f"status {status}"))
+                except OSError as e:
+                    rows.append((address, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["doc", "data", "error"])
 
-def raw_labels(spark: SparkSession, topics: list[str], limit: int = K.RAW_LABELS_PER_TOPIC) -> DataFrame:
-    return spark.read.format("lamina_labels").option("topics", json.dumps(topics)).option("terms", json.dumps(K.SEARCH_TERMS)).option("limit", limit).load()
+    once = addresses.select(F.col(url).alias("doc")).filter("doc IS NOT NULL").distinct()
+    got = cut_lineage(once.mapInPandas(run, "doc string, data binary, error string"))
+    return got.filter("error IS NULL").drop("error"), got.filter("error IS NOT NULL").select("doc", "error")

@@ -77,9 +77,33 @@ def load_chunks(spark: SparkSession, path: str, source: str | None = None, topic
     return read_table(spark, path, S.CHUNK_DDL + ", topic string", **wanted)
 
 
-def save_tables(tables: DataFrame, topic: str, path: str) -> None:
-    """Tables (page_number, table_data) of one topic."""
-    tables.select(F.lit(topic).alias("topic"), "page_number", "table_data").withColumn("part", file_name(F.col("topic"))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+def save_tables(tables: DataFrame, path: str, topic: str | None = None) -> None:
+    """Tables (page_number, table_data) of one topic, or of the topics in the column ``topic``."""
+    named = F.lit(topic) if topic is not None else F.col("topic")
+    tables.select(named.alias("topic"), "page_number", "table_data").withColumn("part", file_name(F.col("topic"))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def load_tables(spark: SparkSession, path: str, topic: str | None = None) -> DataFrame:
+    wanted = {"part": topic.replace(" ", "_")} if topic else {}
+    return read_table(spark, path, S.TABLE_DDL + ", part string", **wanted).select("topic", "page_number", "table_data")
+
+
+def load_files(spark: SparkSession, path: str) -> DataFrame:
+    """``filename, data`` of the files of a folder; none where there is no such folder."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "filename string, data binary")
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("content").alias("data"))
+
+
+def load_images_data(spark: SparkSession, path: str) -> DataFrame:
+    """``filename, data`` of the images of a table, in the form of :func:`load_files`."""
+    return read_table(spark, path, S.IMAGE_DDL + ", data binary").select("filename", "data")
+
+
+def scan(spark: SparkSession, pattern: str, kind: str) -> DataFrame:
+    """Records of a kind from all files that match a pattern, with the ``file`` each came from."""
+    df = read_json(spark, pattern, kind)
+    return df.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)) if exists(spark, pattern) else df.withColumn("file", F.lit(None).cast("string"))
 
 
 def save_embeddings(chunks: DataFrame, path: str, vector: str = "embedding") -> None:

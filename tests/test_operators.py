@@ -156,8 +156,158 @@ def test_providers_without_a_network(spark):
     xml = "<S><PubmedArticle><MedlineCitation><PMID>1</PMID><Article><ArticleTitle>T</ArticleTitle><Language>eng</Language><Abstract><AbstractText>a</AbstractText><AbstractText>b</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle></S>"
     ok, failed = parsing.parse_articles(spark.createDataFrame([("t", p) for p in providers.article_payloads(xml)], "topic string, payload string"))
     assert ok.first()["abstract"] == "a b" and ok.first()["pub_date"] == "unknown" and failed.count() == 0
-    item = '{"bundles":[{"name":"TEXT"},{"name":"ORIGINAL","bitstreams":[{"_links":{"content":{"href":"u"}}}]}]}'
-    assert spark.createDataFrame([(item,), ("{}",)], "j string").select(parsing.bitstream_url(F.col("j")).alias("u")).collect()[0]["u"] == "u"
+
+
+def test_handles_are_resolved_by_three_requests(spark):
+    """The answers have the shape of the service's: embedded lists, and links from one to the next."""
+    asked = []
+
+    def service(address, parameters):
+        asked.append(address)
+        if address == providers.ITEM_SEARCH:
+            return (200, '{"uuid": "u-1", "type": "item"}') if parameters == {"id": "hdl:10665/1"} else (404, "")
+        if address == providers.ITEM_BUNDLES.format("u-1"):
+            bundles = [{"name": "TEXT", "_links": {"bitstreams": {"href": "t"}}}, {"name": "ORIGINAL", "_links": {"bitstreams": {"href": "files"}}}]
+            return 200, json.dumps({"_embedded": {"bundles": bundles}, "page": {"totalElements": 2}})
+        return 200, json.dumps({"_embedded": {"bitstreams": [{"name": "a.pdf", "_links": {"content": {"href": "content"}}}, {"_links": {"content": {"href": "other"}}}]}})
+
+    df = spark.createDataFrame([("10665/1", 1), ("10665/2", 2), (None, 3)], "handle string, n int")
+    assert {r["n"]: r["url"] for r in providers.resolved(df, service).collect()} == {1: "content", 2: None, 3: None}
+    answers = spark.createDataFrame([("{}",), ('{"_embedded":{"bundles":[]}}',), ("no json",)], "j string")
+    assert [r[0] for r in answers.select(parsing.bundle_files_url(F.col("j"))).collect()] == [None] * 3
+    assert [r[0] for r in answers.select(parsing.first_file_url(F.col("j"))).collect()] == [None] * 3
+
+
+def test_downloads_happen_once_and_failures_are_told(spark):
+    def service(address):
+        if address == "down":
+            raise OSError("no route")
+        return (200, address.encode()) if address != "gone" else (404, b"")
+
+    got, lost = providers.downloaded(spark.createDataFrame([("a",), ("a",), ("gone",), ("down",), (None,)], "url string"), service)
+    assert [(r["doc"], bytes(r["data"])) for r in got.collect()] == [("a", b"a")]
+    assert {r["doc"]: r["error"] for r in lost.collect()} == {"gone": "status 404", "down": "OSError: no route"}
+
+
+def test_the_rate_holds_for_all_partitions(monkeypatch):
+    waits = []
+    monkeypatch.setattr(providers.time, "sleep", waits.append)
+    service = lambda a, p: (200, json.dumps({"esearchresult": {"idlist": [p["term"]]}}))
+    reader = providers._SearchReader({"topics": json.dumps(list("abcdef")), "email": "e", "at_once": "2"}, service)
+    parts = reader.partitions()
+    assert [[t for _, t in p.topics] for p in parts] == [["a", "c", "e"], ["b", "d", "f"]]
+    assert [r[0] for p in parts for r in reader.read(p)] == list("acebdf") and waits == [0.7] * 4
+    one = providers._SearchReader({"topics": json.dumps(list("abc")), "email": "e", "api_key": "k"}, service)
+    waits.clear()
+    assert len(one.partitions()) == 1 and len(list(one.read(one.partitions()[0]))) == 3 and waits == [0.11, 0.11]
+
+
+def test_remote_provider_and_one_model_a_worker(spark):
+    def service(address, headers, body):
+        asked = json.loads(body)
+        assert headers["Authorization"] == "Bearer k" and asked["model"] == "m"
+        data = [{"object": "embedding", "index": i, "embedding": [float(len(t))] * 4} for i, t in enumerate(asked["input"])]
+        return 200, json.dumps({"object": "list", "data": data[::-1], "usage": {"total_tokens": 1}})
+
+    provider = embedding.RemoteProvider("https://models.example/embeddings", "m", "k", 4, service)
+    rows = embedding.embed_texts(spark.createDataFrame([("ab",), ("abc",)], "text string"), provider).collect()
+    assert {r["text"]: r["embedding"] for r in rows} == {"ab": [2.0] * 4, "abc": [3.0] * 4}
+    with pytest.raises(OSError):
+        embedding.RemoteProvider("a", "m", "k", 4, lambda *x: (429, "")).embed(["x"])
+    made = []
+    model = embedding.Once("test model", lambda: made.append(1) or (lambda b: [1.0]))
+    assert model.get() is model.get() and made == [1]
+    assert embedding.embed_images(spark.createDataFrame([(b"x",)], "data binary"), embedding.Once("two", lambda: lambda b: [1.0, 2.0]), dimensions=3).count() == 0
+
+
+def test_requests_are_packed_across_batches(spark, tmp_path):
+    class Counting:
+        dimensions = 1
+
+        def embed(self, texts):
+            with open(tmp_path / "sizes", "a") as f:
+                f.write(f"{len(texts)}\n")
+            return [[1.0]] * len(texts)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        df = spark.range(10).coalesce(1).selectExpr("id", "IF(id = 4, NULL, 'one two') AS text")
+        assert embedding.embed_texts(df, Counting(), tokens=10, most=100).filter("embedding IS NULL").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert (tmp_path / "sizes").read_text().split() == ["5", "4"]
+
+
+def test_another_tokenizer(spark):
+    from lamina.functions.text import tokens_by
+    from lamina.operators import chunking
+
+    tokens = tokens_by(lambda: lambda text: [c for c in text])  # one character a token
+    df = spark.createDataFrame([(1, "Ab cd. Ef gh. Ij.", "P: "), (2, None, "P: ")], "k int, text string, prefix string")
+    assert [r["chunk"] for r in chunking.by_sentences(df, "text", 13, tokens=tokens).collect()] == ["Ab cd. Ef gh.", "Ij."]
+    assert [r["chunk"] for r in chunking.by_windows(df, "text", 6, tokens=tokens).collect()] == ["Ab cd.", " Ef gh", ". Ij."]
+    cut = chunking.windows_with_prefix(df.filter("k = 1"), "text", "prefix", 12, 2, tokens).orderBy("sub_index").collect()
+    assert [r["piece"] for r in cut] == ["P: Ab cd. Ef", "P:  gh. Ij."]
+
+
+def test_pack_rows_equals_packing_an_array(spark):
+    import random
+
+    from lamina.operators.packing import pack, pack_rows
+
+    r = random.Random(3)
+    rows = [(g, i, r.randint(1, 9), r.choice([True, False, False, False, None])) for g in range(3) for i in range(200)]
+    got = pack_rows(spark.createDataFrame(rows, "g int, i int, n int, m boolean"), ["g"], ["i"], "n", 20, 4, "m").collect()
+    for g in range(3):
+        mine = sorted((x["i"], x["pack_id"]) for x in got if x["g"] == g)
+        want = [k for k, (_, n, _) in enumerate(pack([x[2] for x in rows if x[0] == g], 20, 4, [bool(x[3]) for x in rows if x[0] == g])) for _ in range(n)]
+        assert [p for _, p in mine] == want
+
+
+def test_nearest_in_several_passes(spark, monkeypatch):
+    import numpy as np
+
+    from lamina.operators import similarity
+
+    v = np.random.default_rng(2).normal(size=(60, 4))
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(99, None), (98, [0.0] * 4)], "k long, v array<double>")
+    want = similarity.nearest(df, df.filter("k % 3 = 0"), "k", "v", 4).collect()
+    monkeypatch.setattr(similarity, "BLOCK", 2)
+    monkeypatch.setattr(similarity, "CARRIED", 200)
+    assert sorted(similarity.nearest(df, df.filter("k % 3 = 0"), "k", "v", 4).collect()) == sorted(want) and len(want) == 80
+    assert similarity.nearest(df, df.filter("k < 0"), "k", "v", 4).count() == 0
+
+
+def test_furniture_is_tried_once_a_line(spark):
+    from lamina.functions.text import without_furniture
+
+    lines = ["a World Health Organization (WHO) b", "kept 3 of 4 too", "x" * 200_000, "World Health Organization (WHO)"]
+    df = spark.createDataFrame([("\n".join(lines),)], "t string")
+    assert df.select(without_furniture(F.col("t"))).first()[0] == "kept  too\n" + "x" * 200_000
+    assert df.select(without_furniture(F.col("t"), "kept ")).first()[0].split("\n")[1] == "3 of 4 too"
+
+
+def test_gray_maps_need_no_library(spark):
+    df = spark.createDataFrame([(b"P5 2 2 255\n\x00\xff\x00\xff",), (b"P5\n1 1\n255\n\x07",), (b"junk",), (None,)], "d binary")
+    assert [r[0] for r in df.select(images.gray_deviation(F.col("d"))).collect()] == [127.5, 0.0, None, None]
+    assert images.without_blank(df, images.gray_deviation(F.col("d"))).count() == 3
+
+
+def test_a_page_without_tables_and_failed_documents(spark):
+    class Picky(documents.PlainText):
+        def pages(self, data):
+            if data == b"bad":
+                raise ValueError("no pages")
+            return super().pages(data)
+
+    docs = spark.createDataFrame([("asthma", 0, "T", "a"), ("copd", 1, "T", "a"), ("malaria", 2, "M", "b"), ("stroke", 3, "S", "c")], "topic string, topic_ord int, title string, doc string")
+    files = spark.createDataFrame([("a", b"one"), ("b", b"bad")], "doc string, data binary")
+    lost = spark.createDataFrame([("c", "status 404")], "doc string, error string")
+    (guidelines, _, _), told = jobs.guideline_run(files, lost, docs, Picky())
+    assert {r["topic"]: (r["status"], (r["error"] or "").split(":")[0]) for r in told.collect()} == {
+        "asthma": ("success", ""), "copd": ("success (cached)", ""), "malaria": ("failed", "ValueError"), "stroke": ("failed", "status 404")
+    }
+    assert sorted(r["topic"] for r in guidelines.collect()) == ["asthma", "copd"]
 
 
 def test_store(spark, tmp_path):
