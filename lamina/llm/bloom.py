@@ -9,7 +9,6 @@ written by shard (``each_shard``), so that what is broadcast never grows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.session import checkpoint_dir
+from lamina.session import scratch
 
 #: Bits of a filter per key.
 BITS_PER_KEY = 12
@@ -170,7 +169,7 @@ def each_shard(df: DataFrame, key: str, keys: int, work: Callable[[DataFrame, in
     if shards == 1:
         return work(df, filter_segments(keys) * SEGMENT * 8)
     spark = df.sparkSession
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    folder = scratch(spark, "shards")
     df.withColumn("_shard", shard_of(F.col(key), shards)).write.partitionBy("_shard").parquet(f"{folder}/rows")
     rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_shard", T.IntegerType())])).parquet(f"{folder}/rows")
     for s in range(shards):

@@ -120,7 +120,7 @@ def balanced_sample(units: DataFrame, seed: int = 7) -> DataFrame:
 def document_sizes(documents: DataFrame, targets: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """``doc_id, source, n_tokens`` of the documents of the target sources; null texts have 0 tokens."""
     wanted = targets.select("source").distinct()
-    return count_tokens(spread(documents.select("doc_id", "source", "text").join(wanted, "source", "left_semi")), vocabulary_path=vocabulary_path).select("doc_id", "source", "n_tokens")
+    return count_tokens(spread(documents.select("doc_id", "source", "text")).join(wanted, "source", "left_semi"), vocabulary_path=vocabulary_path).select("doc_id", "source", "n_tokens")
 
 
 #: What a mixture keeps where a source falls short: the size of the corpus, or the shares.

@@ -101,7 +101,24 @@ _NAMES = """
   FROM drugs
 """
 
+_TRIPLES = """
+w AS (SELECT drug_id, regexp_extract_all(lower(coalesce(indications_and_usage, '') || ' ' || coalesce(warnings_and_cautions, '')), '[\\p{L}\\p{N}]+') AS x FROM drugs),
+t AS (SELECT DISTINCT drug_id, x[i] || ' ' || x[i + 1] || ' ' || x[i + 2] AS triple FROM (SELECT drug_id, x, unnest(generate_series(1, len(x) - 2)) AS i FROM w WHERE len(x) >= 3)),
+n AS (SELECT drug_id, count(*) AS n FROM t GROUP BY drug_id),
+m AS (SELECT p.drug_id AS a, q.drug_id AS b, count(*) AS m FROM t p JOIN t q ON p.triple = q.triple AND p.drug_id < q.drug_id GROUP BY p.drug_id, q.drug_id),
+pairs AS (SELECT a, b FROM m JOIN n x ON x.drug_id = a JOIN n y ON y.drug_id = b WHERE 10 * m >= 7 * (x.n + y.n - m))
+"""
+
 SQL: dict[str, str] = {
+    "p1_found": f"WITH {_TRIPLES} SELECT a AS drug_id_a, b AS drug_id_b FROM pairs",
+    "p1_groups": f"""
+WITH RECURSIVE {_TRIPLES},
+e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+r AS (SELECT drug_id AS a, drug_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+g AS (SELECT a AS drug_id, min(b) AS group_id FROM r GROUP BY a),
+c AS (SELECT drug_id, array_to_string(x, ' ') AS said FROM w)
+SELECT g.drug_id, group_id, count(DISTINCT o.said) FILTER (o.said <> c.said) AS n_links FROM g JOIN c USING (drug_id) LEFT JOIN e ON e.a = g.drug_id LEFT JOIN c o ON o.drug_id = e.b GROUP BY g.drug_id, group_id
+""",
     "p3_found": f"""
 WITH k AS ({_NAMES}), g AS (SELECT drug_id, min(drug_id) OVER (PARTITION BY low, high) AS first_id FROM k)
 SELECT DISTINCT first_id, drug_id AS copy_id FROM g WHERE drug_id <> first_id

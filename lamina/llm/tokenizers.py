@@ -46,6 +46,7 @@ class Vocabulary:
             self.tokens[rank] = token
         self.longest = max(map(len, self.ranks))
         self.pairs: dict[tuple[int, int], int] = {}
+        self.spines: tuple[dict, dict] = ({}, {})
         self.split: list[tuple[int, int]] = [(i, i) for i in range(len(self.tokens))]
         ranks = self.ranks
         for rank, token in enumerate(self.tokens):
@@ -56,28 +57,37 @@ class Vocabulary:
                     self.split[rank] = (left, right)
                     break
 
+    def spine(self, token: int, side: int) -> list[tuple[int, int, int]]:
+        """The parts of a token at its left (0) or right (1) end: part, rank that makes it, rank that takes it up.
+
+        Bytes are there from the start (-1), the token itself stays.
+        """
+        held = self.spines[side].get(token)
+        if held is None:
+            part, ends = token, 1 << 60
+            held = []
+            while self.split[part] != (part, part):
+                held.append((part, part, ends))
+                part, ends = self.split[part][side], part
+            held.append((part, -1, ends))
+            self.spines[side][token] = held
+        return held
+
     def compatible(self, a: int, b: int) -> bool:
-        """Whether merging would leave the tokens ``a`` and ``b`` beside each other.
+        """Whether the merges leave ``a`` and ``b`` beside each other.
 
-        Both are taken apart in the reverse of the merge order; no pair met at the seam may merge
-        before the parts it would have to break.
+        Until a merge crosses the seam both sides are built as they are alone. A merge of a part at the
+        end of ``a`` with a part at the start of ``b`` crosses it if both parts are there at one time and
+        it comes before the merges that take them up; among equal ranks the one further left comes first.
         """
-        pairs, split, limit = self.pairs, self.split, 1 << 60
-        while True:
-            if pairs.get((a, b), 1 << 60) < limit:
-                return False
-            if a > b:
-                limit, a = a, split[a][1]
-                if a == limit:
-                    limit, b = b + 1, split[b][0]
-                    if b + 1 == limit:
-                        return True
-            else:
-                limit, b = b + 1, split[b][0]
-                if b + 1 == limit:
-                    limit, a = a, split[a][1]
-                    if a == limit:
-                        return True
+        pairs = self.pairs
+        for x, made_x, ends_x in self.spine(a, 1):
+            for y, made_y, ends_y in self.spine(b, 0):
+                if made_y < ends_x and made_x <= ends_y:
+                    rank = pairs.get((x, y))
+                    if rank is not None and rank < ends_x and rank <= ends_y:
+                        return False
+        return True
 
 
 @lru_cache(maxsize=4)
