@@ -125,36 +125,38 @@ def running_words(lines: list[Line]) -> list[tuple[int, str]]:
     return out
 
 
-def _spelt(word: str) -> list[str]:
+@lru_cache(maxsize=1 << 16)
+def _spelt(word: str) -> tuple[str, ...]:
     """A word in lower case, and its parts where it is a compound."""
     w = word.casefold() if not _ODD.search(word) else word.lower()  # which would take a ligature apart
     parts = PARTS.split(w)
-    return [w] if len(parts) == 1 else [w, *[p for p in parts if p]]
+    return (w,) if len(parts) == 1 else (w, *[p for p in parts if p])
 
 
 KINDS = (BLANK, HEADER, PAGE, HEADING, TEXT, TABLE)
 _DIGIT = {k: str(i) for i, k in enumerate(KINDS)}
 
 
-def read_fields(clean: str | None, raw: str | None, title: str | None, running: frozenset[str]) -> tuple[list[Line], list[Line], set[int]]:
-    """Lines of both texts, and which raw lines are lines of the clean text; those are of the same kind."""
+def read_fields(clean: str | None, raw: str | None, title: str | None, running: frozenset[str]) -> tuple[list[Line], list[Line], dict[int, int]]:
+    """Lines of both texts, and of which clean line a raw line is one and the same; those are of the same kind."""
     lines = read_lines(clean, title, running)
-    known = {k: lines[i].kind for i, k in matches([x.text for x in lines], (raw or "").split("\n")).items()} if raw else {}
-    full = read_lines(raw, title, running, tables=True, given=known)
+    known = {k: i for i, k in matches([x.text for x in lines], raw.split("\n")).items()} if raw else {}
+    full = read_lines(raw, title, running, tables=True, given={k: lines[i].kind for k, i in known.items()})
     mark_tables(full, known)
-    return lines, full, set(known)
+    return lines, full, known
 
 
-PAGES = "tag string, guideline_id long, clean_text string, raw_text string, clean_kinds string, raw_kinds string, known string, item_field string, line_no int, a string, b string, c string, d string, e string, n long, docs long"
+PAGES = "tag string, guideline_id long, clean_text string, raw_text string, clean_kinds string, raw_kinds string, known string, shared string, item_field string, line_no int, a string, b string, c string, d string, e string, n long"
 _COLUMNS = [x.split(" ")[0] for x in PAGES.split(", ")]
 
 
 def read_pages(guidelines: DataFrame) -> DataFrame:
     """All that one layout of the documents gives, in tagged rows.
 
-    ``doc``: a document with the kinds of its lines (a digit each), and by ``known`` the raw lines that
-    the clean text has. ``word``: a word of the running text (a) with its number (n) and that of its
-    documents (docs), compounds also by part; what both texts of a document have is counted once.
+    ``doc``: a document with the kinds of its lines (a digit each), by ``known`` the raw lines that the
+    clean text has and by ``shared`` the clean lines that the raw one has, in the same order.
+    ``word``: a word of the running text (a) with its number (n), compounds also by part; what both
+    texts of a document have is counted once.
     ``line``: a running line or page number and its kind (a). ``end``: a line that ends in a dividing
     mark: the word joined (a), hyphened (b), its parts at the seam joined (c), left (d), right (e), and
     whether the mark is no hyphen (n).
@@ -166,16 +168,25 @@ def read_pages(guidelines: DataFrame) -> DataFrame:
         from collections import Counter
 
         found: Counter[str] = Counter()
-        held: Counter[str] = Counter()
-        words = lambda: frame_of([{"tag": "word", "a": w, "n": n, "docs": held[w]} for w, n in found.items()], _COLUMNS)
+
+        def words() -> pd.DataFrame:
+            total: Counter[str] = Counter()
+            for w, n in found.items():
+                for s in _spelt(w):
+                    total[s] += n
+            found.clear()
+            return pd.DataFrame({c: {"tag": "word", "a": list(total), "n": list(total.values())}.get(c) for c in _COLUMNS}, index=range(len(total)), dtype=object)
+
         for batch in batches:
             rows: list[dict] = []
             for key, title, clean, raw, running in zip(batch["guideline_id"], batch["title"], batch["clean_text"], batch["raw_text"], running_of(batch, sent)):
                 lines, full, known = read_fields(clean, raw, title, running)
-                rows.append({"tag": "doc", "guideline_id": key, "clean_text": clean, "raw_text": raw, "clean_kinds": digits(lines), "raw_kinds": digits(full), "known": "".join("01"[k in known] for k in range(len(full)))})
-                said: Counter[str] = Counter()
-                for field, now, counted in (("raw_text", full, known), ("clean_text", lines, ())):
-                    said.update(s for i, w in running_words(now) if i not in counted for s in _spelt(w))
+                flags = lambda held, of: "".join(["1" if k in held else "0" for k in range(len(of))])
+                shared = set(known.values())
+                rows.append({"tag": "doc", "guideline_id": key, "clean_text": clean, "raw_text": raw, "clean_kinds": digits(lines), "raw_kinds": digits(full), "known": flags(known, full), "shared": flags(shared, lines)})
+                for field, now, counted in (("raw_text", full, ()), ("clean_text", lines, shared)):
+                    if len(counted) < len(now):
+                        found.update([w for i, w in running_words(now) if i not in counted])
                     rows += [{"tag": "line", "guideline_id": key, "item_field": field, "line_no": i, "a": x.kind} for i, x in enumerate(now) if x.kind in (HEADER, PAGE)]
                     texts = text_lines(now)
                     for k, i in enumerate(texts):
@@ -184,13 +195,9 @@ def read_pages(guidelines: DataFrame) -> DataFrame:
                             mark, left, right = end
                             l, r = PARTS.split(left)[-1].casefold(), PARTS.split(right)[0].casefold()
                             rows.append({"tag": "end", "guideline_id": key, "item_field": field, "line_no": i, "a": (left + right).casefold(), "b": f"{left}-{right}".casefold(), "c": l + r, "d": l, "e": r, "n": int(mark in "¬\u00ad")})
-                found.update(said)
-                held.update(said.keys())
             yield frame_of(rows, _COLUMNS)
             if len(found) > 200_000:
                 yield words()
-                found.clear()
-                held.clear()
         if found:
             yield words()
 
@@ -201,11 +208,11 @@ def _lines(text: str | None, kinds: str) -> list[Line]:
     return [Line(x, KINDS[int(k)]) for x, k in zip((text or "").split("\n"), kinds)]
 
 
-def _each(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple[str, list[Line], set[int]]]]]:
-    """Of each document its key and its fields: name, lines, and the lines another field has counted."""
+def _each(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[Line], list[Line], dict[int, int]]]:
+    """Of each document its key, raw and clean lines, and of the clean lines the raw text has their places there."""
     for batch in batches:
-        for key, clean, raw, a, b, known in zip(*[batch[c] for c in ("guideline_id", "clean_text", "raw_text", "clean_kinds", "raw_kinds", "known")]):
-            yield key, [("raw_text", _lines(raw, b), {k for k, x in enumerate(known) if x == "1"}), ("clean_text", _lines(clean, a), set())]
+        for key, clean, raw, a, b, known, shared in zip(*[batch[c] for c in ("guideline_id", "clean_text", "raw_text", "clean_kinds", "raw_kinds", "known", "shared")]):
+            yield key, _lines(raw, b), _lines(clean, a), dict(zip([i for i, x in enumerate(shared) if x == "1"], [k for k, x in enumerate(known) if x == "1"]))
 
 
 def _held(bitmap, words: set[str]) -> set[str]:
@@ -250,34 +257,38 @@ def surroundings(documents: DataFrame, links: DataFrame, model: dict[str, int])
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = known.value
         pairs = Pairs(max(1, len(ids)))
-        suspected: dict[str, bool] = {}
+        told: dict[str, tuple[int, tuple[str, ...]]] = {}  # of a word its id and its suspected spellings
 
         def counted() -> pd.DataFrame:
             w, c, n = pairs.flush()
             nothing = dict.fromkeys(columns[3:], pd.Series([None] * len(w), dtype=object))
             return pd.DataFrame({"w": w, "c": c, "n": n} | nothing)
 
-        for key, fields in _each(batches):
-            rows = []
-            for field, lines, seen in fields:
-                said = running_words(lines)
-                spelt = [_spelt(w) for _, w in said]
-                at = np.fromiter((ids.get(s[0], -1) for s in spelt), np.int64, len(spelt))
-                pairs.add(at[[i not in seen for i, _ in said]] if seen else at)
-                new = {s for parts in spelt for s in parts if s not in suspected}
-                held = _held(keys.value, new)
-                suspected.update((s, s in held) for s in new)
-                for k, ((i, _), parts) in enumerate(zip(said, spelt)):
-                    for s in parts:
-                        if suspected[s]:
-                            near = [int(at[j]) for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < len(at) and at[j] >= 0]
-                            rows.append((key, field, i, s, near))
+        def suspects(lines: list[Line], skipped: dict[int, int]) -> Iterator[tuple[int, str, list[int]]]:
+            """Line, spelling and words around of suspected words; pairs of lines not ``skipped`` are counted."""
+            said = running_words(lines)
+            new = {w for _, w in said if w not in told}
+            if new:
+                held = _held(keys.value, {s for w in new for s in _spelt(w)})
+                told.update((w, (ids.get(_spelt(w)[0], -1), tuple(s for s in _spelt(w) if s in held))) for w in new)
+            at = np.fromiter((told[w][0] for _, w in said), np.int64, len(said))
+            pairs.add(at[[i not in skipped for i, _ in said]] if skipped else at)
+            for k, (i, w) in enumerate(said):
+                for s in told[w][1]:
+                    yield i, s, [int(at[j]) for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < len(at) and at[j] >= 0]
+
+        for key, full, lines, shared in _each(batches):
+            rows = [(key, "raw_text", *x) for x in suspects(full, {})]
+            place = {k: i for i, k in shared.items()}
+            rows += [(key, "clean_text", place[i], s, near) for _, _, i, s, near in rows if i in place]
+            if len(shared) < len(lines):
+                rows += [(key, "clean_text", *x) for x in suspects(lines, shared) if x[0] not in shared]
             if rows:
                 yield frame_of([dict(zip(columns[3:], r)) for r in rows], columns)
             if pairs.held > AT_ONCE:
                 yield counted()
-            if len(suspected) > AT_ONCE:
-                suspected.clear()
+            if len(told) > AT_ONCE:
+                told.clear()
         yield counted()
 
     return documents.mapInPandas(read, SURROUNDINGS)
@@ -322,9 +333,9 @@ class Scans:
     def __init__(self, guidelines: DataFrame) -> None:
         ship_package(guidelines.sparkSession)
         self.pages = cut_lineage(read_pages(guidelines))
-        self.documents = self.pages.filter("tag = 'doc'").select("guideline_id", "clean_text", "raw_text", "clean_kinds", "raw_kinds", "known")
+        self.documents = self.pages.filter("tag = 'doc'").select("guideline_id", "clean_text", "raw_text", "clean_kinds", "raw_kinds", "known", "shared")
         words = self.pages.filter("tag = 'word'").groupBy(F.col("a").alias("word"))
-        self.vocabulary = cut_lineage(words.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+        self.vocabulary = cut_lineage(words.agg(F.sum("n").alias("n")))
         self.links = cut_lineage(linked_words(self.vocabulary))
         model, often = model_words(self.vocabulary)
         read = cut_lineage(surroundings(self.documents, self.links, model))
@@ -381,8 +392,8 @@ def repaired_texts(guidelines: DataFrame) -> DataFrame:
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for (key, fields), ends, faults in zip(_each(iter([batch])), batch["ends"], batch["words"]):
-                for field, lines, _ in fields:
+            for (key, full, clean, _), ends, faults in zip(_each(iter([batch])), batch["ends"], batch["words"]):
+                for field, lines in (("raw_text", full), ("clean_text", clean)):
                     for fault in faults if faults is not None else []:
                         if fault["item_field"] != field:
                             continue
