@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.components import components
-from lamina.operators.skew import join_groups, salted
+from lamina.operators.skew import salted
 from lamina.session import cut_lineage, ship_package
 
 log = logging.getLogger(__name__)
@@ -211,8 +211,8 @@ def shared_triples(reps: DataFrame, threshold: float) -> DataFrame:
     """
     rows = reps.select("rep_id", F.size("triples").alias("size"), F.explode("triples").alias("t"))
     counts = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    total = reps.agg(F.sum(F.size("triples"))).first()[0] or 0
-    told = join_groups(rows, counts, ["t"], "n", total)
+    # one row a triple on the right: adaptive execution splits what a hot triple brings to the left
+    told = rows.join(counts, "t")
     held = told.groupBy("rep_id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "t"))).alias("held"))
     first = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)) + 1 - (F.col("size") - F.size("held"))
     return held.select("rep_id", "size", F.col("held.t").alias("held"), F.slice(F.col("held.t"), F.lit(1), F.greatest(first, F.lit(0)).cast("int")).alias("routes")).filter(F.size("routes") > 0)
@@ -222,31 +222,27 @@ def routed(reps: DataFrame) -> DataFrame:
     """``rep_id, cell, part``: the cells each class goes to; classes that share a route share a cell.
 
     A route leads to its least class, and on to the least class that one's routes lead to. Where the
-    cell so made has above ``CELL`` routes of classes, the route leads to its own least class only, then
-    to itself, and a route of more than ``BLOCK`` classes is searched as pairs of blocks.
+    cell so made has above ``CELL`` routes of classes, the route leads to itself, and a route of more
+    than ``BLOCK`` classes is searched as pairs of blocks.
     """
     rows = reps.select("rep_id", F.explode("routes").alias("route"))
-    total = reps.agg(F.sum(F.size("routes"))).first()[0] or 0
     least = cut_lineage(rows.groupBy("route").agg(F.min("rep_id").alias("near"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    far = join_groups(rows, least, ["route"], "n", total).groupBy("rep_id").agg(F.min("near").alias("far"))
+    far = rows.join(least, "route").groupBy("rep_id").agg(F.min("near").alias("far"))
     meet = least.join(far.withColumnRenamed("rep_id", "near"), "near")
-
-    def load(cell: str) -> DataFrame:
-        """Cells that are too large."""
-        return meet.groupBy(cell).agg(F.sum("n").alias("load")).filter(F.col("load") > CELL).select(cell, F.lit(True).alias(f"{cell}_large"))
-
-    led = meet.join(load("far"), "far", "left").join(load("near"), "near", "left")
-    by_far, by_near = F.col("far_large").isNull(), F.col("near_large").isNull()
+    large = meet.groupBy("far").agg(F.sum("n").alias("load")).filter(F.col("load") > CELL).select("far", F.lit(True).alias("large"))
+    led = meet.join(large, "far", "left")
+    merged = F.col("large").isNull()
     led = led.select(
-        "route", "n", F.when(by_far, F.col("far")).when(by_near, F.col("near")).otherwise(F.col("route")).alias("cell"),
-        F.when(by_far, 0).when(by_near, 1).otherwise(2).cast("long").alias("part"),
-        F.when(by_far | by_near, 1).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks"),
+        "route", F.when(merged, F.col("far")).otherwise(F.col("route")).alias("cell"), F.when(merged, 0).otherwise(1).cast("long").alias("part"),
+        F.when(merged, 1).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks"),
     )
-    gone = join_groups(rows, led, ["route"], "n", total)
+    gone = rows.join(led, "route")
     own, other = salted(F.col("rep_id"), 1 << 30) % F.col("blocks"), F.col("other")
-    whole = gone.filter("blocks = 1").select("rep_id", "cell", "part")
-    pairs = gone.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter(own != other)
-    return whole.unionByName(pairs.select("rep_id", "cell", (F.lit(3) + F.least(own, other).cast("long") * F.col("blocks") + F.greatest(own, other)).alias("part"))).distinct()
+    # a route of one block is in the cell as it is, one of several in a cell with each other block
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != own))
+    pair = F.lit(2) + F.least(own, other).cast("long") * F.col("blocks") + F.greatest(own, other)
+    spread = gone.withColumn("other", F.explode(others))
+    return spread.select("rep_id", "cell", F.when(other < 0, F.col("part")).otherwise(pair).alias("part")).distinct()
 
 
 def similar_classes(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:

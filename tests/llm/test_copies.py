@@ -115,7 +115,7 @@ def test_large_cells_are_parted(spark, monkeypatch, block):
     df = spark.createDataFrame([*rows, *((2000 + i, *rows[0][1:]) for i in range(7))], "drug_id long, indications_and_usage string, warnings_and_cautions string")
     shared = similar.shared_triples(similar.text_classes(df, "drug_id", ["indications_and_usage", "warnings_and_cautions"]).groupBy("class").agg(F.min("record_id").alias("rep_id"), F.first("triples").alias("triples")).select("rep_id", "triples"), 0.7)
     parts = {r["part"] for r in similar.routed(shared).select("part").distinct().collect()}
-    assert parts & {1, 2} and max(parts) > 2
+    assert 1 in parts and max(parts) > 1
     assert sorted(map(tuple, similar.similar_pairs(df).collect())) == brute([*rows, *((2000 + i, *rows[0][1:]) for i in range(7))])
 
 
