@@ -27,7 +27,7 @@ WINDOW = 2
 NEGATIVES, DRAWN = 5, 512
 #: What the product of two vectors lacks of the logarithm of how much more often than by chance they meet.
 CHANCE = float(np.log(NEGATIVES))
-TURNS, STEPS, RATE, DECAY = 5, 25, 0.5, 1e-3
+TURNS, STEPS, RATE, DECAY = 3, 15, 0.5, 1e-3
 #: Pairs fitted at once.
 AT_ONCE = 1 << 18
 
