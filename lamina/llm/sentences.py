@@ -29,20 +29,25 @@ _PARAGRAPHS = re.compile(rf"{PARAGRAPH}|\n[^\S\n]*\n")
 
 @dataclass(frozen=True)
 class Rule:
-    """Break or not where ``before`` matches up to the position and ``after`` from it on."""
+    """Break or not where ``before`` matches up to the position and ``after`` from it on.
+
+    ``tails`` are the endings of what ``before`` can match, which are looked at first; None is any. A
+    ``before`` of None matches everywhere.
+    """
 
     breaks: bool
-    before: re.Pattern
+    before: re.Pattern | None
     after: re.Pattern
+    tails: tuple[str, ...] | None = None
 
 
-def _rule(breaks: bool, before: str, after: str = "") -> Rule:
-    return Rule(breaks, re.compile(rf"(?:{before})\Z"), re.compile(after))
+def _rule(breaks: bool, before: str, after: str = "", tails: str | tuple[str, ...] = ()) -> Rule:
+    return Rule(breaks, re.compile(rf"(?:{before})\Z") if before else None, re.compile(after), tuple(tails) or None)
 
 
 def _short(words: str, after: str = "") -> Rule:
     """No break after one of the abbreviations, which are given without their point."""
-    return _rule(False, rf"(?<![^\W\d_])(?:{'|'.join(re.escape(w) for w in words.split())})\.", after)
+    return _rule(False, rf"(?<![^\W\d_])(?:{'|'.join(re.escape(w) for w in words.split())})\.", after, tuple(w + "." for w in words.split()))
 
 
 _OPEN = r"[\s“„«‹‘¿¡\"'(\[「『]*"
@@ -59,29 +64,29 @@ TABLES: dict[str, list[Rule]] = {
     "de": [
         _short("z B d h u a o s bzw vgl Abb Tab Nr ca Dr Prof evtl ggf inkl Kap Bd sog Str"),
         _short("usw etc", r"\s+[a-zäöü]"),
-        _rule(False, r"(?<!\d)\d{1,2}\.", r"\s+(?:Tag|Tage|Woche|Monat|Jahr|Quartal|Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Lebensjahr)"),
+        _rule(False, r"(?<!\d)\d{1,2}\.", r"\s+(?:Tag|Tage|Woche|Monat|Jahr|Quartal|Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Lebensjahr)", "."),
     ],
     "fr": [_short("p pp ex cf M MM Mme Mmes Dr Pr c.-à-d fig art vol env chap éd n")],
     "es": [_short("p pp ej pág págs Dr Dra Sr Sra Srta aprox fig núm art cap vol EE UU Ud Uds")],
     "pt": [_short("p pp ex pág págs Dr Dra Sr Sra aprox fig núm cap cf art vol")],
-    "ru": [_short("см рис табл напр стр ул им т е д п др тыс млн проф ср"), _rule(False, r"(?<![^\W_])[А-ЯЁ]\.", r"\s+[А-ЯЁ]")],
-    "ar": [_short("ص د م أ"), _rule(False, r"[»”\"]", r"\s*ف")],
-    "hi": [_short("डॉ प्रो श्री सं"), _rule(False, r"[”\"]", r"\s*(?:और|तो|कि|कहकर|यह)\b")],
-    "ja": [_rule(False, r"[」』]", r"\s*[とっていうにをがはもで]")],
-    "zh": [_rule(False, r"[”」』]", r"\s*[是的，、这]")],
+    "ru": [_short("см рис табл напр стр ул им т е д п др тыс млн проф ср"), _rule(False, r"(?<![^\W_])[А-ЯЁ]\.", r"\s+[А-ЯЁ]", ".")],
+    "ar": [_short("ص د م أ"), _rule(False, r"[»”\"]", r"\s*ف", "»”\"")],
+    "hi": [_short("डॉ प्रो श्री सं"), _rule(False, r"[”\"]", r"\s*(?:और|तो|कि|कहकर|यह)\b", "”\"")],
+    "ja": [_rule(False, r"[」』]", r"\s*[とっていうにをがはもで]", "」』")],
+    "zh": [_rule(False, r"[”」』]", r"\s*[是的，、这]", "”」』")],
     "th": [],
 }
 _LATIN = [
-    _rule(False, r"(?<![^\W\d_])[A-Z]\.", r"\s*[A-Z]\."),
-    _rule(True, r"(?:[^\W\d_]{2,}|[%)\d°])\.", rf"[{_UPPER}](?:[^\W\d_]|[\s'’])"),
-    _rule(True, r"[!?][”»\"’)\]]*", rf"[{_UPPER}“„«¿¡]"),
-    _rule(False, r"\.", r"[^\s ]"),
+    _rule(False, r"(?<![^\W\d_])[A-Z]\.", r"\s*[A-Z]\.", "."),
+    _rule(True, r"(?:[^\W\d_]{2}|[%)\d°])\.", rf"[{_UPPER}](?:[^\W\d_]|[\s'’])", "."),
+    _rule(True, r"[!?][”»\"’)\]]*", rf"[{_UPPER}“„«¿¡]", "!?”»\"’)]"),
+    _rule(False, r"\.", r"[^\s ]", "."),
 ]
-FAMILIES: dict[str, list[Rule]] = {"latin": _LATIN, "spaceless": [_rule(False, r"\.", r"[^\s ]")], "caseless": [_rule(False, r"\.", r"[^\s ]")]}
+FAMILIES: dict[str, list[Rule]] = {"latin": _LATIN, "spaceless": [_rule(False, r"\.", r"[^\s ]", ".")], "caseless": [_rule(False, r"\.", r"[^\s ]", ".")]}
 COMMON = [
     _rule(True, "", rf"\s*(?:{PARAGRAPH}|\Z)"),
-    _rule(True, r"[^\s…]…[”»’\"]*", rf"\s+{_OPEN}[{_UPPER}]"),
-    _rule(False, r"…[”»’\"』」）)\]]*", r"\s*[^\s]"),
+    _rule(True, r"[^\s…]…[”»’\"]*", rf"\s+{_OPEN}[{_UPPER}]", "…”»’\""),
+    _rule(False, r"…[”»’\"』」）)\]]*", r"\s*[^\s]", "…”»’\"』」）)]"),
     _rule(False, "", r"\s*[—–,;:，、؛،]"),
     _rule(True, "", rf"\s*{_STARTS}"),
     _rule(False, "", r"\s*[“„«‹‘¿¡\"'(\[]*[a-zà-öø-ÿāăąćčďęěłńœśšźżžа-яё]"),
@@ -97,25 +102,39 @@ _TELL = {
     "en": "the of and in to with was for were is", "de": "der die und nicht bei von mit wurde für nach das den dem ist ein eine zu", "fr": "les des une dans est la pour chez été du le et un aux sur par",
     "es": "los las una del con por fue según tras más la el y en un se es", "pt": "não em uma dos foi com após são ao por o os da do das na no se um",
 }
-_TELL_SETS = {k: frozenset(v.split()) for k, v in _TELL.items()}
+_TELLS = {w: [k for k, v in _TELL.items() if w in v.split()] for v in _TELL.values() for w in v.split()}
 
 
 _SCRIPTS = [(re.compile(f"[{signs}]"), language) for signs, language in (("぀-ヿ", "ja"), ("一-鿿", "zh"), ("\u0e00-\u0e7f", "th"), ("\u0900-\u097f", "hi"), ("\u0600-\u06ff", "ar"), ("Ѐ-ӿ", "ru"))]
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def _script(text: str) -> str | None:
+_LATIN_ONLY = re.compile("[^\u0400-\u9fff]*\\Z")
+
+
+def _signs(text: str) -> list[int]:
+    """Signs of each script other than Latin in a text."""
+    if _LATIN_ONLY.match(text):
+        return [0] * len(_SCRIPTS)
+    return [len(pattern.findall(text)) for pattern, _ in _SCRIPTS]
+
+
+def _script(signs: list[int], length: int) -> str | None:
     """Language of the script other than Latin that a text is written in, if any."""
-    for pattern, language in _SCRIPTS:
-        if len(pattern.findall(text)) > len(text) / 12:
-            return language
-    return None
+    return next((language for n, (_, language) in zip(signs, _SCRIPTS) if n > length / 12), None)
 
 
 def _told(text: str) -> dict[str, int]:
     """Frequent words of each Latin-script language in a text."""
-    held = Counter(_WORDS.findall(text.casefold()))
-    return {k: sum(held[w] for w in words) for k, words in _TELL_SETS.items()}
+    told = dict.fromkeys(_TELL, 0)
+    for w, n in Counter(_WORDS.findall(text.casefold())).items():
+        for k in _TELLS.get(w, ()):
+            told[k] += n
+    return told
+
+
+def _best(told: dict[str, int], whole: str | None = None) -> str:
+    return max(told, key=lambda k: (told[k], k == whole, k == "en"))
 
 
 def language_of(text: str, code: str | None = None) -> str:
@@ -123,11 +142,7 @@ def language_of(text: str, code: str | None = None) -> str:
     known = CODES.get((code or "").casefold(), (code or "").casefold()[:2])
     if known in TABLES:
         return known
-    told = _script(text)
-    if told:
-        return told
-    words = _told(text)
-    return max(words, key=lambda k: (words[k], k == "en"))
+    return _script(_signs(text), len(text)) or _best(_told(text))
 
 
 def languages_of(text: str) -> list[tuple[int, str]]:
@@ -136,19 +151,20 @@ def languages_of(text: str) -> list[tuple[int, str]]:
     Another script tells one; another language of Latin script needs two of its frequent words and
     more than the language of the text has.
     """
-    whole = language_of(text)
-    out, start = [], 0
-    for stop in [*[m.end() for m in _PARAGRAPHS.finditer(text)], len(text)]:
-        part = text[start:stop]
-        language = _script(part)
+    stops = [*[m.end() for m in _PARAGRAPHS.finditer(text)], len(text)]
+    starts = [0, *stops[:-1]]
+    signs = [_signs(text[a:b]) for a, b in zip(starts, stops)]
+    told = [_told(text[a:b]) for a, b in zip(starts, stops)]
+    whole = _script([sum(x) for x in zip(*signs)], len(text)) or _best({k: sum(t[k] for t in told) for k in _TELL})
+    out = []
+    for a, b, sign, words in zip(starts, stops, signs, told):
+        language = _script(sign, b - a)
         if language is None:
-            words = _told(part)
-            best = max(words, key=lambda k: (words[k], k == whole, k == "en"))
+            best = _best(words, whole)
             language = best if words[best] >= max(2, words.get(whole, 0) + 1) else whole
         elif language == "zh" and whole == "ja":
             language = whole
-        out.append((start, language))
-        start = stop
+        out.append((a, language))
     return out
 
 
@@ -219,7 +235,7 @@ def sentence_ends(text: str, language: str | None = None) -> list[int]:
                     continue  # the sentence around it goes on
         before = text[max(0, marks - BEFORE) : at]
         for rule in cascades[now]:
-            if rule.before.search(before) and rule.after.match(text, at):
+            if (rule.tails is None or before.endswith(rule.tails)) and (rule.before is None or rule.before.search(before)) and rule.after.match(text, at):
                 if rule.breaks:
                     ends.append(at)
                 break
