@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -389,3 +390,26 @@ def test_neighbours_cross_partitions(spark):
         want[k] = None if p is None else round(sum(a * b for a, b in zip(p, v)) / (sum(a * a for a in p) * sum(a * a for a in v)) ** 0.5, 6)
         last[g] = v
     assert got == want
+
+
+def test_late_rows_of_a_stream(spark, tmp_path):
+    """A repeat within the delay is left out; a row behind the watermark is, too, and the sink holds each key once."""
+    from lamina.streaming import ingest
+
+    days = [["2024-01-01", "2024-01-02"], ["2024-03-01", "2024-03-02"], ["2024-03-02", "2024-03-03"], ["2024-01-03", "2024-03-04"]]  # a batch is judged by the watermark before the last
+    ddl = "topic string, pmid string, fetched_at timestamp"
+    for n, batch in enumerate(days):
+        rows = [(f"t{n}", d, "k" if n == 1 else d) for d in batch]
+        df = spark.createDataFrame(rows, "topic string, at string, pmid string").selectExpr("topic", "pmid", "CAST(at AS timestamp) AS fetched_at")
+        df.coalesce(1).write.parquet(f"file://{tmp_path}/in/{n}")
+        for written in (tmp_path / "in" / str(n)).glob("*.parquet"):  # read in this order
+            os.utime(written, (1_700_000_000 + 60 * n,) * 2)
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    counted = ingest.topic_windows(stream, delay="10 days").writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True).start()
+    counted.awaitTermination()
+    got = {r["topic"]: r["n"] for r in spark.sql("SELECT topic, sum(n_articles) AS n FROM late GROUP BY topic").collect()}
+    assert got == {"t0": 2}  # the late one is dropped, the others are still open
+    once = ingest.unique_articles(spark, f"file://{tmp_path}/in/1", ddl)
+    for _ in range(2):
+        ingest.ingest_stream(once, f"file://{tmp_path}/out", f"file://{tmp_path}/state{_}").awaitTermination()
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 1
