@@ -321,9 +321,9 @@ def stream_articles(spark: SparkSession, d: str) -> DataFrame:
     base = scratch(spark, "stream")
     schema = table(spark, d, "articles").select("topic", "pmid", "title", "fetched_at").schema
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields).replace("timestamp_ntz", "timestamp")
-    for _ in range(2):  # the second run finds nothing new
+    for run in range(2):  # the second run finds nothing new
         stream = ingest.unique_articles(spark, f"{d}/articles.parquet", ddl)
-        ingest.ingest_stream(stream, f"{base}/table", f"{base}/state-{uuid.uuid4().hex}").awaitTermination()
+        ingest.ingest_stream(stream, f"{base}/table", f"{base}/state-{run}").awaitTermination()
     return spark.read.parquet(f"{base}/table").select("topic", "pmid")
 
 
