@@ -10,6 +10,7 @@ as damaged where the mark touches a letter or another mark.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 
@@ -27,6 +28,9 @@ WORD = r"((?<![A-Za-z\x{80}-\x{10FFFF}])[A-Za-z]*+[\x{80}-\x{10FFFF}][A-Za-z\x{8
 RUN = r"([\x{80}-\x{2FF}\x{2000}-\x{22FF}]{2,}+)"
 #: Characters of garbled forms that are tested against the filter at once.
 AT_ONCE = 1 << 20
+#: A form that could be a word of its own is garbled where its original is in so many times as many texts,
+#: or where a document has so many of them under one chain, whose originals are together so many times as frequent.
+CLEAR, TOGETHER = 3, 3
 
 SOURCES = ("cp1252", "cp1251", "koi8-r", "cp866", "iso8859-5", "cp1256", "gbk", "big5", "shift_jis", "euc_jp", "euc_kr", "cp874", "cp1250", "mac_roman", "cp437", "cp850")
 TARGETS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1256", "koi8-r", "mac_roman", "cp437", "cp850", "cp866", "cp874", "gbk", "big5", "shift_jis")
@@ -183,13 +187,13 @@ def believed(original: str, known: frozenset[str]) -> bool:
     return len(scripts) <= 1 and (len(new) >= 3 or scripts <= {"LATIN"} or any(_script(c) in scripts for c in known))
 
 
-def garbled_words(vocabulary: DataFrame) -> DataFrame:
-    """``word, original, chain``: the garbled words among the distinct words of the corpus.
+def garbled_words(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``word, original, chain``: the garbled words among the distinct words of the corpus; and the doubtful ones.
 
-    ``vocabulary`` has each ``word`` once with the number of documents that hold it, ``n``. A form that
-    could also be a word of its own counts as garbled only where its original is in at least three
-    times as many documents. Of several originals the one in most documents is taken; a word that lost
-    characters and has several has none (null).
+    ``vocabulary`` has each ``word`` once with the number of texts that hold it, ``n``. A form that
+    could also be a word of its own counts as garbled where its original is in at least ``CLEAR``
+    times as many texts; else it is doubtful, with ``odds``, the logarithm of how many times. Of several
+    originals the one in most texts is taken; a word that lost characters and has several has none (null).
     """
     bitmap = vocabulary.sparkSession.sparkContext.broadcast(merged_filter(vocabulary.select(F.xxhash64("word")), filter_bits(vocabulary.count()), repeated=False))
     known = vocabulary.sparkSession.sparkContext.broadcast(_known_characters(vocabulary))
@@ -218,7 +222,9 @@ def garbled_words(vocabulary: DataFrame) -> DataFrame:
                 yield held(rows)
 
     made = spread(vocabulary).mapInPandas(forms, "word string, original string, chain string, n_original long, strong boolean")
-    matched = made.join(vocabulary, "word").filter(F.col("strong") | (F.col("n_original") >= 3 * F.col("n")))
+    met = cut_lineage(made.join(vocabulary, "word"))
+    clear = F.col("strong") | (F.col("n_original") >= CLEAR * F.col("n"))
+    matched = met.filter(clear)
     best = matched.groupBy("word").agg(
         F.max_by(F.struct("original", "chain"), F.struct("strong", "n_original", "original")).alias("b"),
         (F.min("original") < F.max("original")).alias("several"),
@@ -233,7 +239,12 @@ def garbled_words(vocabulary: DataFrame) -> DataFrame:
     others = vocabulary.select("word").join(best.select("word"), "word", "left_anti")
     undone = cut_lineage(others.mapInPandas(undo, "word string, original string, chain string"))
     hurt = others.filter(damaged(F.col("word"))).join(undone.select("word"), "word", "left_anti")
-    return best.unionByName(undone).unionByName(hurt.select("word", F.lit(None).cast("string").alias("original"), F.lit("lost").alias("chain")))
+    found = best.unionByName(undone).unionByName(hurt.select("word", F.lit(None).cast("string").alias("original"), F.lit("lost").alias("chain")))
+    # a word far more frequent than what it could stem from is its own and says nothing of the others
+    near = F.col("n_original") * CLEAR >= F.col("n")
+    weak = met.filter(~clear & near & (F.length("word") >= 3)).groupBy("word", "chain").agg(F.max_by(F.struct("original", "n_original", "n"), F.struct("n_original", "original")).alias("b"))
+    weak = weak.select("word", "chain", "b.original", F.log(F.col("b.n_original") / F.col("b.n")).alias("odds"))
+    return found, weak.join(found.select("word"), "word", "left_anti")
 
 
 def _documents(documents: DataFrame) -> DataFrame:
@@ -243,9 +254,20 @@ def _documents(documents: DataFrame) -> DataFrame:
 def garbled_occurrences(documents: DataFrame) -> DataFrame:
     """``doc_id, word, original, chain`` of each distinct garbled word of each document; ``original`` is null where lost."""
     ship_package(documents.sparkSession)
-    held = cut_lineage(_documents(documents).filter(F.col("text").rlike(r"[\x{80}-\x{10FFFF}]")).select("doc_id", F.explode(words_of(F.col("text"))).alias("word")))
-    vocabulary = cut_lineage(held.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    return held.join(cut_lineage(garbled_words(vocabulary)), "word")
+    beyond = _documents(documents).filter(F.col("text").rlike(r"[\x{80}-\x{10FFFF}]"))
+    held = cut_lineage(beyond.select("doc_id", F.xxhash64("text").alias("said"), F.explode(words_of(F.col("text"))).alias("word")))
+    vocabulary = cut_lineage(held.groupBy("word").agg(F.count_distinct("said").alias("n")))
+    found, doubtful = garbled_words(vocabulary)
+    sure = held.join(cut_lineage(found), "word").select("doc_id", "word", "original", "chain")
+    doubtful = cut_lineage(doubtful)
+    if doubtful.isEmpty():
+        return sure
+    # a source decoded wrongly as a whole has its words often; many of one chain in one text tell
+    seen = held.join(doubtful, "word")
+    told = seen.groupBy("said", "chain").agg(F.count_distinct("word").alias("words"), F.sum("odds").alias("odds"))
+    told = told.filter((F.col("words") >= TOGETHER) & (F.col("odds") >= math.log(CLEAR)))
+    best = told.groupBy("said").agg(F.max_by("chain", F.struct("odds", "chain")).alias("chain"))
+    return sure.unionByName(seen.join(best, ["said", "chain"]).select("doc_id", "word", "original", "chain"))
 
 
 def garbled_documents(documents: DataFrame) -> DataFrame:

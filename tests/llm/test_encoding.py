@@ -5,9 +5,9 @@ import pytest
 from lamina.llm import encoding as E
 
 CLEAN = [
-    (1, "La señora comió después del café."), (2, "La señora comió después del café, ¿no?"), (3, "Он хорошо переносил лечение."), (4, "Он хорошо переносил лечение."),
-    (5, "Он хорошо переносил лечение."), (6, "“Quoted” text … far more."), (7, "ATENÇÃO: NÃO interromper. À LA FIN, ÂGE > 65."), (8, "α-blocker ± β-blocker, Δ = 0.3. 𠮷田医院 ﬁve 👩‍⚕️"),
-    (9, None), (10, ""), (11, "  "), (12, "plain ascii"), (13, "有效 治疗 有效"), (14, "有效 治疗"), (15, "有效 治疗"),
+    (1, "La señora comió después del café."), (2, "La señora comió después del café, ¿no?"), (3, "Он хорошо переносил лечение."), (4, "Он хорошо переносил лечение. 4"),
+    (5, "Он хорошо переносил лечение. 5"), (6, "“Quoted” text … far more."), (7, "ATENÇÃO: NÃO interromper. À LA FIN, ÂGE > 65."), (8, "α-blocker ± β-blocker, Δ = 0.3. 𠮷田医院 ﬁve 👩‍⚕️"),
+    (9, None), (10, ""), (11, "  "), (12, "plain ascii"), (13, "有效 治疗 有效"), (14, "有效 治疗 2"), (15, "有效 治疗 3"),
 ]
 
 
@@ -70,7 +70,7 @@ def test_forms_equal_decoding_byte_by_byte():
 def test_round_trip_of_damaged_texts(spark):
     """Texts garbled under every chain come back, where the words are held clean elsewhere."""
     texts = ["La señora comió después del café", "“Quoted” text … far more", "Die Übelkeit wurde stärker"]
-    rows = [(i, texts[i % 3]) for i in range(12)]
+    rows = [(i, f"{texts[i % 3]} {i}") for i in range(12)]
     want = {}
     for chain in E.CHAINS:
         for t in texts:
@@ -83,6 +83,18 @@ def test_round_trip_of_damaged_texts(spark):
     assert len(want) > 60 and set(want) <= set(got) and right >= 0.9 * len(want), (right, len(want))
 
 
+def test_a_source_garbled_as_a_whole(spark):
+    """A third of the texts was read in another encoding: its words are half as frequent as the clean ones, and copies do not count."""
+    r = random.Random(2)
+    words = "лечение больной препарат давление сердце клиника анализ доза утром приём кашель отёк".split()
+    texts = [" ".join(r.sample(words, 8)) for _ in range(60)]
+    rows = [(i, t if i % 3 else E.garble(t, (("cp1251", "koi8-r"),))) for i, t in enumerate(texts)]
+    rows += [(1000 + i, rows[0][1]) for i in range(200)]  # one of them delivered again and again
+    got = {r["doc_id"]: r["restored"] for r in E.restored_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {i for i in range(60) if i % 3 == 0} | set(range(1000, 1200))
+    assert all(got[i] == texts[i] for i in range(0, 60, 3)) and got[1000] == texts[0]
+
+
 def test_very_long_words(spark):
     word = "é" * 5000
     df = spark.createDataFrame([(1, word), (2, word), (3, E.garble(word, (("utf-8", "cp1252"),)))], "doc_id long, text string")
