@@ -12,6 +12,10 @@ cells and a cell holds whole families. Within a cell fingerprints are sorted by
 whose nodes keep the bits that all below them share and no node above them keeps yet. A search goes
 down the tree adding up the differences to each node's bits and leaves a whole group once they pass the
 bound. The tree is the only search; what it gives is compared by the sets themselves.
+
+Spark takes the size of all tables made here from that of the file that the texts are in, far below what
+triples and routes take. A table broadcast by that size has no bound in the driver, so all joins are told
+to sort and merge.
 """
 
 from __future__ import annotations
@@ -71,6 +75,11 @@ def telling_first(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return np.take_along_axis(bits, np.repeat(np.argsort(np.abs(share - 0.5), axis=1, kind="stable"), counts, axis=0), axis=1)
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that neither an estimate nor adaptive execution makes a broadcast."""
+    return left.join(right.hint("merge"), keys, how)
+
+
 def _popcount(words: np.ndarray) -> np.ndarray:
     return np.bitwise_count(words).sum(axis=-1, dtype=np.int64)
 
@@ -212,7 +221,7 @@ def shared_triples(reps: DataFrame, threshold: float) -> DataFrame:
     rows = reps.select("rep_id", F.size("triples").alias("size"), F.explode("triples").alias("t"))
     counts = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # one row a triple on the right: adaptive execution splits what a hot triple brings to the left
-    told = rows.join(counts, "t")
+    told = _joined(rows, counts, "t")
     held = told.groupBy("rep_id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "t"))).alias("held"))
     first = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)) + 1 - (F.col("size") - F.size("held"))
     return held.select("rep_id", "size", F.col("held.t").alias("held"), F.slice(F.col("held.t"), F.lit(1), F.greatest(first, F.lit(0)).cast("int")).alias("routes")).filter(F.size("routes") > 0)
@@ -227,16 +236,16 @@ def routed(reps: DataFrame) -> DataFrame:
     """
     rows = reps.select("rep_id", F.explode("routes").alias("route"))
     least = cut_lineage(rows.groupBy("route").agg(F.min("rep_id").alias("near"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    far = rows.join(least, "route").groupBy("rep_id").agg(F.min("near").alias("far"))
-    meet = least.join(far.withColumnRenamed("rep_id", "near"), "near")
+    far = _joined(rows, least, "route").groupBy("rep_id").agg(F.min("near").alias("far"))
+    meet = _joined(least, far.withColumnRenamed("rep_id", "near"), "near")
     large = meet.groupBy("far").agg(F.sum("n").alias("load")).filter(F.col("load") > CELL).select("far", F.lit(True).alias("large"))
-    led = meet.join(large, "far", "left")
+    led = _joined(meet, large, "far", "left")
     merged = F.col("large").isNull()
     led = led.select(
         "route", F.when(merged, F.col("far")).otherwise(F.col("route")).alias("cell"), F.when(merged, 0).otherwise(1).cast("long").alias("part"),
         F.when(merged, 1).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks"),
     )
-    gone = rows.join(led, "route")
+    gone = _joined(rows, led, "route")
     own, other = salted(F.col("rep_id"), 1 << 30) % F.col("blocks"), F.col("other")
     # a route of one block is in the cell as it is, one of several in a cell with each other block
     others = F.when(F.col("blocks") == 1, F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != own))
@@ -255,20 +264,20 @@ def similar_classes(classes: DataFrame, threshold: float) -> tuple[DataFrame, Da
     classes = cut_lineage(classes)
     reps = cut_lineage(classes.groupBy("class").agg(F.min("record_id").alias("rep_id"), F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"), F.first("triples").alias("triples")))
     known = reps.select("class", "rep_id", "parts")
-    members = classes.select("record_id", "class").join(known, "class").select("rep_id", "record_id", (salted(F.col("record_id"), 1 << 30) % F.col("parts")).alias("salt"), "parts")
+    members = _joined(classes.select("record_id", "class"), known, "class").select("rep_id", "record_id", (salted(F.col("record_id"), 1 << 30) % F.col("parts")).alias("salt"), "parts")
     shared = cut_lineage(shared_triples(reps.select("rep_id", "triples"), threshold))
     codes = shared.select("rep_id", "size", "held").mapInPandas(_codes(threshold), "rep_id long, code binary, size int, room double")
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cells = routed(shared).join(codes, "rep_id").repartition(parts, "cell", "part").sortWithinPartitions("cell", "part")
+    cells = _joined(routed(shared), codes, "rep_id").repartition(parts, "cell", "part").sortWithinPartitions("cell", "part")
     visited, pruned = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
     candidates = cut_lineage(cells.mapInPandas(_pairs_of_cells(threshold, visited, pruned), "a long, b long").distinct())
     log.info("Gray-order index: %d nodes visited, %d groups left by their differences", visited.value, pruned.value)
     side = lambda x: shared.select(F.col("rep_id").alias(x), F.col("size").alias(f"n{x}"), F.col("held").alias(f"t{x}"))
     both = F.size(F.array_intersect("ta", "tb"))
-    compared = candidates.join(side("a"), "a").join(side("b"), "b").select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("similarity"))
+    compared = _joined(_joined(candidates, side("a"), "a"), side("b"), "b").select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("similarity"))
     links = compared.filter(F.col("similarity") >= threshold - 1e-12)
     spread_over = lambda x: known.select(F.col("rep_id").alias(x), F.col("parts").alias(f"parts_{x}"))
-    return links.join(spread_over("a"), "a").join(spread_over("b"), "b"), members
+    return _joined(_joined(links, spread_over("a"), "a"), spread_over("b"), "b"), members
 
 
 def similar_pairs(records: DataFrame, record_id: str = "drug_id", fields: tuple[str, ...] = ("indications_and_usage", "warnings_and_cautions"), threshold: float = 0.7) -> DataFrame:
@@ -282,11 +291,12 @@ def similar_pairs(records: DataFrame, record_id: str = "drug_id", fields: tuple[
     members = cut_lineage(members)
     of = lambda x: members.select(F.col("rep_id").alias(x), F.col("salt").alias(f"s{x}"), F.col("record_id").alias(f"r{x}"))
     salts = lambda x: F.explode(F.sequence(F.lit(0), F.col(f"parts_{x}") - 1)).alias(f"s{x}")
-    across = links.select("a", "b", "parts_b", salts("a")).join(of("a"), ["a", "sa"]).select("b", "ra", salts("b")).join(of("b"), ["b", "sb"]).select("ra", "rb")
+    across = _joined(links.select("a", "b", "parts_b", salts("a")), of("a"), ["a", "sa"]).select("b", "ra", salts("b"))
+    across = _joined(across, of("b"), ["b", "sb"]).select("ra", "rb")
     many = members.groupBy("rep_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rep_id")
-    copies = members.join(many, "rep_id", "left_semi")
+    copies = _joined(members, many, "rep_id", "left_semi")
     left = copies.select("rep_id", F.col("record_id").alias("ra"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    same = left.join(copies.select("rep_id", "salt", F.col("record_id").alias("rb")), ["rep_id", "salt"]).filter("ra < rb").select("ra", "rb")
+    same = _joined(left, copies.select("rep_id", "salt", F.col("record_id").alias("rb")), ["rep_id", "salt"]).filter("ra < rb").select("ra", "rb")
     return across.unionByName(same).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct()
 
 
@@ -300,5 +310,5 @@ def similar_groups(records: DataFrame, record_id: str = "drug_id", fields: tuple
     links = cut_lineage(links.select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("rep_id")).groupBy("rep_id").agg(F.count(F.lit(1)).alias("n_links"))
     group = components(links).select(F.col("node").alias("rep_id"), F.col("component").alias("group_id"))
-    known = group.join(degree, "rep_id")
-    return members.join(known, "rep_id", "left").select("record_id", F.coalesce("group_id", "rep_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")).distinct()
+    known = _joined(group, degree, "rep_id")
+    return _joined(members, known, "rep_id", "left").select("record_id", F.coalesce("group_id", "rep_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")).distinct()

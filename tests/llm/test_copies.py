@@ -119,6 +119,20 @@ def test_large_cells_are_parted(spark, monkeypatch, block):
     assert sorted(map(tuple, similar.similar_pairs(df).collect())) == brute([*rows, *((2000 + i, *rows[0][1:]) for i in range(7))])
 
 
+def test_no_table_is_broadcast_by_the_size_of_a_file(spark, tmp_path):
+    """A file tells nothing of the size of its triples: at the usual threshold the driver would hold them all."""
+    fields, rows = ["indications_and_usage", "warnings_and_cautions"], variants(1)
+    spark.createDataFrame(rows, "drug_id long, indications_and_usage string, warnings_and_cautions string").coalesce(1).write.parquet(f"{tmp_path}/drugs")
+    df = spark.read.parquet(f"{tmp_path}/drugs")
+    classes = similar.text_classes(df, "drug_id", fields)
+    reps = classes.groupBy("class").agg(F.min("record_id").alias("rep_id"), F.first("triples").alias("triples")).select("rep_id", "triples")
+    shared = similar.shared_triples(reps, 0.7)
+    found = similar.similar_pairs(df)
+    for made in (shared, similar.routed(shared), *similar.similar_classes(classes, 0.7), found):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == brute(rows)
+
+
 def test_the_tree_is_the_search_and_leaves_groups(spark, caplog):
     df = spark.createDataFrame(variants(7, 400), "drug_id long, indications_and_usage string, warnings_and_cautions string")
     with caplog.at_level("INFO", "lamina.llm.similar"):
